@@ -19,21 +19,21 @@ LINE_COLUMNS = (
 )
 
 
-def order_side(orders: DataFrame) -> DataFrame:
+def order_side(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Header columns of the wide table (those that are present)."""
     present = [c for c in ORDER_COLUMNS if c in orders.columns]
     return operated(orders).select(
         F.col("id").alias("order_id"), *present,
-        F.to_date("create_time").alias("dt"), "operate_time",
+        F.to_date("create_time").alias("dt"), "operate_time", *keep,
     )
 
 
-def line_side(details: DataFrame) -> DataFrame:
+def line_side(details: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Line columns of the wide table (those that are present)."""
     present = [c for c in LINE_COLUMNS if c in details.columns]
     return details.select(
         F.col("id").alias("order_detail_id"), "order_id",
-        F.col("order_price").alias("sku_price"), *present,
+        F.col("order_price").alias("sku_price"), *present, *keep,
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 Fold = Callable[[DataFrame], DataFrame]
 
 BATCH = "_batch"
+SEED = -1  # batch number of the rows a table starts with
 
 
 class KeyedTable:
@@ -47,7 +48,7 @@ class KeyedTable:
     def _parts(self, before: int | None) -> list[str]:
         limit = float("inf") if before is None else before
         snapshots = [n for n in self._complete("snapshot", "upto") if n < limit]
-        base = snapshots[-1] if snapshots else -1
+        base = snapshots[-1] if snapshots else float("-inf")
         deltas = [n for n in self._complete("delta", "batch_id") if base < n < limit]
         parts = [f"{self.path}/snapshot/upto={base}"] if snapshots else []
         return parts + [f"{self.path}/delta/batch_id={n}" for n in deltas]
@@ -70,6 +71,11 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self.rows_before(None)
 
+    def seed(self, rows: DataFrame) -> None:
+        """Rows known before the first batch; does nothing if the table was begun already."""
+        if not self._parts(None):
+            self.write(rows, SEED)
+
     def write(self, changes: DataFrame, batch_id: int) -> None:
         """Record the changes of a batch, and compact when it is time."""
         columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
@@ -77,7 +83,7 @@ class KeyedTable:
             changes.withColumn(BATCH, F.lit(batch_id).cast("bigint")).select(*columns)
             .write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
         )
-        if (batch_id + 1) % self.compact_every == 0:
+        if batch_id > 0 and batch_id % self.compact_every == 0:
             self.compact(batch_id)
 
     def compact(self, upto: int) -> None:
@@ -90,7 +96,7 @@ class KeyedTable:
         self.fold(self.changes_before(upto + 1)).write.mode("overwrite").parquet(
             f"{self.path}/snapshot/upto={upto}"
         )
-        previous = max((n for n in before if n < upto), default=-1)
+        previous = max((n for n in before if n < upto), default=float("-inf"))
         fs, to_path = self._fs()
         for kind, field in (("snapshot", "upto"), ("delta", "batch_id")):
             for n in self._complete(kind, field):

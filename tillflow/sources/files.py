@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -12,7 +13,7 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", max_files: int | None = None
+    spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", max_files: int | None = None
 ) -> DataFrame:
     """Files appearing in a folder as a stream; ``schema`` is declared, never inferred."""
     reader = spark.readStream.format(fmt).schema(schema)
