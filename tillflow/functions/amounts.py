@@ -5,12 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def _floor_div(n: Column, d: Column) -> Column:
-    # ``div`` drops the fraction toward zero; step down once for negative results.
-    quotient = F.call_function("div", n, d)
-    return F.when((n % d) < 0, quotient - 1).otherwise(quotient)
-
-
 def as_cents(df: DataFrame, name: str) -> Column:
     """Column ``name`` of ``df`` in whole cents.
 
@@ -35,20 +29,24 @@ def from_cents(cents: Column, like: T.DataType) -> Column:
     return cents / F.lit(100.0)
 
 
-def share_cents(line: Column, final: Column, original: Column) -> Column:
-    """``line * final / original`` in cents, halves toward plus infinity.
+def share_cents(line: str, final: str, original: str) -> Column:
+    """``line * final / original`` of three columns in cents, halves toward plus infinity.
 
     Null where the original total is not positive: there is nothing to be
     proportional to.
     """
     # 64-bit arithmetic while 2 * line * final + original cannot overflow,
     # 38-digit decimals beyond.
-    narrow = (
-        (F.abs(line) < F.lit(1 << 31)) & (F.abs(final) < F.lit(1 << 30))
-        & (original < F.lit(1 << 61))
-    )
-    fast = _floor_div(line * final * 2 + original, original * 2)
-    d18 = "decimal(18,0)"
-    numerator = line.cast(d18) * final.cast(d18) * 2 + original.cast(d18)
-    exact = _floor_div(numerator, original.cast(d18) * 2)
-    return F.when(original > 0, F.when(narrow, fast).otherwise(exact))
+    fast = _floor_div(f"2 * {line} * {final} + {original}", f"(2 * {original})")
+    l, f, o = (f"CAST({c} AS DECIMAL(18,0))" for c in (line, final, original))
+    exact = _floor_div(f"{l} * {f} * 2 + {o}", f"({o} * 2)")
+    return F.expr(f"""
+        CASE WHEN {original} > 0 THEN
+          CASE WHEN abs({line}) < {1 << 31} AND abs({final}) < {1 << 30} AND {original} < {1 << 61}
+               THEN {fast} ELSE {exact} END
+        END""")
+
+
+def _floor_div(n: str, d: str) -> str:
+    # ``div`` drops the fraction toward zero; step down once for negative results.
+    return f"(({n}) DIV {d} - CASE WHEN ({n}) % {d} < 0 THEN 1 ELSE 0 END)"

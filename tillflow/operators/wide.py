@@ -63,28 +63,27 @@ def apportion(wide: DataFrame, residual: str = "last") -> DataFrame:
     """
     if residual not in ("last", "none"):
         raise ValueError(f"residual must be 'last' or 'none', not {residual!r}")
-    unit = wide.schema["final_total_amount"].dataType
-    priced = wide.withColumn("_share_c", raw_share(wide))
+    priced = with_raw_share(wide)
     if residual == "last":
-        left_over = leftovers(priced.withColumn("_final_c", as_cents(wide, "final_total_amount"))
-                              .withColumn("_original_c", as_cents(wide, "original_total_amount")))
-        priced = add_leftover(priced, left_over)
-    return priced.withColumn(
-        "final_detail_amount", from_cents(F.col("_share_c"), unit)
-    ).drop("_share_c")
+        priced = add_leftover(priced, leftovers(priced))
+    return finish_share(priced)
 
 
-def line_cents(wide: DataFrame):
-    """A line's own amount in cents."""
-    return as_cents(wide, "sku_price") * F.col("sku_num")
+def with_raw_share(wide: DataFrame) -> DataFrame:
+    """Add the amounts of the split in cents: a line's own, the order's, and the rounded share."""
+    in_cents = wide.withColumns({
+        "_line_c": as_cents(wide, "sku_price") * F.col("sku_num"),
+        "_final_c": as_cents(wide, "final_total_amount"),
+        "_original_c": as_cents(wide, "original_total_amount"),
+    })
+    return in_cents.withColumn("_share_c", share_cents("_line_c", "_final_c", "_original_c"))
 
 
-def raw_share(wide: DataFrame):
-    """A line's rounded proportional share in cents."""
-    return share_cents(
-        line_cents(wide),
-        as_cents(wide, "final_total_amount"),
-        as_cents(wide, "original_total_amount"),
+def finish_share(priced: DataFrame) -> DataFrame:
+    """``final_detail_amount`` in the unit of the order's payment, without the helper columns."""
+    unit = priced.schema["final_total_amount"].dataType
+    return priced.withColumn("final_detail_amount", from_cents(F.col("_share_c"), unit)).drop(
+        "_line_c", "_final_c", "_original_c", "_share_c"
     )
 
 

@@ -13,6 +13,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from tillflow.sinks.folders import delete, numbered
 
 Fold = Callable[[DataFrame], DataFrame]
 
@@ -26,30 +29,22 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: str, fold: Fold, compact_every: int = 20):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.schema = f"{schema}, {BATCH} bigint"
+        self.schema = StructType.fromDDL(f"{schema}, {BATCH} bigint")
         self.fold = fold
         self.compact_every = compact_every
 
     # -- folders --------------------------------------------------------------
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _complete(self, kind: str, field: str) -> list[int]:
-        """Batch numbers of the complete folders of one kind."""
-        fs, to_path = self._fs()
-        pattern = to_path(f"{self.path}/{kind}/{field}=*/_SUCCESS")
-        return sorted(
-            int(status.getPath().getParent().getName().split("=")[1])
-            for status in fs.globStatus(pattern) or []
-        )
+    def _snapshots(self) -> list[int]:
+        return numbered(self.spark, f"{self.path}/snapshot", "upto")
+
+    def _deltas(self) -> list[int]:
+        return numbered(self.spark, f"{self.path}/delta", "batch_id")
 
     def _parts(self, before: int | None) -> list[str]:
         limit = float("inf") if before is None else before
-        snapshots = [n for n in self._complete("snapshot", "upto") if n < limit]
+        snapshots = [n for n in self._snapshots() if n < limit]
         base = snapshots[-1] if snapshots else float("-inf")
-        deltas = [n for n in self._complete("delta", "batch_id") if base < n < limit]
+        deltas = [n for n in self._deltas() if base < n < limit]
         parts = [f"{self.path}/snapshot/upto={base}"] if snapshots else []
         return parts + [f"{self.path}/delta/batch_id={n}" for n in deltas]
 
@@ -58,7 +53,9 @@ class KeyedTable:
         """Unfolded rows written before ``batch_id`` (all rows by default)."""
         parts = self._parts(batch_id)
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.range(0).select(
+                *(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema)
+            )
         return self.spark.read.schema(self.schema).parquet(*parts)
 
     def rows_before(self, batch_id: int | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -78,9 +75,8 @@ class KeyedTable:
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
         """Record the changes of a batch, and compact when it is time."""
-        columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
         (
-            changes.withColumn(BATCH, F.lit(batch_id).cast("bigint")).select(*columns)
+            changes.withColumn(BATCH, F.lit(batch_id).cast("bigint")).select(*self.schema.names)
             .write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
         )
         if batch_id > 0 and batch_id % self.compact_every == 0:
@@ -92,17 +88,16 @@ class KeyedTable:
         The snapshot before stays, with the deltas after it, for a replay of the
         newest batches and for readers that are under way.
         """
-        before = self._complete("snapshot", "upto")
+        previous = max((n for n in self._snapshots() if n < upto), default=float("-inf"))
         self.fold(self.changes_before(upto + 1)).write.mode("overwrite").parquet(
             f"{self.path}/snapshot/upto={upto}"
         )
-        previous = max((n for n in before if n < upto), default=float("-inf"))
-        fs, to_path = self._fs()
-        for kind, field in (("snapshot", "upto"), ("delta", "batch_id")):
-            for n in self._complete(kind, field):
-                stale = n < previous if kind == "snapshot" else n <= previous
-                if stale:
-                    fs.delete(to_path(f"{self.path}/{kind}/{field}={n}"), True)
+        for n in self._snapshots():
+            if n < previous:
+                delete(self.spark, f"{self.path}/snapshot/upto={n}")
+        for n in self._deltas():
+            if n <= previous:
+                delete(self.spark, f"{self.path}/delta/batch_id={n}")
 
 
 def merge_into(changes: DataFrame, table: str, key: str) -> None:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """A Parquet table, or some columns of it."""
-    df = spark.read.parquet(path)
+def table(
+    spark: SparkSession, path: str, columns: list[str] | None = None, schema: str | StructType | None = None
+) -> DataFrame:
+    """A Parquet table, or some columns of it; a declared schema saves the look into the files."""
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df.select(*columns) if columns else df
 
 

@@ -14,6 +14,19 @@ from tillflow.sources.files import table
 
 Days = tuple[str, str] | None
 
+# Declared, so that no job has to open files to learn them.
+TABLES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def _cents(name: str) -> Column:
     return F.round(F.col(name) * 100).cast("bigint")
@@ -27,7 +40,7 @@ class ShopTables:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return table(self.spark, f"{self.folder}/{name}.parquet")
+        return table(self.spark, f"{self.folder}/{name}.parquet", schema=TABLES[name])
 
     # -- logs ---------------------------------------------------------------
     def startup(self, days: Days = None) -> DataFrame:

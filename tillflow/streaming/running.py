@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tillflow.session import state_partitions
+from tillflow.sinks.folders import delete
 
 Trigger = dict[str, object]
 Output = Callable[[DataFrame, int], None]
@@ -48,14 +51,37 @@ def start_files(
         return (writer.queryName(name) if name else writer).start()
 
 
+@contextlib.contextmanager
+def landed(batch: DataFrame, spark: SparkSession, folder: str, batch_id: int):
+    """The rows of a batch as a Parquet table, for steps that need them several times.
+
+    Writing them cuts the lineage: a lost executor never makes Spark run the
+    stateful part of a stream again, and what follows is an ordinary batch job of
+    ``spark``, with adaptive execution and column pruning.
+    """
+    path = f"{folder}/batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(path)
+    try:
+        yield spark.read.schema(batch.schema).parquet(path)
+    finally:
+        delete(spark, path)
+
+
+@contextlib.contextmanager
+def kept(df: DataFrame):
+    """A result used more than once in a batch, computed once."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def fan_out(df: DataFrame, batch_id: int, outputs: Sequence[Output]) -> None:
     """Several outputs of one batch, computed once."""
     if len(outputs) == 1:
         outputs[0](df, batch_id)
         return
-    kept = df.persist()
-    try:
+    with kept(df) as rows:
         for output in outputs:
-            output(kept, batch_id)
-    finally:
-        kept.unpersist()
+            output(rows, batch_id)

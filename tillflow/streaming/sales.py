@@ -8,12 +8,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillflow.functions import as_cents, from_cents
 from tillflow.operators import brand, details, orders, wide
 from tillflow.operators.ranking import first_per_key
 from tillflow.sinks.keyed import BATCH, KeyedTable
 from tillflow.sinks.tables import write_batch
-from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, start_batches
+from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, kept, landed, start_batches
 
 # -- order headers ------------------------------------------------------------
 
@@ -60,15 +59,15 @@ def order_batch(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.persist()
-        try:
+        with landed(batch, state.spark, f"{state.path}/landing", batch_id) as arrived:
+            if arrived.isEmpty():
+                return
             firsts, new = batch_firsts(arrived, state, batch_id)
             headers = orders.with_province(orders.with_day_hour(arrived), read_province())
             headers = orders.with_user(headers, read_users(), as_of)
-            fan_out(orders.flag_orders(headers, firsts), batch_id, outputs)
-            state.write(new, batch_id)
-        finally:
-            arrived.unpersist()
+            with kept(new) as new:
+                fan_out(orders.flag_orders(headers, firsts), batch_id, outputs)
+                state.write(new, batch_id)
 
     return each
 
@@ -161,20 +160,12 @@ def split_state(spark: SparkSession, path: str, compact_every: int = 20) -> Keye
     )
 
 
-def apportion_batch(batch: DataFrame, state: KeyedTable, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """(lines with ``final_detail_amount``, new state rows) of a micro-batch.
+def order_totals(priced: DataFrame, state: KeyedTable, batch_id: int) -> DataFrame:
+    """What a batch adds to each of its orders, and what is left of the payment then.
 
     Lines of an order may come in several batches.  The batch in which they add
-    up to the order's original total holds the last line; its highest line id
-    gets what is left of the payment.
+    up to the order's original total holds the last line.
     """
-    unit = batch.schema["final_total_amount"].dataType
-    priced = batch.withColumns({
-        "_share_c": wide.raw_share(batch),
-        "_line_c": wide.line_cents(batch),
-        "_final_c": as_cents(batch, "final_total_amount"),
-        "_original_c": as_cents(batch, "original_total_amount"),
-    })
     zero = F.lit(0)
     here = priced.groupBy("order_id").agg(
         F.max("order_detail_id").alias("order_detail_id"),
@@ -186,35 +177,42 @@ def apportion_batch(batch: DataFrame, state: KeyedTable, batch_id: int) -> tuple
     before = state.rows_before(batch_id, keys=here.select("order_id")).select(
         "order_id", F.col("original_c").alias("prior_line_c"), F.col("share_c").alias("prior_share_c")
     )
-    totals = here.join(before, "order_id", "left").withColumns({
+    return here.join(before, "order_id", "left").withColumns({
         "_complete": F.col("line_c") + F.coalesce("prior_line_c", zero) == F.col("_original_c"),
         "_left_c": F.col("_final_c") - F.col("batch_share_c") - F.coalesce("prior_share_c", zero),
     })
+
+
+def split_batch(priced: DataFrame, totals: DataFrame) -> DataFrame:
+    """Lines with ``final_detail_amount``; the highest line id of an order that is now
+    complete gets what is left of its payment."""
     left_over = totals.where(
         F.col("_complete") & ((F.col("_left_c") != 0) | (F.col("_original_c") <= 0))
     ).select("order_detail_id", "_left_c")
-    shared = wide.add_leftover(priced, left_over).withColumn(
-        "final_detail_amount", from_cents(F.col("_share_c"), unit)
-    ).drop("_share_c", "_line_c", "_final_c", "_original_c")
-    new_state = totals.select(
+    return wide.finish_share(wide.add_leftover(priced, left_over))
+
+
+def state_rows(totals: DataFrame) -> DataFrame:
+    """What the batch adds to the running sums."""
+    given = F.when(F.col("_complete"), F.col("_left_c")).otherwise(F.lit(0))
+    return totals.select(
         "order_id",
         F.col("line_c").alias("original_c"),
-        (F.col("batch_share_c") + F.when(F.col("_complete"), F.col("_left_c")).otherwise(zero)).alias("share_c"),
+        (F.col("batch_share_c") + F.coalesce(given, F.lit(0))).alias("share_c"),
     )
-    return shared, new_state
 
 
 def wide_batch(state: KeyedTable, outputs: Sequence[Output]) -> Output:
     """Per-batch step: apportion, hand on, record the running sums."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        arrived = batch.persist()
-        try:
-            shared, new_state = apportion_batch(arrived, state, batch_id)
-            fan_out(shared.drop("operate_time"), batch_id, outputs)
-            state.write(new_state, batch_id)
-        finally:
-            arrived.unpersist()
+        with landed(batch, state.spark, f"{state.path}/landing", batch_id) as arrived:
+            if arrived.isEmpty():
+                return
+            priced = wide.with_raw_share(arrived)
+            with kept(order_totals(priced, state, batch_id)) as totals:
+                fan_out(split_batch(priced, totals).drop("operate_time"), batch_id, outputs)
+                state.write(state_rows(totals), batch_id)
 
     return each
 
