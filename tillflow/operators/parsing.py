@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def parse_json(df: DataFrame, schema: str, value: str = "value", into: str = "j") -> DataFrame:
@@ -10,6 +10,29 @@ def parse_json(df: DataFrame, schema: str, value: str = "value", into: str = "j"
     return df.withColumn(into, F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"}))
 
 
+def _as_text(schema: T.StructType) -> T.StructType:
+    """The same fields, with plain values read as text."""
+    plain = lambda kind: kind if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else T.StringType()
+    return T.StructType([T.StructField(f.name, plain(f.dataType)) for f in schema])
+
+
+def _typed(schema: T.StructType) -> list[Column]:
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    return [
+        F.col(f"j.{f.name}") if isinstance(f.dataType, nested)
+        else F.col(f"j.{f.name}").try_cast(f.dataType).alias(f.name)
+        for f in schema
+    ]
+
+
+def _parse_typed(df: DataFrame, ddl: str, key: str, value: str) -> tuple[DataFrame, list[Column], Column]:
+    # Change records write numbers and times bare or quoted, depending on the
+    # tool; both are read as text and then cast.
+    schema = T.StructType.fromDDL(ddl)
+    parsed = df.withColumn("j", F.from_json(F.col(value).cast("string"), _as_text(schema), {"mode": "PERMISSIVE"}))
+    return parsed, _typed(schema), F.col(f"j.{key}").try_cast(schema[key].dataType).isNotNull()
+
+
 def typed_rows(
     df: DataFrame,
     schema: str,
@@ -22,20 +45,20 @@ def typed_rows(
 
     ``observe`` names a metric with the counts of parsed and rejected rows.
     """
-    parsed = parse_json(df, schema, value)
-    usable = F.col(f"j.{key}").isNotNull()
+    parsed, columns, usable = _parse_typed(df, schema, key, value)
     if observe:
         parsed = parsed.observe(
             observe,
             F.count_if(usable).alias("parsed"),
             F.count_if(~usable).alias("rejected"),
         )
-    return parsed.where(usable).select(*keep, "j.*")
+    return parsed.where(usable).select(*keep, *columns)
 
 
 def rejected_rows(df: DataFrame, schema: str, key: str, value: str = "value") -> DataFrame:
     """The raw text that ``typed_rows`` leaves out."""
-    return parse_json(df, schema, value).where(F.col(f"j.{key}").isNull()).drop("j")
+    parsed, _, usable = _parse_typed(df, schema, key, value)
+    return parsed.where(~usable).drop("j")
 
 
 def json_column(*columns: str | Column) -> Column:
