@@ -8,12 +8,32 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillflow import schemas
 from tillflow.operators import brand, details, orders, wide
+from tillflow.operators.parsing import typed_rows
 from tillflow.operators.ranking import first_per_key
 from tillflow.sinks.keyed import BATCH, KeyedTable
 from tillflow.sinks.tables import write_batch
 from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, kept, landed, start_batches
 
+# -- topics -------------------------------------------------------------------
+
+# Entity -> (schema, key) of the JSON rows of the sales topics.
+TOPIC_ROWS = {
+    "order": (schemas.ORDER_INFO, "id"),
+    "detail": (schemas.ORDER_DETAIL, "id"),
+    "enriched_order": (schemas.ORDER_INFO_ENRICHED, "id"),
+    "enriched_detail": (schemas.ORDER_DETAIL_ENRICHED, "id"),
+    "wide": (schemas.ORDER_WIDE, "order_detail_id"),
+}
+
+
+def parse(raw: DataFrame, entity: str) -> DataFrame:
+    """Typed rows of a sales topic; unusable text is dropped and counted."""
+    schema, key = TOPIC_ROWS[entity]
+    return typed_rows(raw, schema, key, observe=f"{entity}_parsed")
+
+
 # -- order headers ------------------------------------------------------------
 
 
