@@ -6,7 +6,7 @@ argument narrows the orders (or logs) to whole days already at the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillflow.functions import day_between
 from tillflow.operators.parsing import json_column
@@ -28,8 +28,8 @@ TABLES = {
 }
 
 
-def _cents(name: str) -> Column:
-    return F.round(F.col(name) * 100).cast("bigint")
+def _cents(name: str) -> str:
+    return f"CAST(round({name} * 100) AS BIGINT)"
 
 
 class ShopTables:
@@ -48,16 +48,11 @@ class ShopTables:
         events = self.raw("events")
         if days:
             events = events.where(day_between(F.col("ts"), *days))
-        return events.select(
+        return events.selectExpr(
             "event_id",
-            F.struct(
-                F.concat(F.lit("mid_"), "user_id").alias("mid"),
-                F.col("user_id").cast("string").alias("uid"),
-                F.get_json_object("props", "$.k").alias("ar"),
-                F.col("event_type").alias("ch"),
-                F.lit("v1").alias("vc"),
-            ).alias("common"),
-            F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+            """named_struct('mid', concat('mid_', user_id), 'uid', CAST(user_id AS STRING),
+                            'ar', get_json_object(props, '$.k'), 'ch', event_type, 'vc', 'v1') AS common""",
+            "unix_millis(CAST(ts AS TIMESTAMP)) AS ts",
         )
 
     def startup_json(self) -> DataFrame:
@@ -66,12 +61,9 @@ class ShopTables:
 
     # -- dimensions ---------------------------------------------------------
     def province(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        return self.raw("nation").select(
-            key.cast("bigint").alias("id"),
-            F.col("n_name").alias("name"),
-            (F.col("n_regionkey") + 100).cast("string").alias("area_code"),
-            F.concat(F.lit("N"), key).alias("iso_code"),
+        return self.raw("nation").selectExpr(
+            "CAST(n_nationkey AS BIGINT) AS id", "n_name AS name",
+            "CAST(100 + n_regionkey AS STRING) AS area_code", "concat('N', n_nationkey) AS iso_code",
         )
 
     def province_changes(self) -> DataFrame:
@@ -81,30 +73,23 @@ class ShopTables:
         return first.withColumn("seq", F.lit(1)).unionByName(renamed.withColumn("seq", F.lit(2)))
 
     def users(self) -> DataFrame:
-        key = F.col("c_custkey")
-        code = key % 3
-        return self.raw("customer").select(
-            key.alias("id"),
-            F.date_add(F.lit("1950-01-01").cast("date"), ((key * 37) % 25000).cast("int")).alias("birthday"),
-            F.when(code == 0, "M").when(code == 1, "F").otherwise("X").alias("gender"),
+        return self.raw("customer").selectExpr(
+            "c_custkey AS id",
+            "date_add(DATE'1950-01-01', CAST(c_custkey * 37 % 25000 AS INT)) AS birthday",
+            "CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'X' END AS gender",
         )
 
     def user_state(self) -> DataFrame:
         """Buyers known to have ordered before: one customer key in ten."""
-        return (
-            self.raw("customer").where(F.col("c_custkey") % 10 == 0)
-            .select(F.col("c_custkey").alias("user_id"), F.lit("1").alias("if_consumed"))
-        )
+        known = self.raw("customer").where("c_custkey % 10 = 0")
+        return known.selectExpr("c_custkey AS user_id", "'1' AS if_consumed")
 
     def spu(self) -> DataFrame:
-        return self.raw("part").groupBy(F.col("p_name").alias("spu_name")).agg(
-            F.min("p_partkey").alias("spu_id")
-        )
+        return self.raw("part").groupBy(F.col("p_name").alias("spu_name")).agg(F.min("p_partkey").alias("spu_id"))
 
     def trademark(self) -> DataFrame:
-        return self.raw("part").select(
-            F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("bigint").alias("tm_id"),
-            F.col("p_brand").alias("tm_name"),
+        return self.raw("part").selectExpr(
+            "CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS tm_id", "p_brand AS tm_name"
         ).distinct()
 
     def category3(self) -> DataFrame:
@@ -123,16 +108,15 @@ class ShopTables:
 
     # -- facts --------------------------------------------------------------
     def order_detail(self) -> DataFrame:
-        qty = F.col("l_quantity").cast("bigint")
-        price = _cents("l_extendedprice")
-        return self.raw("lineitem").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", qty, price).alias("id"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("sku_id"),
-            price.alias("order_price"),
-            qty.alias("sku_num"),
-            F.concat(F.lit("sku_"), "l_partkey").alias("sku_name"),
-            F.col("l_linenumber").alias("line_number"),
+        quantity, price = "CAST(l_quantity AS BIGINT)", _cents("l_extendedprice")
+        return self.raw("lineitem").selectExpr(
+            f"concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, {quantity}, {price}) AS id",
+            "l_orderkey AS order_id",
+            "l_partkey AS sku_id",
+            f"{price} AS order_price",
+            f"{quantity} AS sku_num",
+            "concat('sku_', l_partkey) AS sku_name",
+            "l_linenumber AS line_number",
         )
 
     def order_info(self, days: Days = None) -> DataFrame:
@@ -143,28 +127,27 @@ class ShopTables:
             orders = orders.where(day_between(F.col("o_orderdate"), *days))
             lines = lines.join(orders.select(F.col("o_orderkey").alias("order_id")), "order_id", "left_semi")
         original = lines.groupBy(F.col("order_id").alias("o_orderkey")).agg(
-            F.sum(F.col("order_price") * F.col("sku_num")).alias("original_total_amount")
+            F.expr("sum(order_price * sku_num) AS original_total_amount")
         )
-        customer = self.raw("customer").select(
-            F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("province_id")
+        customer = self.raw("customer").selectExpr(
+            "c_custkey AS o_custkey", "CAST(c_nationkey AS BIGINT) AS province_id"
         )
-        seconds = ((F.col("o_orderkey") * 7919) % 86400).cast("int")
-        at = lambda s: (F.col("o_orderdate") + F.make_dt_interval(secs=s)).cast("timestamp")
-        none = F.lit(None)
+        seconds = "o_orderkey * 7919 % 86400"
+        at = lambda s: f"CAST(o_orderdate + make_dt_interval(0, 0, 0, {s}) AS TIMESTAMP)"
         return (
             orders.join(original, "o_orderkey", "left").join(customer, "o_custkey")
-            .select(
-                F.col("o_orderkey").alias("id"),
+            .selectExpr(
+                "o_orderkey AS id",
                 "province_id",
-                F.col("o_orderstatus").alias("order_status"),
-                F.col("o_custkey").alias("user_id"),
-                _cents("o_totalprice").alias("final_total_amount"),
-                none.cast("bigint").alias("benefit_reduce_amount"),
+                "o_orderstatus AS order_status",
+                "o_custkey AS user_id",
+                f"{_cents('o_totalprice')} AS final_total_amount",
+                "CAST(NULL AS BIGINT) AS benefit_reduce_amount",
                 "original_total_amount",
-                none.cast("bigint").alias("feight_fee"),
-                none.cast("timestamp").alias("expire_time"),
-                at(seconds).alias("create_time"),
-                F.when(F.col("o_orderstatus") != "P", at(seconds + 3600)).alias("operate_time"),
+                "CAST(NULL AS BIGINT) AS feight_fee",
+                "CAST(NULL AS TIMESTAMP) AS expire_time",
+                f"{at(seconds)} AS create_time",
+                f"CASE WHEN o_orderstatus <> 'P' THEN {at(seconds + ' + 3600')} END AS operate_time",
             )
         )
 
