@@ -66,8 +66,9 @@ def test_join_and_dedup_keep_the_earliest_image(spark):
     assert joined.count() == 2  # two images of order 1; order 2 was never operated on
     one = wide.dedup_wide(joined).collect()
     assert [(r.order_detail_id, r.final_total_amount, r.dt) for r in one] == [(1, 10, dt.date(2024, 5, 1))]
-    table = wide.wide_table(orders, lines).collect()
-    assert [(r.order_detail_id, r.final_detail_amount) for r in table] == [(1, 10)]
+    for plain in (None, orders):
+        table = wide.wide_table(orders, lines, plain_orders=plain).collect()
+        assert [(r.order_detail_id, r.final_detail_amount) for r in table] == [(1, 10)]
 
 
 def products(spark):

@@ -86,7 +86,9 @@ def order_wide_dedup(shop: ShopTables) -> DataFrame:
 
 
 def order_wide_table(shop: ShopTables) -> DataFrame:
-    table = wide.wide_table(enriched_orders(shop), shop.order_detail())
+    table = wide.wide_table(
+        enriched_orders(shop), shop.order_detail(), plain_orders=shop.order_info()
+    )
     return plain(
         details.enrich(table, *products(shop)),
         "order_detail_id", "order_id", "order_status", "create_time", "user_id", "sku_id", "sku_num",

@@ -99,6 +99,10 @@ def enrich(
     orders: DataFrame, user_state: DataFrame, province: DataFrame, users: DataFrame,
     as_of: Column | None = None,
 ) -> DataFrame:
-    """Complete order headers."""
-    timed = with_day_hour(orders)
-    return with_first_flag(with_user(with_province(timed, province), users, as_of), user_state)
+    """Complete order headers.
+
+    The first orders are found on the bare orders, three columns of them.
+    """
+    firsts = new_buyers(earliest_orders(orders), user_state)
+    labelled = with_user(with_province(with_day_hour(orders), province), users, as_of)
+    return flag_orders(labelled, firsts)

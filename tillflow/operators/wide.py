@@ -44,7 +44,11 @@ def join_wide(orders: DataFrame, details: DataFrame) -> DataFrame:
 
 def dedup_wide(wide: DataFrame) -> DataFrame:
     """One row per line: the one with the earliest order image."""
-    return first_per_key(wide, ["order_detail_id"], ["operate_time", "create_time"])
+    # The amounts settle ties, so that every evaluation picks the same image.
+    return first_per_key(
+        wide, ["order_detail_id"],
+        ["operate_time", "create_time", "final_total_amount", "original_total_amount"],
+    )
 
 
 def apportion(wide: DataFrame, residual: str = "last") -> DataFrame:
@@ -110,10 +114,20 @@ def add_leftover(priced: DataFrame, left_over: DataFrame) -> DataFrame:
     ).drop("_left_c")
 
 
-def wide_table(orders: DataFrame, details: DataFrame, residual: str = "last") -> DataFrame:
+def wide_table(
+    orders: DataFrame, details: DataFrame, residual: str = "last", plain_orders: DataFrame | None = None
+) -> DataFrame:
     """Join, de-duplicate and apportion.
 
     De-duplication leaves the rows partitioned by line id, which is also what
-    ``apportion`` joins on: the wide rows are exchanged twice in all.
+    the left-over amounts are joined on: the wide rows are exchanged twice in all.
+
+    ``plain_orders`` are the same orders before enrichment.  Where ``orders`` is
+    not a stored table, giving them spares the sums of the split all the joins
+    of the enrichment.
     """
-    return apportion(dedup_wide(join_wide(orders, details)), residual).drop("operate_time")
+    rows = dedup_wide(join_wide(orders, details))
+    if residual != "last" or plain_orders is None:
+        return apportion(rows, residual).drop("operate_time")
+    left_over = leftovers(with_raw_share(dedup_wide(join_wide(plain_orders, details))))
+    return finish_share(add_leftover(with_raw_share(rows), left_over)).drop("operate_time")
