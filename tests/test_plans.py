@@ -53,6 +53,11 @@ def test_days_reach_the_scan(shop):
     assert "GreaterThanOrEqual(o_orderdate,1997-02-01T00:00" in plan(BATCH["order_amount_total"](shop))
 
 
+@pytest.mark.parametrize("key", ["json_parse", "cdc_explode", "cdc_route"])
+def test_text_is_parsed_once(shop, key):
+    assert plan(BATCH[key](shop)).count("from_json(") == 1
+
+
 def test_topn_is_not_a_full_sort(shop):
     assert "TakeOrderedAndProject" in plan(BATCH["brand_topn"](shop))
 

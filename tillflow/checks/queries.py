@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillflow.checks.oracle import AS_OF, DAU_DAY, DAU_DAY_BEFORE, DAY, DAY_BEFORE, RANGE, TOP_N
+from tillflow.functions import age_group, gender_label
 from tillflow.operators import brand, cdc, dau, details, dims, orders, wide
 from tillflow.operators.parsing import typed_rows
 from tillflow.plans import reports
@@ -66,6 +67,11 @@ def brand_stat(shop: ShopTables, days: Days = None) -> DataFrame:
     return brand.brand_sums(lines, F.col("dt").cast("timestamp"), by=("dt",))
 
 
+def device_logs(shop: ShopTables) -> DataFrame:
+    """All device rows, repeated ones included."""
+    return dau.device_rows(dau.with_day_hour(shop.startup()))
+
+
 def devices(shop: ShopTables, days: Days = None) -> DataFrame:
     return dau.daily_devices(shop.startup(days), tie_break=("event_id",))
 
@@ -121,8 +127,6 @@ def dim_upsert(shop: ShopTables) -> DataFrame:
 
 def user_labels(shop: ShopTables) -> DataFrame:
     """Label functions on the dimension itself."""
-    from tillflow.functions import age_group, gender_label
-
     return shop.users().select(
         "id",
         age_group(F.col("birthday"), as_of()).alias("user_age_group"),
@@ -187,12 +191,11 @@ BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
         reports.order_amount_by_hour(lines_split(s, (DAY, DAY)), DAY), "order_amount"
     ).select("dt", F.to_json("hours").alias("hours")),
     "dau_rows": devices,
-    "dau_distinct_check": lambda s: reports.dau_distinct(
-        dau.device_rows(dau.with_day_hour(s.startup()))),
+    "dau_distinct_check": lambda s: reports.dau_distinct(device_logs(s)),
     "dau_total": lambda s: reports.dau_total(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "dau_by_hour": lambda s: reports.dau_by_hour(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "report_day_total": lambda s: reports.day_headline(
-        devices(s), lines_split(s, (DAY, DAY)), DAU_DAY, sales_day=DAY),
+        device_logs(s), lines_split(s, (DAY, DAY)), DAU_DAY, sales_day=DAY),
     "report_hour_dau": lambda s: reports.hour_curve(
         "dau", devices(s, (DAU_DAY_BEFORE, DAU_DAY)), DAU_DAY),
     "report_hour_amount": lambda s: reports.hour_curve(

@@ -17,11 +17,12 @@ from tillflow.checks.queries import as_of, cdc_images, lines_split, plain, produ
 from tillflow.operators import details
 from tillflow.operators.parsing import json_column
 from tillflow.session import configure, scratch_dir
+from tillflow.sinks.folders import delete
 from tillflow.sinks.tables import write_batch
 from tillflow.sources.files import file_stream
 from tillflow.sources.shop import ShopTables
 from tillflow.streaming import changes, devices, sales
-from tillflow.streaming.running import ONCE
+from tillflow.streaming.running import ONCE, start_files
 
 
 class Arrivals:
@@ -58,6 +59,11 @@ class Arrivals:
     def stream(self) -> DataFrame:
         return file_stream(self.spark, self.incoming, self.schema)
 
+    def discard(self) -> None:
+        """Drop the copies; what the query has made of them is elsewhere."""
+        for folder in (self.staged, self.incoming):
+            delete(self.spark, folder)
+
 
 def run_through(arrivals: list[Arrivals], start: Callable[[], StreamingQuery]) -> None:
     """Let the slices arrive in turn, and run the query to the end of each."""
@@ -69,6 +75,8 @@ def run_through(arrivals: list[Arrivals], start: Callable[[], StreamingQuery]) -
             table.arrive(number)
         query = start()
         query.awaitTermination()
+    for table in arrivals:
+        table.discard()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -158,8 +166,6 @@ def _joined_streams(shop: ShopTables, work: str) -> tuple[list[Arrivals], Callab
 
 
 def stream_order_wide(shop: ShopTables, work: str) -> DataFrame:
-    from tillflow.streaming.running import start_files
-
     sources, joined = _joined_streams(shop, work)
     run_through(sources, lambda: start_files(joined(), f"{work}/out", f"{work}/check", ONCE))
     return plain(

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def parse_json(df: DataFrame, schema: str, value: str = "value", into: str = "j") -> DataFrame:
-    """Add struct column ``into`` parsed from JSON text; bad text gives null fields."""
-    return df.withColumn(into, F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"}))
+def parse_json(
+    df: DataFrame, schema: str | T.StructType, value: str = "value", into: str = "j"
+) -> DataFrame:
+    """Add struct column ``into`` parsed from JSON text; bad text gives null fields.
+
+    The struct comes out of a one-element array, which keeps later filters on it
+    above the parsing; otherwise Spark would parse every text once for the
+    filter and once more for the columns.
+    """
+    parsed = F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"})
+    return df.select("*", F.explode(F.array(parsed)).alias(into))
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -29,7 +37,7 @@ def _parse_typed(df: DataFrame, ddl: str, key: str, value: str) -> tuple[DataFra
     # Change records write numbers and times bare or quoted, depending on the
     # tool; both are read as text and then cast.
     schema = T.StructType.fromDDL(ddl)
-    parsed = df.withColumn("j", F.from_json(F.col(value).cast("string"), _as_text(schema), {"mode": "PERMISSIVE"}))
+    parsed = parse_json(df, _as_text(schema), value)
     return parsed, _typed(schema), F.col(f"j.{key}").try_cast(schema[key].dataType).isNotNull()
 
 

@@ -55,7 +55,11 @@ def hour_map(by_hour: DataFrame, value: str) -> DataFrame:
 
 
 def device_totals(dau: DataFrame, day: str) -> DataFrame:
-    """One row (dau, new_mid): devices active on the day, and those never seen before it."""
+    """One row (dau, new_mid): devices active on the day, and those never seen before it.
+
+    Repeated rows of a device do no harm, so the logs themselves will do as well
+    as the device table.
+    """
     date = F.lit(parse_day(day))
     per_device = (
         dau.where(F.col("dt") <= date)

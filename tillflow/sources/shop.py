@@ -160,8 +160,9 @@ class ShopTables:
         )
 
     def cdc_array(self) -> DataFrame:
-        """One envelope per area, holding the area's regions."""
+        """Envelopes of an area's regions, at most a hundred in each."""
         image = F.struct(F.col("id").cast("string").alias("id"), "name")
-        return self.province().groupBy("area_code").agg(F.collect_list(image).alias("images")).select(
+        hundred = F.expr("id DIV 100")
+        return self.province().groupBy("area_code", hundred).agg(F.collect_list(image).alias("images")).select(
             json_column(F.lit("base_province").alias("table"), F.col("images").alias("data")).alias("value")
         )
