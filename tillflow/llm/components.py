@@ -9,7 +9,7 @@ from tillflow.llm.tables import land
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(u - v) % 1000003")).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
 
 
 def _lowest(edges: DataFrame) -> DataFrame:

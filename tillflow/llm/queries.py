@@ -13,7 +13,7 @@ from tillflow.session import configure
 
 BPE_FILE = "word_bpe_49k.json"
 # SimHash contract: four-word shingles, links at four bits.
-SIMHASH = {"shingle": 4, "distance": 4}
+SIMHASH = {"shingle": 4, "distance": 4, "total": None, "parts": 4}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

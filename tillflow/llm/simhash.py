@@ -8,6 +8,12 @@ the candidate counts, taken from the value counts of all fingerprints, picks the
 cheapest thresholds.  Fingerprints probe the buckets within each threshold, and
 every candidate pair is verified on all 64 bits.
 
+For near copies (a similarity of 0.8 or more over five-word shingles) 64 bits are a
+coarse estimate: such pairs are about 10 bits apart, give or take 3.  So the search
+goes to 12 bits, and a pair also has to agree on 64 more bits, made from the same
+hashes, and in the number of shingles, which can differ by a fifth at most.  Both
+together let unrelated texts through about once in 10 ** 13 pairs.
+
 Equal fingerprints are one node, so exact copies make no pairs.  A bucket emits
 only a spanning forest of its links, which keeps every link's two ends in one
 component.  A bucket above ``bucket_rows`` is dealt to several tasks, one for each
@@ -37,25 +43,36 @@ BITS = 64
 SEED = 42
 # Shingles hashed at a time; bounds the memory of a long text.
 BLOCK = 1 << 16
+# An odd number that spreads bits.
+MIX = 0x9E3779B97F4A7C15
+# Buckets up to this size are compared many at a time.
+SMALL = 128
+
 
+def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int]:
+    """The fingerprint, another one if wanted (else 0), and the number of shingles.
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """The unsigned fingerprint; words are runs without ASCII white space, A to Z in lower case."""
+    Words are runs without ASCII white space, A to Z in lower case.
+    """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return 0, 0, 0
     size = min(shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1]
     ends = ends[size - 1:]
-    ones = np.zeros(BITS, np.int64)
+    ones, more = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     for at in range(0, len(starts), BLOCK):
         pieces = [joined[a:b] for a, b in zip(starts[at:at + BLOCK].tolist(), ends[at:at + BLOCK].tolist(), strict=True)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
         ones += bits_of(hashes).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+        if second:
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(MIX)
+            more += bits_of(mixed ^ (mixed >> np.uint64(32))).sum(axis=0, dtype=np.int64)
+    fp, other = (int(np.packbits(2 * x > len(starts), bitorder="little").view("<u8")[0]) for x in (ones, more))
+    return fp, other, len(starts)
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -63,18 +80,18 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprints(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, fp`` and the locator of each located row; ``fp`` holds the 64 bits in a signed long."""
+def fingerprints(rows: DataFrame, id_col: str, text_col: str, shingle: int, second: bool) -> DataFrame:
+    """``doc_id, fp, other, n`` and the locator of each located row; signed longs hold the bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            found = [fingerprint(t, shingle, second) for t in batch.column("text").to_pylist()]
+            fp, other, n = (np.array(x, np.uint64).view(np.int64) for x in (zip(*found, strict=True) if found else [[]] * 3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column(FILE), batch.column(ROW), pa.array(fps.view(np.int64))],
-                ["doc_id", FILE, ROW, "fp"])
+                [*(batch.column(c) for c in ("doc_id", FILE, ROW)), *map(pa.array, (fp, other, n))], ["doc_id", FILE, ROW, "fp", "other", "n"])
 
     inputs = rows.select(F.col(id_col).alias("doc_id"), FILE, ROW, text_of(text_col).alias("text"))
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, fp long")
+    return inputs.mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, fp long, other long, n long")
 
 
 def together(fps: DataFrame) -> np.ndarray:
@@ -82,7 +99,7 @@ def together(fps: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS + 1, BITS + 1))
         for batch in batches:
-            bits = bits_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.float32)
+            bits = bits_of(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.float32)
             for at in range(0, len(bits), BLOCK):
                 part = bits[at:at + BLOCK]
                 total[:BITS, :BITS] += part.T @ part
@@ -90,7 +107,7 @@ def together(fps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel().astype(np.int64))], ["cell", "n"])
 
-    sums = fps.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((BITS + 1) ** 2)
     out[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     return out.reshape(BITS + 1, BITS + 1)
@@ -168,16 +185,16 @@ def allocate(costs: list[list[float]], distance: int) -> list[int]:
 
 
 def probes(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """``key, role, fp``: each fingerprint in its own bucket (role 0) and in those within the threshold (role 1)."""
+    """``key, role`` and the columns: each fingerprint in its own bucket (role 0) and in those within the threshold (role 1)."""
     rows = []
     for k, (bits, threshold) in enumerate(zip(groups, thresholds, strict=True)):
         if threshold < 0:
             continue
         masks = [sum(1 << b for b in flips) for t in range(threshold + 1) for flips in combinations(range(len(bits)), t)]
         at = F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")
-        rows.append(fps.select("fp", value_of(bits).alias("value"), at).select(
+        rows.append(fps.select("*", value_of(bits).alias("value"), at).select(
             (F.lit(k << BITS // 2).cast("long") + F.col("value").bitwiseXOR(F.col("mask"))).alias("key"),
-            F.when(F.col("mask") == 0, 0).otherwise(1).cast("int").alias("role"), "fp"))
+            F.when(F.col("mask") == 0, 0).otherwise(1).cast("int").alias("role"), *fps.columns))
     out = rows[0]
     for more in rows[1:]:
         out = out.union(more)
@@ -191,8 +208,8 @@ def dealt(table: DataFrame, bucket_rows: int) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     return (
         table.join(large, "key", "left").withColumn("chunks", chunks).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "role", "fp")
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "role", "fp", "other", "n")
     )
 
 
@@ -214,23 +231,56 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(table: DataFrame, distance: int) -> DataFrame:
-    """Verified links ``(u, v)`` of all buckets, as a forest for each stretch of buckets."""
-    def verify(key: np.ndarray, role: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+def links(table: DataFrame, distance: int, total: int | None) -> DataFrame:
+    """Verified links ``(u, v)`` of all buckets, as a forest for each stretch of buckets.
+
+    ``total`` bounds the differing bits of both fingerprints; the numbers of shingles
+    then have to agree too.
+    """
+    def near(a: np.ndarray, b: np.ndarray, one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidate positions ``a`` and ``b`` in two stretches those that link."""
+        if total is None or not len(a):
+            return a, b
+        bits = np.bitwise_count(one[0][a] ^ two[0][b]).astype(np.int64) + np.bitwise_count(one[1][a] ^ two[1][b])
+        x, y = one[2][a], two[2][b]
+        keep = (bits <= total) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+        return a[keep], b[keep]
+
+    def verify(key: np.ndarray, role: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        fp = columns[0]
         last = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(fp))
-        end = np.repeat(last, np.diff(np.insert(last, 0, 0)))
-        at = np.flatnonzero(role == 0)
-        u, v, held, step = [], [], 0, 1
-        while len(at := at[at + step < end[at]]):
-            near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
-            if len(near):
-                u.append(fp[near])
-                v.append(fp[near + step])
-                held += len(near)
+        first = np.insert(last[:-1], 0, 0)
+        u, v, held = [], [], 0
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal u, v, held
+            if len(a):
+                u.append(a)
+                v.append(b)
+                held += len(a)
                 if held > 1 << 20:
                     a, b = forest(np.concatenate(u), np.concatenate(v))
                     u, v, held = [a], [b], len(a)
+
+        # Small buckets all at once: each row with the next, the one after that, and so on.
+        end = np.repeat(last, last - first)
+        small = np.repeat(last - first <= SMALL, last - first)
+        at, step = np.flatnonzero((role == 0) & small), 1
+        while len(at := at[at + step < end[at]]):
+            a = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
+            a, b = near(a, a + step, columns, columns)
+            add(fp[a], fp[b])
             step += 1
+        # Large ones block by block.
+        for lo, hi in zip(first.tolist(), last.tolist(), strict=True):
+            own = lo + int((role[lo:hi] == 0).sum())
+            if hi - lo > SMALL:
+                rows = max(1, (1 << 20) // (hi - lo))
+                for top in range(lo, own, rows):
+                    block = fp[top:min(top + rows, own)]
+                    a, b = np.nonzero(np.bitwise_count(block[:, None] ^ fp[None, top:hi]) <= distance)
+                    a, b = near(a[a < b] + top, b[a < b] + top, columns, columns)
+                    add(fp[a], fp[b])
         a, b = forest(np.concatenate(u), np.concatenate(v)) if held else (fp[:0], fp[:0])
         return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["u", "v"])
 
@@ -240,7 +290,7 @@ def links(table: DataFrame, distance: int) -> DataFrame:
         for batch in batches:
             parts = (
                 np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")], axis=1),
-                batch.column("role").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
+                batch.column("role").to_numpy(), *(batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "other")), batch.column("n").to_numpy())
             if rest is not None:
                 parts = tuple(np.concatenate(x) for x in zip(rest, parts, strict=True))
             cut = np.flatnonzero((parts[0] != parts[0][-1]).any(axis=1)) if len(parts[0]) else []
@@ -251,24 +301,25 @@ def links(table: DataFrame, distance: int) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield verify(*rest)
 
-    spread = table.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "role", "fp")
+    spread = table.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "role")
     return spread.mapInArrow(run, "u long, v long")
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    shingle: int = 5, distance: int = 3, parts: int = 4, bucket_rows: int = 4096,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+    distance: int = 12, total: int | None = 24, parts: int = 6, bucket_rows: int = 1 << 14,
 ) -> DataFrame:
     """One row per input row: ``doc_id, fp, component_id, kept`` and the locator.
 
     ``component_id`` is the smallest identifier reachable over links of at most
-    ``distance`` differing bits; the row that carries it is kept.
+    ``distance`` differing bits, and ``total`` with the second fingerprint (None: no
+    second one); the row that carries it is kept.
     """
-    rows = land(fingerprints(located(docs), id_col, text_col, shingle), "fingerprints")
-    fps = land(rows.select("fp").distinct(), "distinct-fingerprints")
+    rows = land(fingerprints(located(docs), id_col, text_col, shingle, total is not None), "fingerprints")
+    fps = land(rows.groupBy("fp").agg(F.min(F.struct("other", "n")).alias("m")).select("fp", "m.other", "m.n"), "distinct-fingerprints")
     groups = group_bits(together(fps), parts)
-    thresholds = allocate([candidates(c, distance) for c in value_counts(fps, groups)], distance)
-    found = land(links(dealt(probes(fps, groups, thresholds), bucket_rows), distance), "links")
+    thresholds = allocate([candidates(c, distance) for c in value_counts(fps.select("fp"), groups)], distance)
+    found = land(links(dealt(probes(fps, groups, thresholds), bucket_rows), distance, total), "links")
     roots = land(components(found), "components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("first")
     firsts = land(rows.groupBy("fp").agg(first), "firsts")
