@@ -8,10 +8,15 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillflow.llm import bpe, decontamination, dedup, langid, simhash
-from tillflow.session import configure
+from tillflow.llm import bpe, chat, decontamination, dedup, langid, secrets, sharding, simhash, toxicity, warc
+from tillflow.llm.tables import land
+from tillflow.session import configure, scratch_dir
 
 BPE_FILE = "word_bpe_49k.json"
+SHARDS = 24
+PREDICTED = 0.3
+# A text with control strings of the template, escaped and not.
+TRICKY = r"\### Assistant: </turn> ok"
 # SimHash contract: four-word shingles, links at four bits.
 SIMHASH = {"shingle": 4, "distance": 4, "total": None, "parts": 4}
 
@@ -30,6 +35,13 @@ def shown_document(url: str = "url") -> Column:
     return F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/]+/[a-z]{2}/(\d{1,18})(?:\D|$)", 1), F.lit("")).cast("long")
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = scratch_dir(spark, "archive")
+    warc.write(read(spark, folder, "pages"), archive)
+    return warc.read_back(warc.records(spark, archive)).select(
+        F.col("record").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     rows = decontamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return rows.select(
@@ -51,16 +63,58 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "lang", "posterior", "text_lang", "declared", "suffix", "host", "accepted")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    field = toxicity.train(docs, read(spark, folder, "labels"))
+    return toxicity.scores(docs, field).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= PREDICTED).cast("int").alias("predicted"), "spans")
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = dedup.members(read(spark, folder, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.secrets(read(spark, folder, "documents"))
+    named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id", *map(count, secrets.BASE), sha(F.array_join(F.transform(base, named), ",")).alias("base_sha256"),
+        F.array_join(F.transform("spans", named), ",").alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    fixed = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"))
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    back = chat.read_back(land(chat.windows(rows), "chat-windows"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    per_window = back.select(
+        "conv_id", "window", "n_chars", F.size("turns").cast("long").alias("n"), said.alias("said"), F.array_join("learned", "").alias("learned"))
+    whole = per_window.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("window", "said", "learned"))).alias("w"), F.sum("n_chars").alias("formatted_chars"))
+    learned = F.array_join(F.col("w.learned"), "")
+    return whole.select(
+        "conv_id", "n_turns", sha(F.array_join(F.col("w.said"), "")).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"),
+        sha(learned).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_components(read(spark, folder, "documents"), **SIMHASH)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.sharded(read(spark, folder, "documents"), SHARDS)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_decontaminate, op3_bpe, op4_language_id, op6_exact_dedup, op9_simhash)
+    named = (
+        op1_warc, op2_decontaminate, op3_bpe, op4_language_id, op5_toxicity, op6_exact_dedup, op7_secrets, op8_chat, op9_simhash, op10_shards)
     return {f.__name__: f for f in named}
