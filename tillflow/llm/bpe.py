@@ -68,7 +68,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        kinds = {n["type"] for n in spec["normalizer"]["normalizers"]}
+        kinds = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
         if model["type"] != "BPE" or model["byte_fallback"] or model["ignore_merges"] or kinds != {"NFC", "Replace", "Lowercase"}:
             raise ValueError(f"{path}: only byte-level BPE on lower-cased words is known")
         ids, end = model["vocab"], model["end_of_word_suffix"]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillflow.llm.tables import ascii_lower, land, text_of
+from tillflow.llm.tables import ascii_lower, land, text_of, unused
 
 # Fixed value: letters other than A-Z a-z, and the digits, make words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,5 +147,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without any window of an item."""
     dirty = land(contained(docs, benchmark, id_col, text_col, **options).select("key").distinct(), "contaminated")
-    return docs.withColumn("_key", key_of(id_col, text_col)).join(
-        dirty.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
+    name = unused("key", docs)
+    return docs.withColumn(name, key_of(id_col, text_col)).join(
+        dirty.withColumnRenamed("key", name), name, "left_anti").drop(name)

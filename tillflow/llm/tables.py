@@ -68,5 +68,13 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
