@@ -1,9 +1,7 @@
-"""Shared helpers: written tables that cut lineage, row locators, ASCII lower case."""
+"""Shared helpers: written tables that cut lineage, and row locators."""
 
 from __future__ import annotations
 
-import string
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,15 +57,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A to Z only; other letters stay.
-
-    Pure ASCII text takes the shorter way.
-    """
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
-        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-
-
 def unused(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that the frame does not have."""
     taken = {c.lower() for c in df.columns}
