@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tillflow.llm.tables import text_of
 
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 250_000
 # The splitting pattern of the vocabulary file, for lower-cased text;
 # white space by its Unicode property.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -200,23 +200,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return inputs.mapInArrow(run, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, rows: int = 256) -> DataFrame:
     """``doc_id, ids, text``: the names of the ids with one space between them, special tokens too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = vocabulary(path).names
         gaps = bool((names == "").any())
         for batch in batches:
-            lists = batch.column("ids")
-            ends = lists.offsets.to_numpy()
-            flat = lists.flatten().to_numpy()
-            first, texts = ends[0], []
-            for a, b in pairwise(ends - first):
-                ids = flat[a:b]
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(names) or gaps):
-                    ids = ids[(ids >= 0) & (ids < len(names))]
-                    ids = ids[names[ids] != ""]
-                texts.append(" ".join(names[ids].tolist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = []
+                for ids in part.column("ids"):
+                    ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+                    if len(ids) and (gaps or ids.min() < 0 or ids.max() >= len(names)):
+                        ids = ids[(ids >= 0) & (ids < len(names))]
+                        ids = ids[names[ids] != ""]
+                    texts.append(" ".join(names[ids].tolist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
