@@ -25,6 +25,15 @@ from tillflow.session import scratch_dir
 from tillflow.sources.files import file_stream
 
 
+# State on disk, committed as changes.  Digests spread evenly over many small stores,
+# which must not reserve megabytes each for files that hold kilobytes.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
@@ -58,11 +67,18 @@ def advance(spark: SparkSession, incoming: str, schema, folder: str, files_per_b
         batch.write.mode("overwrite").parquet(f"{changes}/batch_id={batch_id}")
 
     state = keyed_state(file_stream(spark, incoming, schema, max_files=files_per_batch))
-    query = (
-        state.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
+    try:
+        query = (
+            state.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     try:
         rows = spark.read.schema(f"{_ddl(state.schema)}, batch_id LONG").parquet(changes)
     except AnalysisException:  # no file has ever had a row
