@@ -1,0 +1,76 @@
+import itertools
+import random
+
+import pytest
+
+from tillflow.llm import chat
+
+HARD = [r"\### Assistant: </turn> ok", "</turn>\n### user:\nx", "\\", "\\\\h\\", "a\\bb\\h\\l", "", " \n ", "### ", "😀 é </turn>", "<<<###\\\\", ":\n:\n"]
+
+
+def rows_of(rng, conversations=12):
+    rows = []
+    for c in range(conversations):
+        turn = itertools.count(rng.randrange(3))
+        if c % 3 == 0:
+            rows.append((c, next(turn), "system", "be kind " * rng.randrange(1, 6)))
+        for k in range(rng.randrange(1, 40)):
+            text = rng.choice([*HARD, None, "word " * rng.randrange(1, 60), "long " * 300])
+            rows.append((c, next(turn), ("user", "assistant")[k % 2], text))
+    rows += [(50, 0, "assistant", "x"), (50, 0, "assistant", "x"), (50, None, "user", "no number"), (None, 0, "user", "no id"), (None, 1, "assistant", "ok"), (51, 5, None, "no role"), (52, 0, "a:\n#<\\", "odd role")]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, "w") for r in rows], "conv_id long, turn long, role string, text string, ord int, window string")
+
+
+def plain(rows):
+    out = {}
+    for c in {r[0] for r in rows}:
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c))
+        out[c] = [(t[2], t[3]) for t in turns]
+    return out
+
+
+@pytest.mark.parametrize("budget, history, block", [(64, 16, 1024), (128, 32, 4), (10_000, 10, 8)])
+def test_windows(spark, monkeypatch, budget, history, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rows = rows_of(random.Random(budget))
+    table = chat.windows(frame(spark, rows), budget=budget, history=history).collect()
+    back = {(r.conv_id, r.window): r for r in chat.read_back(chat.windows(frame(spark, rows), budget=budget, history=history)).collect()}
+    for c, turns in plain(rows).items():
+        mine = sorted((w for w in table if w.conv_id == c), key=lambda w: w.window)
+        seen = [(t.role, t.text) for w in mine for t in back[c, w.window].turns]
+        assert seen == turns
+        assert [t for w in mine for t in back[c, w.window].learned] == [t for role, t in turns if role == "assistant"]
+        system = turns[0] if turns[0][0] == "system" else None
+        done = 0
+        for k, w in enumerate(mine):
+            pieces = w.text.split(chat.CLOSE)[:-1]
+            fresh = back[c, w.window].turns
+            assert len(pieces) == w.n_repeated + len(fresh)
+            # Repeated: the system turn, then the turns just before.
+            repeated = w.n_repeated
+            if k and system:
+                assert pieces[0].startswith("### system:\n")
+                repeated -= 1
+            size = lambda t: len(t[1].split()) + chat.MARKS
+            recalled = turns[done - repeated:done] if repeated else []
+            assert sum(map(size, recalled)) <= history
+            assert w.n_tokens == sum(map(size, recalled)) + sum(size((t.role, t.text)) for t in fresh) + (size(system) if k and system else 0)
+            assert w.n_tokens <= budget or (w.over and len(fresh) <= 2)
+            done += len(fresh)
+
+
+def test_escapes_are_reversible(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in HARD], "t string")
+    for role in (False, True):
+        got = df.select("t", chat.escape(F.col("t"), role).alias("e"), chat.unescape(chat.escape(F.col("t"), role), role).alias("u")).collect()
+        assert all(r.t == r.u and "#" not in r.e and "<" not in r.e for r in got)
+
+
+def test_empty(spark):
+    assert chat.read_back(chat.windows(frame(spark, []))).count() == 0

@@ -1,0 +1,51 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from tillflow.llm import sharding
+
+
+def test_like_brute_force(documents, odd_pairs):
+    rows = sharding.sharded(documents(odd_pairs), 3, slots=16).collect()
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in odd_pairs)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    shard_of, places = {}, defaultdict(list)
+    for r in rows:
+        assert shard_of.setdefault(r.virtual_slot, r.shard) == r.shard
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_sizes_are_nearly_equal(documents, prose):
+    rng = random.Random(2)
+    docs = documents([(i, prose(i, rng.randrange(1, 200))) for i in range(400)])
+    total = Counter()
+    for r in sharding.sharded(docs, 8).collect():
+        total[r.shard] += r.size
+    assert max(total.values()) - min(total.values()) < 0.01 * max(total.values())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rebalancing_moves_little_and_never_worsens(seed):
+    rng = random.Random(seed)
+    weight = [rng.choice((0, 1, 5, 100, 1000)) * rng.randrange(10) for _ in range(200)]
+    owner = sharding.dealt(200, 7)
+    new = sharding.rebalance(owner, weight, 7)
+    spread = lambda o, k: max(c := [sum(w for w, s in zip(weight, o, strict=True) if s == j) for j in range(k)]) - min(c)
+    assert spread(new, 7) <= min(spread(owner, 7), max(weight))
+    grown = sharding.rebalance(new, weight, 8)
+    assert spread(grown, 8) <= max(weight)
+    assert sharding.rebalance(new, weight, 7) == new
+
+
+def test_map_versions_are_kept(spark, documents, tmp_path):
+    sharding.sharded(documents([(i, "x" * i) for i in range(50)]), 4, slots=32, folder=str(tmp_path)).count()
+    first, second = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, str(tmp_path), v).collect()} for v in (1, 2))
+    assert first == dict(enumerate(sharding.dealt(32, 4))) and first.keys() == second.keys() and first != second
+
+
+def test_empty_and_fewer_rows_than_shards(documents):
+    assert sharding.sharded(documents([]), 24).count() == 0
+    assert sharding.sharded(documents([(1, None)]), 24).first().size == 8
