@@ -8,7 +8,8 @@ from tillflow.checks.replays import Arrivals
 from tillflow.sinks.tables import write_batch
 from tillflow.sources.files import file_stream
 from tillflow.streaming import changes, devices, sales
-from tillflow.streaming.running import ONCE, start_files
+from tillflow.session import scratch_dir, state_partitions
+from tillflow.streaming.running import ONCE, late_rows, salt_count, start_files
 
 
 def feed(df, path):
@@ -141,3 +142,76 @@ def test_arrivals_hold_every_row_once(spark, tmp_path):
         source.arrive(number)
     got = spark.read.parquet(source.incoming)
     assert (got.count(), got.distinct().count()) == (100, 100)
+
+
+def test_orders_paid_after_the_bound_reach_the_wide_table(spark, tmp_path, rows):
+    o, l, out = (str(tmp_path / n) for n in ("o", "l", "out"))
+    order = lambda key, t, op=None: (key, 1, 1, at(t), op, 10, 10)
+    line = lambda key, order_id, t: (key, order_id, 10, 1, 1, at(t))
+
+    def step(orders, lines):
+        feed(spark.createDataFrame(orders, ORDERS), o)
+        feed(spark.createDataFrame(lines, LINES), l)
+        joined = sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES))
+        return run(start_files(joined, out, str(tmp_path / "c"), ONCE))
+
+    step([order(1, 0)], [line(101, 1, 1)])
+    step([order(2, 60, at(61))], [line(102, 2, 60)])
+    step([order(1, 0, at(3600)), order(3, 2 * 86400, at(2 * 86400))], [line(103, 3, 2 * 86400)])
+    assert rows(spark.read.parquet(out), "order_id", "order_detail_id") == [(1, 101), (2, 102), (3, 103)]
+    # Two days on, a line of the first day is late, and counted.
+    late = step([], [line(104, 2, 61)])
+    assert late_rows(late) > 0 and spark.read.parquet(out).count() == 3
+
+
+def test_batch_and_stream_split_agree_on_incomplete_orders(spark, tmp_path):
+    from tillflow.operators import wide
+
+    schema = ("order_detail_id bigint, order_id bigint, sku_price bigint, sku_num bigint, "
+              "final_total_amount bigint, original_total_amount bigint")
+    df = spark.createDataFrame([(i, 1, 4000, 1, 10000, 12000) for i in (1, 2)] + [(9, 2, 10, 1, 7, 10)], schema)
+    out = str(tmp_path / "out")
+    sales.wide_batch(sales.split_state(spark, str(tmp_path / "state")), [lambda b, n: write_batch(b, out, n)])(df, 0)
+    shares = lambda rows: {r.order_detail_id: r.final_detail_amount for r in rows.collect()}
+    assert shares(wide.apportion(df)) == shares(spark.read.parquet(out)) == {1: 3333, 2: 3333, 9: 7}
+
+
+def test_logs_without_a_device_are_rejected(spark, tmp_path):
+    from tillflow.operators.dau import daily_devices
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    feed(logs(spark, ("a", (1, 5)), (None, (1, 6)), (None, (1, 7))), source)
+    query = run(devices.start(file_stream(spark, source, "value string"), out, str(tmp_path / "c"), ONCE))
+    assert [r.mid for r in spark.read.parquet(out).collect()] == ["a"]
+    metrics = query.recentProgress[0].observedMetrics["startup_parsed"]
+    assert (metrics.parsed, metrics.rejected) == (1, 2)
+    plain = spark.createDataFrame([((None, "u", "a", "c", "v"), 1), (("b", "u", "a", "c", "v"), 2)],
+                                  "common struct<mid:string,uid:string,ar:string,ch:string,vc:string>, ts bigint")
+    assert [r.mid for r in daily_devices(plain).collect()] == ["b"]
+    # What came too late for the stream is what the stored days lack.
+    assert devices.late_devices(plain, spark.read.parquet(out)).count() == 1
+
+
+def test_state_partitions_are_the_sessions_or_the_callers(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        with state_partitions(spark):
+            assert spark.conf.get(key) == "200"
+        with state_partitions(spark, 7):
+            assert spark.conf.get(key) == "7"
+        assert spark.conf.get(key) == "200" and salt_count(spark.range(1), None) == 34 and salt_count(spark.range(1), 2) == 2
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_no_machine_local_scratch_on_a_cluster():
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        scratch_dir(Session(), "x")
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert scratch_dir(Session(), "x").startswith("hdfs://shared/x-")

@@ -32,7 +32,7 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'X' END AS gender
         FROM customer""",
     "fx_user_state": """
-        SELECT c_custkey AS user_id, '1' AS if_consumed FROM customer WHERE c_custkey % 10 = 0""",
+        SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN '1' ELSE '0' END AS if_consumed FROM customer""",
     "fx_spu": "SELECT min(p_partkey) AS spu_id, p_name AS spu_name FROM part GROUP BY p_name",
     "fx_tm": """
         SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS tm_id, p_brand AS tm_name
@@ -103,6 +103,13 @@ VIEWS = {
                ELSE CAST(final_c - coalesce(sum(raw_c) OVER (PARTITION BY order_id ORDER BY order_detail_id
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS share_c
         FROM fx_raw_split""",
+    "fx_open_wide": """
+        SELECT * REPLACE (CASE WHEN order_id % 7 = 0 THEN orig_c + 100 ELSE orig_c END AS orig_c) FROM fx_order_wide""",
+    "fx_open_raw": """
+        SELECT *, CAST((2 * CAST(line_c AS HUGEINT) * final_c + orig_c) // (2 * CAST(orig_c AS HUGEINT)) AS BIGINT) AS raw_c,
+               row_number() OVER (PARTITION BY order_id ORDER BY order_detail_id DESC) AS from_last,
+               sum(line_c) OVER (PARTITION BY order_id) AS lines_c
+        FROM fx_open_wide""",
     "fx_dim_changes": """
         SELECT *, 1 AS seq FROM fx_province
         UNION ALL SELECT id, name || '_v2', area_code, iso_code, 2 AS seq FROM fx_province WHERE id % 5 = 0""",
@@ -150,7 +157,7 @@ QUERIES = {
     "dim_scan_spu": "SELECT spu_id, spu_name FROM fx_spu",
     "dim_scan_trademark": "SELECT tm_id, tm_name FROM fx_tm",
     "dim_scan_category3": "SELECT category3_id, category3_name FROM fx_category3",
-    "dim_upsert": DIM_LATEST,
+    "dim_upsert": f"{DIM_LATEST} UNION ALL SELECT -1, 'new', '0', 'N'",
     "state_lookup_semi": """
         SELECT user_id, if_consumed FROM fx_user_state s
         WHERE EXISTS (SELECT 1 FROM fx_order_info o WHERE o.user_id = s.user_id)""",
@@ -187,6 +194,11 @@ QUERIES = {
     "order_split_amount": SPLIT,
     "order_split_no_residual": """
         SELECT order_detail_id, order_id, line_c, orig_c, final_c, raw_c AS share_c FROM fx_raw_split""",
+    "order_split_incomplete": """
+        SELECT order_detail_id, order_id, line_c, orig_c, final_c,
+               CASE WHEN from_last = 1 AND lines_c = orig_c
+                    THEN CAST(final_c - (sum(raw_c) OVER (PARTITION BY order_id) - raw_c) AS BIGINT) ELSE raw_c END AS share_c
+        FROM fx_open_raw""",
     "order_wide_table": """
         SELECT w.order_detail_id, w.order_id, o.order_status, w.create_time, w.user_id, w.sku_id,
                w.sku_num, w.final_c, w.share_c, o.if_first_order, o.province_name,
@@ -242,8 +254,12 @@ QUERIES = {
         SELECT order_detail_id, order_id, user_id, sku_id, sku_num, line_c, orig_c, final_c, dt, create_time
         FROM fx_order_wide""",
     "stream_order_split": """
-        SELECT order_id, count(*) AS lines, CAST(sum(line_c) AS BIGINT) AS line_c, CAST(sum(share_c) AS BIGINT) AS share_c
+        SELECT order_id, count(*) AS lines, CAST(sum(line_c) AS BIGINT) AS line_c, CAST(sum(share_c) AS BIGINT) AS share_c,
+               count(*) FILTER (share_c <> raw_c) AS adjusted
         FROM fx_split GROUP BY order_id""",
+    "stream_order_wide_late_paid": """
+        SELECT order_detail_id, order_id, user_id, sku_id, sku_num, line_c, orig_c, final_c, dt, create_time
+        FROM fx_order_wide""",
     "stream_brand_batch_sum": """
         SELECT trademark_id, trademark_name, CAST(sum(amount_c) AS BIGINT) AS amount_c
         FROM fx_stat GROUP BY 1, 2""",

@@ -120,9 +120,15 @@ def cdc_images(routed: DataFrame) -> DataFrame:
 
 
 def dim_upsert(shop: ShopTables) -> DataFrame:
-    changes = shop.province_changes()
-    none_yet = changes.limit(0)
-    return dims.upsert(none_yet, changes, "id", "seq").drop("seq")
+    stored = shop.province().withColumn("seq", F.lit(1))
+    return dims.upsert(stored, shop.province_renames(), "id", "seq").drop("seq")
+
+
+def order_split_incomplete(shop: ShopTables) -> DataFrame:
+    """Every seventh order still waits for a line: its original total is above the sum of its lines."""
+    waiting = F.when(F.col("id") % 7 == 0, F.col("original_total_amount") + 100).otherwise(F.col("original_total_amount"))
+    headers = shop.order_info().withColumn("original_total_amount", waiting)
+    return plain(wide.apportion(wide.join_wide(headers, shop.order_detail())), *SPLIT_COLUMNS)
 
 
 def user_labels(shop: ShopTables) -> DataFrame:
@@ -181,6 +187,7 @@ BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
         details.enrich(order_wide_dedup(s), *products(s)), *WIDE_COLUMNS, *PRODUCT_KEYS),
     "order_split_amount": lambda s: plain(lines_split(s), *SPLIT_COLUMNS),
     "order_split_no_residual": lambda s: plain(lines_split(s, residual="none"), *SPLIT_COLUMNS),
+    "order_split_incomplete": order_split_incomplete,
     "order_wide_table": order_wide_table,
     "brand_batch_sum": lambda s: plain(brand_stat(s)).withColumnRenamed("amount", "amount_c"),
     "brand_topn": topn,

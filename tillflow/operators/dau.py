@@ -18,8 +18,8 @@ def with_day_hour(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def device_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Flat device rows of a start-up log that already has ``dt`` and ``hr``."""
-    return df.select(
+    """Flat device rows of a start-up log that already has ``dt`` and ``hr``; logs without a device are no device."""
+    return df.where(F.col("common.mid").isNotNull()).select(
         "common.mid", "common.uid", "common.ar", "common.ch", "common.vc",
         "dt", "hr", F.lit(MINUTE).alias("mi"), "ts", *keep,
     )

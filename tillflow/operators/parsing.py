@@ -33,12 +33,13 @@ def _typed(schema: T.StructType) -> list[Column]:
     ]
 
 
-def _parse_typed(df: DataFrame, ddl: str, key: str, value: str) -> tuple[DataFrame, list[Column], Column]:
+def _parse_typed(df: DataFrame, ddl: str, key: str, value: str, also: str | None = None) -> tuple[DataFrame, list[Column], Column]:
     # Change records write numbers and times bare or quoted, depending on the
     # tool; both are read as text and then cast.
     schema = T.StructType.fromDDL(ddl)
     parsed = parse_json(df, _as_text(schema), value)
-    return parsed, _typed(schema), F.col(f"j.{key}").try_cast(schema[key].dataType).isNotNull()
+    usable = F.col(f"j.{key}").try_cast(schema[key].dataType).isNotNull()
+    return parsed, _typed(schema), usable & F.col(f"j.{also}").isNotNull() if also else usable
 
 
 def typed_rows(
@@ -48,12 +49,13 @@ def typed_rows(
     value: str = "value",
     observe: str | None = None,
     keep: tuple[str, ...] = (),
+    also: str | None = None,
 ) -> DataFrame:
-    """Rows of ``schema`` parsed from JSON text, without those lacking ``key``.
+    """Rows of ``schema`` parsed from JSON text, without those lacking ``key`` or field ``also``.
 
     ``observe`` names a metric with the counts of parsed and rejected rows.
     """
-    parsed, columns, usable = _parse_typed(df, schema, key, value)
+    parsed, columns, usable = _parse_typed(df, schema, key, value, also)
     if observe:
         parsed = parsed.observe(
             observe,
@@ -63,9 +65,11 @@ def typed_rows(
     return parsed.where(usable).select(*keep, *columns)
 
 
-def rejected_rows(df: DataFrame, schema: str, key: str, value: str = "value") -> DataFrame:
-    """The raw text that ``typed_rows`` leaves out."""
-    parsed, _, usable = _parse_typed(df, schema, key, value)
+def rejected_rows(
+    df: DataFrame, schema: str, key: str, value: str = "value", also: str | None = None
+) -> DataFrame:
+    """The raw text that ``typed_rows`` leaves out, for a stream or table of its own."""
+    parsed, _, usable = _parse_typed(df, schema, key, value, also)
     return parsed.where(~usable).drop("j")
 
 

@@ -92,14 +92,20 @@ def finish_share(priced: DataFrame) -> DataFrame:
 
 
 def leftovers(priced: DataFrame) -> DataFrame:
-    """(order_detail_id, _left_c) of the last line of every order whose shares do not add up."""
+    """(order_detail_id, _left_c) of the last line of every order whose shares do not add up.
+
+    An order has a last line only if its lines make up its original total; while
+    one is missing, every line has its own share, as in the stream.
+    """
     return (
         priced.groupBy("order_id")
         .agg(
             F.max("order_detail_id").alias("order_detail_id"),
             (F.max("_final_c") - F.coalesce(F.sum("_share_c"), F.lit(0))).alias("_left_c"),
             F.max("_original_c").alias("_original_c"),
+            F.coalesce(F.sum("_line_c"), F.lit(0)).alias("_sum_c"),
         )
+        .where(F.col("_sum_c") == F.col("_original_c"))
         .where((F.col("_left_c") != 0) | (F.col("_original_c") <= 0))
         .select("order_detail_id", "_left_c")
     )

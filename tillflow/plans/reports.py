@@ -58,18 +58,15 @@ def device_totals(dau: DataFrame, day: str) -> DataFrame:
     """One row (dau, new_mid): devices active on the day, and those never seen before it.
 
     Repeated rows of a device do no harm, so the logs themselves will do as well
-    as the device table.
+    as the device table.  Of the days before only the devices of the day are looked up:
+    history is cut to two columns and to these devices before anything is grouped.
     """
     date = F.lit(parse_day(day))
-    per_device = (
-        dau.where(F.col("dt") <= date)
-        .groupBy("mid")
-        .agg(F.min("dt").alias("first_day"), F.max("dt").alias("last_day"))
-        .where(F.col("last_day") == date)
-    )
-    return per_device.agg(
+    today = dau.where(F.col("dt") == date).select("mid").distinct()
+    before = dau.where(F.col("dt") < date).select("mid").join(today, "mid", "left_semi").distinct()
+    return today.join(before.withColumn("known", F.lit(True)), "mid", "left").agg(
         F.count("*").alias("dau"),
-        F.count_if(F.col("first_day") == date).alias("new_mid"),
+        F.count_if(F.col("known").isNull()).alias("new_mid"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -52,10 +53,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-    unset (local tests) a temporary folder is used.
+    unset and all of Spark is in one process (tests) a temporary folder is used;
+    on a cluster every executor would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tillflow-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -64,16 +68,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def state_partitions(spark: SparkSession, partitions: int | None = None):
     """Partition count for the state of queries started inside the block.
 
-    A streaming query keeps the count of its first start for good.  Spark's
-    untouched default of 200 is lowered to the cores of a small session, and any
-    value the cluster set itself is kept.
+    A streaming query keeps the count of its first start for good, so it is the
+    session's own value unless one is given.
     """
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    if partitions is None:
-        cores = spark.sparkContext.defaultParallelism
-        partitions = min(200, cores) if before == "200" else int(before)
-    spark.conf.set(key, str(partitions))
+    if partitions is not None:
+        spark.conf.set(key, str(partitions))
     try:
         yield
     finally:

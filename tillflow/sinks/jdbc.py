@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame
 
 def append_options(
     url: str, table: str, driver: str | None = None,
-    batch_size: int = 100, isolation: str = "NONE", partitions: int = 1,
+    batch_size: int = 1000, isolation: str = "NONE", partitions: int | None = None,
 ) -> dict[str, str]:
-    """Writer options; raise ``partitions`` where the database takes parallel writers."""
-    options = {
-        "url": url, "dbtable": table, "batchsize": str(batch_size),
-        "isolationLevel": isolation, "numPartitions": str(partitions),
-    }
+    """Writer options; ``partitions`` bounds the parallel writers, 1 is for a database that takes only one."""
+    options = {"url": url, "dbtable": table, "batchsize": str(batch_size), "isolationLevel": isolation}
+    if partitions:
+        options["numPartitions"] = str(partitions)
     return {**options, "driver": driver} if driver else options
 
 

@@ -72,6 +72,11 @@ class ShopTables:
         renamed = first.where(F.col("id") % 5 == 0).withColumn("name", F.concat("name", F.lit("_v2")))
         return first.withColumn("seq", F.lit(1)).unionByName(renamed.withColumn("seq", F.lit(2)))
 
+    def province_renames(self) -> DataFrame:
+        """Later changes to the stored regions, and one region that is not stored yet."""
+        new = self.spark.range(1).selectExpr("CAST(-1 AS BIGINT) AS id", "'new' AS name", "'0' AS area_code", "'N' AS iso_code")
+        return self.province_changes().where("seq = 2").unionByName(new.withColumn("seq", F.lit(2)))
+
     def users(self) -> DataFrame:
         return self.raw("customer").selectExpr(
             "c_custkey AS id",
@@ -80,9 +85,10 @@ class ShopTables:
         )
 
     def user_state(self) -> DataFrame:
-        """Buyers known to have ordered before: one customer key in ten."""
-        known = self.raw("customer").where("c_custkey % 10 = 0")
-        return known.selectExpr("c_custkey AS user_id", "'1' AS if_consumed")
+        """All buyers; one customer key in ten is known to have ordered before."""
+        return self.raw("customer").selectExpr(
+            "c_custkey AS user_id", "CASE WHEN c_custkey % 10 = 0 THEN '1' ELSE '0' END AS if_consumed"
+        )
 
     def spu(self) -> DataFrame:
         return self.raw("part").groupBy(F.col("p_name").alias("spu_name")).agg(F.min("p_partkey").alias("spu_id"))

@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillflow import schemas
-from tillflow.operators.dau import device_rows, with_day_hour
+from tillflow.operators.dau import daily_devices, device_rows, with_day_hour
 from tillflow.operators.parsing import typed_rows
-from tillflow.streaming.running import DEVICE_TRIGGER, Trigger, start_files
+from tillflow.streaming.running import DEVICE_TRIGGER, Trigger, salt_count, start_files
 
 
 def parse_logs(raw: DataFrame) -> DataFrame:
     """Start-up logs from JSON text."""
-    return typed_rows(raw, schemas.STARTUP_LOG, key="ts", observe="startup_parsed")
+    return typed_rows(raw, schemas.STARTUP_LOG, key="ts", observe="startup_parsed", also="common.mid")
 
 
-def first_per_device_day(logs: DataFrame, watermark: str = "24 hours", salt_buckets: int = 4) -> DataFrame:
+def first_per_device_day(logs: DataFrame, watermark: str = "24 hours", salt_buckets: int | None = None) -> DataFrame:
     """The first row of every (day, device) to arrive.
 
     State is kept for ``watermark`` past a row's own time.  With a day or more,
     a device cannot come twice for one day: a row that arrives after the state
-    is gone is older than the watermark and is left out as late.
+    is gone is older than the watermark and is left out as late (counted by
+    ``running.late_rows``; ``late_devices`` finds those a day's table lacks).
 
     Streaming de-duplication has no map-side step, so rows are first reduced in
     ``salt_buckets`` parts per device and day, which splits a device that sends
     a large part of all rows; 1 switches that step off.
     """
+    salt_buckets = salt_count(logs, salt_buckets)
     rows = (
         device_rows(with_day_hour(logs))
         .withColumn("event_time", F.timestamp_millis("ts"))
@@ -43,9 +45,14 @@ def first_per_device_day(logs: DataFrame, watermark: str = "24 hours", salt_buck
     )
 
 
+def late_devices(logs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Device rows of ``logs`` that the stored days lack: what a batch job appends for rows that came too late."""
+    return daily_devices(logs).join(stored.select("dt", "mid"), ["dt", "mid"], "left_anti")
+
+
 def start(
     raw: DataFrame, path: str, checkpoint: str, trigger: Trigger = DEVICE_TRIGGER,
-    watermark: str = "24 hours", salt_buckets: int = 4,
+    watermark: str = "24 hours", salt_buckets: int | None = None,
 ) -> StreamingQuery:
     """JSON logs to a device table with one folder per event day."""
     rows = first_per_device_day(parse_logs(raw), watermark, salt_buckets)

@@ -23,22 +23,24 @@ ONCE: Trigger = {"availableNow": True}
 
 
 def start_batches(
-    stream: DataFrame, each: Output, checkpoint: str, trigger: Trigger = TABLE_TRIGGER, name: str | None = None
+    stream: DataFrame, each: Output, checkpoint: str, trigger: Trigger = TABLE_TRIGGER, name: str | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Run ``each(batch, batch_id)`` for every micro-batch.
 
     The checkpoint holds the source position.  After a failure the same rows
     come again under the same batch id, so every output must be idempotent by
-    batch id.
+    batch id.  ``partitions`` is the number of state partitions at the first start
+    (by default the session's shuffle partitions); it stays for good.
     """
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger)
-    with state_partitions(stream.sparkSession):
+    with state_partitions(stream.sparkSession, partitions):
         return (writer.queryName(name) if name else writer).start()
 
 
 def start_files(
     stream: DataFrame, path: str, checkpoint: str, trigger: Trigger = TABLE_TRIGGER,
-    partition_by: Sequence[str] = (), name: str | None = None,
+    partition_by: Sequence[str] = (), name: str | None = None, partitions: int | None = None,
 ) -> StreamingQuery:
     """Append to a Parquet table; the sink's own log makes it exactly-once."""
     writer = (
@@ -47,10 +49,29 @@ def start_files(
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    with state_partitions(stream.sparkSession):
+    with state_partitions(stream.sparkSession, partitions):
         return (writer.queryName(name) if name else writer).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were left out, over the query's recent batches."""
+    return sum(
+        int(state.numRowsDroppedByWatermark)
+        for progress in query.recentProgress for state in progress.stateOperators
+    )
+
+
+def salt_count(stream: DataFrame, salt_buckets: int | None) -> int:
+    """Parts a hot key of a stateful operator is split into.
+
+    A key with a third of all rows is then no more than two average state
+    partitions, of which there are as many as the session's shuffle partitions.
+    """
+    if salt_buckets is not None:
+        return salt_buckets
+    return max(1, -(-int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 6))
+
+
 @contextlib.contextmanager
 def landed(batch: DataFrame, spark: SparkSession, folder: str, batch_id: int):
     """The rows of a batch as a Parquet table, for steps that need them several times.

@@ -14,7 +14,7 @@ from tillflow.operators.parsing import typed_rows
 from tillflow.operators.ranking import first_per_key
 from tillflow.sinks.keyed import BATCH, KeyedTable
 from tillflow.sinks.tables import write_batch
-from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, kept, landed, start_batches
+from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, kept, landed, salt_count, start_batches
 
 # -- topics -------------------------------------------------------------------
 
@@ -127,19 +127,22 @@ def join_streams(
     order_stream: DataFrame,
     detail_stream: DataFrame,
     bound: str = "10 seconds",
-    watermark: str | None = None,
+    watermark: str = "24 hours",
     order_time: str = "create_time",
     line_time: str = "create_time",
-    salt_buckets: int = 4,
+    salt_buckets: int | None = None,
 ) -> DataFrame:
     """Orders joined with lines no further than ``bound`` apart, one row per line.
 
-    ``watermark`` (the bound by default) is how long rows may come late; state is
-    dropped after it.  An order is kept once per salt bucket and its lines are
-    spread over the buckets, so one order with very many lines is split; 1
-    switches that off.
+    ``watermark`` is how late rows may come; state is dropped after it.  It has
+    nothing to do with ``bound``: an order passes only once it has been operated on,
+    with the image sent then, which carries its old creation time.  Rows later
+    than that are left out and counted (``running.late_rows``).  An order is kept once
+    per salt bucket and its lines are spread over the buckets, so one order with very
+    many lines is split (by default, ``running.salt_count`` parts); 1 switches that off.
     """
-    late = watermark or bound
+    late = watermark
+    salt_buckets = salt_count(order_stream, salt_buckets)
     # Only the two time columns of the join may carry a watermark; the header's
     # own times are copies.
     headers = (
