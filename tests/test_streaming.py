@@ -215,3 +215,41 @@ def test_no_machine_local_scratch_on_a_cluster():
         scratch_dir(Session(), "x")
     Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
     assert scratch_dir(Session(), "x").startswith("hdfs://shared/x-")
+
+
+def test_a_lookup_reads_the_folders_of_its_keys(spark, tmp_path, rows):
+    table = changes.dimension_table(spark, str(tmp_path / "dim"), "user")
+    people = spark.range(1000).selectExpr("id", "'1990-01-01' AS birthday", "'F' AS gender", "CAST(0 AS BIGINT) AS seq")
+    table.seed(people)
+    table.compact()
+    table.write(people.where("id < 2").selectExpr("id", "birthday", "'M' AS gender", "CAST(1 AS BIGINT) AS seq"), 0)
+    found = table.rows_before(keys=spark.createDataFrame([(1,), (7,)], "id bigint"))
+    assert rows(found, "id", "gender") == [(1, "M"), (7, "F")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Of the snapshot at most two folders; the keys come before the fold.
+    assert "PartitionFilters: [_bucket" in plan
+    assert plan.index("Window [") < plan.index("LeftSemi")
+    wide = sum(1 for p in (tmp_path / "dim" / "snapshot" / "upto=-1").iterdir() if p.name.startswith("_bucket="))
+    assert wide > 32
+
+
+def test_split_state_is_a_window_of_time(spark, tmp_path):
+    schema = "order_id bigint, original_c bigint, share_c bigint, order_time timestamp"
+    state = sales.split_state(spark, str(tmp_path / "state"), compact_every=1, retention="2 hours")
+    for n in range(1, 9):
+        batch = [(n * 10 + k, 1, 1, at(3600 * n + k)) for k in range(10)]
+        state.write(spark.createDataFrame(batch, schema), n)
+    assert state.read().count() <= 30
+
+
+def test_an_unmarked_folder_is_not_there(spark, tmp_path):
+    table = changes.dimension_table(spark, str(tmp_path / "dim"), "trademark")
+    one = spark.createDataFrame([(1, "a", 1)], "tm_id bigint, tm_name string, seq bigint")
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        table.write(one, 0)
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert table.read().count() == 1
+    one.write.parquet(str(tmp_path / "dim" / "delta" / "batch_id=1"))  # broken off before its mark
+    assert table.read().count() == 1

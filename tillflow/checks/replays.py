@@ -139,11 +139,15 @@ def stream_order_first_flag(shop: ShopTables, work: str) -> DataFrame:
     source = Arrivals(shop.order_info(), f"{work}/orders", by="create_time")
     state = sales.buyer_state(shop.spark, f"{work}/state", compact_every=2)
     sales.seed_buyers(state, shop.user_state())
+    # Buyers are looked up in a keyed table, as the state is.
+    users = changes.dimension_table(shop.spark, f"{work}/users", "user")
+    users.seed(shop.users().withColumn("seq", F.lit(0).cast("bigint")))
+    users.compact()
     out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
     run_through(
         [source],
         lambda: sales.start_orders(
-            source.stream(), state, shop.province, shop.users, [out], f"{work}/check", ONCE, as_of()
+            source.stream(), state, shop.province, users, [out], f"{work}/check", ONCE, as_of()
         ),
     )
     return read(shop.spark, f"{work}/out").select(

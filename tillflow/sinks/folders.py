@@ -10,9 +10,19 @@ def _open(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+# Written last into a complete folder; Spark's own marker can be switched off.
+COMPLETE = "_COMPLETE"
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Say that a folder is complete; overwriting the folder takes the mark away first."""
+    fs, target = _open(spark, f"{path}/{COMPLETE}")
+    fs.create(target, True).close()
+
+
 def numbered(spark: SparkSession, path: str, field: str) -> list[int]:
     """Numbers n of the completely written folders ``path/field=n``."""
-    fs, pattern = _open(spark, f"{path}/{field}=*/_SUCCESS")
+    fs, pattern = _open(spark, f"{path}/{field}=*/{COMPLETE}")
     return sorted(
         int(status.getPath().getParent().getName().split("=")[1])
         for status in fs.globStatus(pattern) or []

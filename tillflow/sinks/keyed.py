@@ -2,36 +2,55 @@
 
 This is what a MERGE does where the table format has one (see ``merge_into``).
 Plain Parquet has none, so every batch writes its changes to
-``delta/batch_id=N`` and every few batches all rows are folded into
-``snapshot/upto=N``.  Folders are never changed once they are complete, a replay
-of batch N rewrites the same folder, and a reader of batch N sees only earlier
-batches, so a lost executor or a restart cannot apply a change twice.
+``delta/batch_id=N``, and ``compact`` folds all rows into ``snapshot/upto=N``, in
+folders by key hash.  Compaction is a job of its own, beside the stream: folders
+are never changed once they are complete, a replay of batch N rewrites the same
+folder, and a reader of batch N sees only earlier batches, so a lost executor or a
+restart cannot apply a change twice, and no batch waits for a compaction.
+
+A look-up by keys reads of the snapshot only the folders its keys hash to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tillflow.sinks.folders import delete, numbered
+from tillflow.sinks.folders import delete, mark, numbered
 
 Fold = Callable[[DataFrame], DataFrame]
 
 BATCH = "_batch"
+BUCKET = "_bucket"
 SEED = -1  # batch number of the rows a table starts with
 
 
 class KeyedTable:
-    """``fold`` reduces rows with column ``_batch`` to one row per key and keeps ``_batch``."""
+    """``fold`` reduces rows with column ``_batch`` to one row per key and keeps ``_batch``.
+
+    The first column of ``schema`` is the key.  ``expire`` may drop folded rows that no
+    later batch can need; it is applied when compacting.  With ``compact_every`` a
+    writer compacts by itself after so many batches (small tables, tests).
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, fold: Fold, compact_every: int = 20):
+    def __init__(
+        self, spark: SparkSession, path: str, schema: str, fold: Fold, compact_every: int | None = None,
+        buckets: int = 64, expire: Fold | None = None,
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = StructType.fromDDL(f"{schema}, {BATCH} bigint")
+        self.key = self.schema.names[0]
         self.fold = fold
         self.compact_every = compact_every
+        self.buckets = buckets
+        self.expire = expire
+
+    def _bucket(self, key: str) -> Column:
+        kind = self.schema[self.key].dataType
+        return F.pmod(F.xxhash64(F.col(key).cast(kind)), F.lit(self.buckets)).cast("int")
 
     # -- folders --------------------------------------------------------------
     def _snapshots(self) -> list[int]:
@@ -40,29 +59,41 @@ class KeyedTable:
     def _deltas(self) -> list[int]:
         return numbered(self.spark, f"{self.path}/delta", "batch_id")
 
-    def _parts(self, before: int | None) -> list[str]:
+    def _parts(self, before: int | None) -> tuple[str | None, list[str]]:
+        """The newest usable snapshot, if any, and the deltas after it."""
         limit = float("inf") if before is None else before
         snapshots = [n for n in self._snapshots() if n < limit]
         base = snapshots[-1] if snapshots else float("-inf")
         deltas = [n for n in self._deltas() if base < n < limit]
-        parts = [f"{self.path}/snapshot/upto={base}"] if snapshots else []
-        return parts + [f"{self.path}/delta/batch_id={n}" for n in deltas]
+        return f"{self.path}/snapshot/upto={base}" if snapshots else None, [f"{self.path}/delta/batch_id={n}" for n in deltas]
 
     # -- rows -----------------------------------------------------------------
-    def changes_before(self, batch_id: int | None = None) -> DataFrame:
-        """Unfolded rows written before ``batch_id`` (all rows by default)."""
-        parts = self._parts(batch_id)
+    def changes_before(self, batch_id: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Unfolded rows written before ``batch_id`` (all rows by default), of a snapshot only some folders."""
+        snapshot, deltas = self._parts(batch_id)
+        parts = []
+        if snapshot:
+            rows = self.spark.read.schema(_with_bucket(self.schema)).parquet(snapshot)
+            parts.append((rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))).drop(BUCKET))
+        if deltas:
+            parts.append(self.spark.read.schema(self.schema).parquet(*deltas))
         if not parts:
             return self.spark.range(0).select(
                 *(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema)
             )
-        return self.spark.read.schema(self.schema).parquet(*parts)
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def rows_before(self, batch_id: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """One row per key; ``keys`` narrows the fold to the keys of a batch."""
-        rows = self.changes_before(batch_id)
-        if keys is not None:
-            rows = rows.join(keys, keys.columns, "left_semi")
+        """One row per key; ``keys``, a column named like the key, narrows what is read and folded.
+
+        The folders to read are found from the keys' hashes, at most one number per folder.
+        """
+        if keys is None:
+            return self.fold(self.changes_before(batch_id)).drop(BATCH)
+        buckets = None
+        if self._parts(batch_id)[0]:
+            buckets = sorted(r[0] for r in keys.select(self._bucket(self.key).alias("b")).distinct().collect())
+        rows = self.changes_before(batch_id, buckets).join(keys, keys.columns, "left_semi")
         return self.fold(rows).drop(BATCH)
 
     def read(self) -> DataFrame:
@@ -70,28 +101,38 @@ class KeyedTable:
 
     def seed(self, rows: DataFrame) -> None:
         """Rows known before the first batch; does nothing if the table was begun already."""
-        if not self._parts(None):
+        if self._parts(None) == (None, []):
             self.write(rows, SEED)
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
-        """Record the changes of a batch, and compact when it is time."""
+        """Record the changes of a batch."""
+        path = f"{self.path}/delta/batch_id={batch_id}"
         (
-            changes.withColumn(BATCH, F.lit(batch_id).cast("bigint")).select(*self.schema.names)
-            .write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
+            changes.withColumn(BATCH, F.lit(batch_id)).select(*(F.col(f.name).cast(f.dataType) for f in self.schema))
+            .write.mode("overwrite").parquet(path)
         )
-        if batch_id > 0 and batch_id % self.compact_every == 0:
+        mark(self.spark, path)
+        if self.compact_every and batch_id > 0 and batch_id % self.compact_every == 0:
             self.compact(batch_id)
 
-    def compact(self, upto: int) -> None:
-        """Fold everything up to a batch into a snapshot and drop what it replaced.
+    def compact(self, upto: int | None = None) -> None:
+        """Fold everything up to a batch (by default the newest) into a snapshot and drop what it replaced.
 
-        The snapshot before stays, with the deltas after it, for a replay of the
-        newest batches and for readers that are under way.
+        To be run beside the stream, as often as the deltas add up.  The snapshot
+        before stays, with the deltas after it, for a replay of the newest
+        batches and for readers that are under way.
         """
+        if upto is None:
+            upto = max(self._deltas(), default=SEED)
         previous = max((n for n in self._snapshots() if n < upto), default=float("-inf"))
-        self.fold(self.changes_before(upto + 1)).write.mode("overwrite").parquet(
-            f"{self.path}/snapshot/upto={upto}"
+        rows = self.fold(self.changes_before(upto + 1))
+        rows = self.expire(rows) if self.expire else rows
+        path = f"{self.path}/snapshot/upto={upto}"
+        (
+            rows.withColumn(BUCKET, self._bucket(self.key)).repartition(BUCKET).sortWithinPartitions(BUCKET, self.key)
+            .write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         )
+        mark(self.spark, path)
         for n in self._snapshots():
             if n < previous:
                 delete(self.spark, f"{self.path}/snapshot/upto={n}")
@@ -100,6 +141,10 @@ class KeyedTable:
                 delete(self.spark, f"{self.path}/delta/batch_id={n}")
 
 
+def _with_bucket(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField(BUCKET, IntegerType())])
+
+
 def merge_into(changes: DataFrame, table: str, key: str) -> None:
     """The same upsert for a catalog table whose format supports MERGE.
 

@@ -38,7 +38,7 @@ def start_split_topics(
 
 
 def dimension_table(
-    spark: SparkSession, path: str, dimension: str, seq: str = "seq", compact_every: int = 20
+    spark: SparkSession, path: str, dimension: str, seq: str = "seq", compact_every: int | None = None
 ) -> KeyedTable:
     """A dimension of which the latest row per key counts: by batch, then by ``seq``."""
     ddl, key = schemas.DIMENSIONS[dimension]

@@ -37,7 +37,7 @@ def parse(raw: DataFrame, entity: str) -> DataFrame:
 # -- order headers ------------------------------------------------------------
 
 
-def buyer_state(spark: SparkSession, path: str, compact_every: int = 20) -> KeyedTable:
+def buyer_state(spark: SparkSession, path: str, compact_every: int | None = None) -> KeyedTable:
     """Each buyer's first order id; null for buyers who had ordered before the stream began."""
     return KeyedTable(
         spark, path, "user_id bigint, first_order_id bigint",
@@ -66,16 +66,28 @@ def batch_firsts(batch: DataFrame, state: KeyedTable, batch_id: int) -> tuple[Da
     return new.unionByName(known.where(F.col("first_order_id").isNotNull())), new
 
 
+def dimension_rows_of(source: KeyedTable | Callable[[], DataFrame], batch: DataFrame, column: str) -> DataFrame:
+    """The rows of a dimension that a batch needs.
+
+    A keyed table is looked up by the batch's keys before anything is folded; any other
+    source is read as it is.
+    """
+    if isinstance(source, KeyedTable):
+        return source.rows_before(keys=batch.select(F.col(column).alias(source.key)).distinct())
+    return source()
+
+
 def order_batch(
     state: KeyedTable,
-    read_province: Callable[[], DataFrame],
-    read_users: Callable[[], DataFrame],
+    read_province: KeyedTable | Callable[[], DataFrame],
+    read_users: KeyedTable | Callable[[], DataFrame],
     outputs: Sequence[Output],
     as_of: Column | None = None,
 ) -> Output:
     """Per-batch step: complete the order headers, hand them on, record new buyers.
 
-    Dimensions are read again for every batch, so changes to them show up.
+    Dimensions are read again for every batch, so changes to them show up; keyed
+    tables are looked up by the batch's keys.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -83,8 +95,9 @@ def order_batch(
             if arrived.isEmpty():
                 return
             firsts, new = batch_firsts(arrived, state, batch_id)
-            headers = orders.with_province(orders.with_day_hour(arrived), read_province())
-            headers = orders.with_user(headers, read_users(), as_of)
+            headers = orders.with_province(
+                orders.with_day_hour(arrived), dimension_rows_of(read_province, arrived, "province_id"))
+            headers = orders.with_user(headers, dimension_rows_of(read_users, arrived, "user_id"), as_of)
             with kept(new) as new:
                 fan_out(orders.flag_orders(headers, firsts), batch_id, outputs)
                 state.write(new, batch_id)
@@ -170,16 +183,30 @@ def join_streams(
     return joined.dropDuplicatesWithinWatermark(["order_detail_id"]).drop("_order_time")
 
 
-def split_state(spark: SparkSession, path: str, compact_every: int = 20) -> KeyedTable:
-    """What an order's lines have added up to so far."""
+def split_state(
+    spark: SparkSession, path: str, compact_every: int | None = None, retention: str = "3 days"
+) -> KeyedTable:
+    """What an order's lines have added up to so far.
+
+    Compacting drops orders that are older than the newest one by ``retention``, which
+    has to be longer than the lateness and the bound of ``join_streams`` together:
+    the join gives no line of theirs any more.  So the state is a window of time.
+    """
+
+    def expire(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max("order_time")).first()[0]
+        old = F.lit(newest) - F.expr(f"INTERVAL {retention}") if newest else None
+        return rows if old is None else rows.where(F.col("order_time").isNull() | (F.col("order_time") >= old))
+
     return KeyedTable(
-        spark, path, "order_id bigint, original_c bigint, share_c bigint",
+        spark, path, "order_id bigint, original_c bigint, share_c bigint, order_time timestamp",
         fold=lambda rows: rows.groupBy("order_id").agg(
             F.sum("original_c").alias("original_c"),
             F.sum("share_c").alias("share_c"),
+            F.max("order_time").alias("order_time"),
             F.max(BATCH).alias(BATCH),
         ),
-        compact_every=compact_every,
+        compact_every=compact_every, expire=expire,
     )
 
 
@@ -196,6 +223,7 @@ def order_totals(priced: DataFrame, state: KeyedTable, batch_id: int) -> DataFra
         F.coalesce(F.sum("_share_c"), zero).alias("batch_share_c"),
         F.max("_final_c").alias("_final_c"),
         F.max("_original_c").alias("_original_c"),
+        (F.max("create_time") if "create_time" in priced.columns else F.lit(None).cast("timestamp")).alias("order_time"),
     )
     before = state.rows_before(batch_id, keys=here.select("order_id")).select(
         "order_id", F.col("original_c").alias("prior_line_c"), F.col("share_c").alias("prior_share_c")
@@ -222,6 +250,7 @@ def state_rows(totals: DataFrame) -> DataFrame:
         "order_id",
         F.col("line_c").alias("original_c"),
         (F.col("batch_share_c") + F.coalesce(given, F.lit(0))).alias("share_c"),
+        "order_time",
     )
 
 
