@@ -69,7 +69,7 @@ def test_a_batch_can_be_repeated(spark, tmp_path, rows):
     write_batch(df, path, 1)
     assert spark.read.parquet(path).count() == 4
     write_routed(df, str(tmp_path / "routes"), 0)
-    assert rows(spark.read.parquet(str(tmp_path / "routes" / "batch_id=0" / "topic=A"))) == [("1",)]
+    assert rows(spark.read.parquet(str(tmp_path / "routes" / "topic=A" / "batch_id=0"))) == [("1",)]
 
 
 def test_keyed_table(spark, tmp_path, rows):

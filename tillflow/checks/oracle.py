@@ -133,7 +133,9 @@ VIEWS = {
 }
 
 CDC_IMAGES = """
-    SELECT 'ODS_BASE_PROVINCE' AS topic, CAST(id AS VARCHAR) AS id, name FROM fx_province"""
+    SELECT 'ODS_BASE_PROVINCE' AS topic, CAST(id AS VARCHAR) AS id, name FROM fx_province
+    UNION ALL SELECT 'ODS_USER_INFO', CAST(c_custkey AS VARCHAR), c_name FROM customer
+    UNION ALL SELECT 'ODS_SKU_INFO', CAST(p_partkey AS VARCHAR), p_name FROM part"""
 
 DIM_LATEST = """
     SELECT id, name, area_code, iso_code FROM fx_dim_changes
@@ -243,6 +245,13 @@ QUERIES = {
     "stream_cdc_explode": CDC_IMAGES,
     "stream_cdc_route": CDC_IMAGES,
     "stream_dim_upsert": DIM_LATEST,
+    "stream_dim_user": "SELECT id, CAST(birthday AS VARCHAR) AS birthday, gender FROM fx_user",
+    "stream_dim_sku": "SELECT sku_id, spu_id, tm_id, category3_id FROM fx_sku",
+    "stream_dim_spu": "SELECT spu_id, spu_name FROM fx_spu",
+    "stream_dim_trademark": "SELECT tm_id, tm_name FROM fx_tm",
+    "stream_dim_category3": "SELECT category3_id, category3_name FROM fx_category3",
+    "stream_orders_by_day": """
+        SELECT id, user_id, if_first_order, create_date, create_hour FROM fx_enriched_order""",
     "stream_detail_enriched": """
         SELECT id, order_id, sku_id, sku_num, price_c, spu_id, tm_id, category3_id,
                spu_name, tm_name, category3_name

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillflow.checks.oracle import AS_OF, DAU_DAY, DAU_DAY_BEFORE, DAY, DAY_BEFORE, RANGE, TOP_N
+from tillflow.checks.oracle import AS_OF, DAU_DAY, DAU_DAY_BEFORE, DAY, RANGE, TOP_N
 from tillflow.functions import age_group, gender_label
 from tillflow.operators import brand, cdc, dau, details, dims, orders, wide
 from tillflow.operators.parsing import typed_rows
 from tillflow.plans import reports
-from tillflow.session import configure
+from tillflow.session import configure, scratch_dir
+from tillflow.sinks.tables import write_days
+from tillflow.sources.files import table
 from tillflow.sources.shop import Days, ShopTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +69,32 @@ def brand_stat(shop: ShopTables, days: Days = None) -> DataFrame:
     return brand.brand_sums(lines, F.col("dt").cast("timestamp"), by=("dt",))
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(shop: ShopTables, name: str, build: Callable[[ShopTables], DataFrame]) -> DataFrame:
+    """A table by day that reports read: written once per session and folder of tables."""
+    spark = shop.spark
+    df = build(shop)
+    key = (spark.sparkContext.applicationId, shop.folder, name)
+    if key not in _STORED:
+        path = scratch_dir(spark, name)
+        write_days(df, path)
+        _STORED[key] = path
+    return table(spark, _STORED[key], schema=df.schema)
+
+
+def stored_lines(shop: ShopTables) -> DataFrame:
+    """The wide table with shares, as its stream leaves it behind."""
+    return stored(shop, "order-wide", lambda s: lines_split(s).select(
+        "order_detail_id", "order_id", "create_time", "final_detail_amount", "dt"))
+
+
+def stored_stat(shop: ShopTables) -> DataFrame:
+    """Brand sums by day."""
+    return stored(shop, "brand-stat", lambda s: brand_stat(s).withColumn("dt", F.to_date("stat_time")))
+
+
 def device_logs(shop: ShopTables) -> DataFrame:
     """All device rows, repeated ones included."""
     return dau.device_rows(dau.with_day_hour(shop.startup()))
@@ -141,8 +169,7 @@ def user_labels(shop: ShopTables) -> DataFrame:
 
 
 def topn(shop: ShopTables) -> DataFrame:
-    # Whole days that the open range touches; the range itself is cut in brand_topn.
-    return brand.brand_topn(brand_stat(shop, (RANGE[0][:10], RANGE[1][:10])), *RANGE, TOP_N)
+    return brand.brand_topn(stored_stat(shop), *RANGE, TOP_N)
 
 
 BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
@@ -192,21 +219,21 @@ BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
     "brand_batch_sum": lambda s: plain(brand_stat(s)).withColumnRenamed("amount", "amount_c"),
     "brand_topn": topn,
     "brand_chart": lambda s: brand.brand_chart(topn(s)),
-    "order_amount_total": lambda s: reports.order_amount_total(lines_split(s, (DAY, DAY)), DAY),
-    "order_amount_by_hour": lambda s: reports.order_amount_by_hour(lines_split(s, (DAY, DAY)), DAY),
+    "order_amount_total": lambda s: reports.order_amount_total(stored_lines(s), DAY),
+    "order_amount_by_hour": lambda s: reports.order_amount_by_hour(stored_lines(s), DAY),
     "hour_map": lambda s: reports.hour_map(
-        reports.order_amount_by_hour(lines_split(s, (DAY, DAY)), DAY), "order_amount"
+        reports.order_amount_by_hour(stored_lines(s), DAY), "order_amount"
     ).select("dt", F.to_json("hours").alias("hours")),
     "dau_rows": devices,
     "dau_distinct_check": lambda s: reports.dau_distinct(device_logs(s)),
     "dau_total": lambda s: reports.dau_total(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "dau_by_hour": lambda s: reports.dau_by_hour(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "report_day_total": lambda s: reports.day_headline(
-        device_logs(s), lines_split(s, (DAY, DAY)), DAU_DAY, sales_day=DAY),
+        device_logs(s), stored_lines(s), DAU_DAY, sales_day=DAY),
     "report_hour_dau": lambda s: reports.hour_curve(
         "dau", devices(s, (DAU_DAY_BEFORE, DAU_DAY)), DAU_DAY),
     "report_hour_amount": lambda s: reports.hour_curve(
-        "order_amount", lines_split(s, (DAY_BEFORE, DAY)), DAY),
+        "order_amount", stored_lines(s), DAY),
 }
 
 

@@ -13,11 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tillflow import schemas
 from tillflow.checks.queries import as_of, cdc_images, lines_split, plain, products
 from tillflow.operators import details
 from tillflow.operators.parsing import json_column
 from tillflow.session import configure, scratch_dir
 from tillflow.sinks.folders import delete
+from tillflow.sinks.outputs import to_messages, to_table
 from tillflow.sinks.tables import write_batch
 from tillflow.sources.files import file_stream
 from tillflow.sources.shop import ShopTables
@@ -122,6 +124,46 @@ def stream_dim_upsert(shop: ShopTables, work: str) -> DataFrame:
     return table.read().drop("seq")
 
 
+def _stream_dimension(dimension: str):
+    """Every row comes twice: first with nothing but its key, then as it is."""
+    def build(shop: ShopTables, work: str) -> DataFrame:
+        ddl, key = schemas.DIMENSIONS[dimension]
+        fields = {column: field for field, column in schemas.SOURCE_FIELDS.get(dimension, {}).items()}
+        table = {"user": shop.users, "sku": shop.sku, "spu": shop.spu, "trademark": shop.trademark, "category3": shop.category3}
+        rows = table[dimension]().select(*(F.col(c).cast("string").alias(fields.get(c, c)) for c in schemas.columns(ddl)))
+        bare = rows.select(*(F.col(c) if c == fields.get(key, key) else F.lit(None).cast("string").alias(c) for c in rows.columns))
+        image = json_column(*rows.columns).alias("value")
+        images = bare.select(image, F.lit(1).cast("bigint").alias("seq")).unionByName(
+            rows.select(image, F.lit(2).cast("bigint").alias("seq")))
+        source = Arrivals(images, f"{work}/images", by="seq", slices=2)
+        stored = changes.dimension_table(shop.spark, f"{work}/table", dimension)
+        run_through(
+            [source], lambda: changes.start_load(source.stream(), dimension, stored, f"{work}/check", trigger=ONCE)
+        )
+        stored.compact()
+        return stored.read().drop("seq")
+
+    build.__name__ = f"stream_dim_{dimension}"
+    return build
+
+
+def stream_orders_by_day(shop: ShopTables, work: str) -> DataFrame:
+    """Complete orders go to a table by day and to a topic; rows count that have reached both."""
+    source = Arrivals(shop.order_info(), f"{work}/orders", by="create_time")
+    state = sales.buyer_state(shop.spark, f"{work}/state")
+    sales.seed_buyers(state, shop.user_state())
+    outputs = [to_table(f"{work}/days", ("create_date",)), to_messages(f"{work}/topic", key="id")]
+    run_through(
+        [source],
+        lambda: sales.start_orders(
+            source.stream(), state, shop.province, shop.users, outputs, f"{work}/check", ONCE, as_of()
+        ),
+    )
+    sent = read(shop.spark, f"{work}/topic").select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
+    days = read(shop.spark, f"{work}/days").select("id", "user_id", "if_first_order", "create_date", "create_hour")
+    return days.join(sent, "id")
+
+
 def stream_detail_enriched(shop: ShopTables, work: str) -> DataFrame:
     source = Arrivals(shop.order_detail(), f"{work}/lines", by="order_id")
     out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
@@ -228,6 +270,7 @@ STREAMS: dict[str, Callable[[ShopTables, str], DataFrame]] = {
     f.__name__: f
     for f in (
         stream_dau_rows, stream_cdc_explode, stream_cdc_route, stream_dim_upsert, stream_detail_enriched,
+        *map(_stream_dimension, ("user", "sku", "spu", "trademark", "category3")), stream_orders_by_day,
         stream_order_first_flag, stream_order_wide, stream_order_wide_late_paid, stream_order_split,
         stream_brand_batch_sum,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillflow.functions import open_range
+from tillflow.functions import on_days, open_range
 
 
 def brand_sums(lines: DataFrame, stat_time: Column, by: tuple[str, ...] = ()) -> DataFrame:
@@ -25,7 +25,12 @@ def brand_sums(lines: DataFrame, stat_time: Column, by: tuple[str, ...] = ()) ->
 
 
 def brand_topn(stat: DataFrame, start: str, end: str, n: int) -> DataFrame:
-    """The ``n`` brands with the highest sales strictly between ``start`` and ``end``."""
+    """The ``n`` brands with the highest sales strictly between ``start`` and ``end``.
+
+    Of a table stored by ``dt``, the day of ``stat_time``, only these days are read.
+    """
+    if "dt" in stat.columns:
+        stat = stat.where(on_days(F.col("dt"), start[:10], end[:10]))
     return (
         stat.where(open_range(F.col("stat_time"), start, end))
         .groupBy("trademark_id", "trademark_name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_days(df: DataFrame, path: str, day: str = "dt") -> None:
@@ -18,8 +18,18 @@ def write_days(df: DataFrame, path: str, day: str = "dt") -> None:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    """Publish one micro-batch; a replay of the batch overwrites its own folder."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
+    """Publish one micro-batch; a replay of the batch overwrites its own folders.
+
+    With ``partition_by`` the batch is the last level (``dt=D/batch_id=N``), so a reader
+    of one day lists and reads that day alone.
+    """
+    if not partition_by:
+        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        return
+    (
+        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "batch_id").parquet(path)
+    )
 
 
 def write_routed(df: DataFrame, path: str, batch_id: int) -> None:

@@ -158,17 +158,21 @@ class ShopTables:
         )
 
     # -- change records -----------------------------------------------------
+    def cdc_rows(self) -> DataFrame:
+        """(table, id, name) of the regions, the buyers and the products."""
+        regions = self.province().selectExpr("'base_province' AS table", "id", "name")
+        buyers = self.raw("customer").selectExpr("'user_info' AS table", "c_custkey AS id", "c_name AS name")
+        products = self.raw("part").selectExpr("'sku_info' AS table", "p_partkey AS id", "p_name AS name")
+        return regions.unionByName(buyers).unionByName(products)
+
     def cdc_object(self) -> DataFrame:
-        """One envelope per region."""
+        """One envelope per row."""
         image = F.struct(F.col("id").cast("string").alias("id"), "name")
-        return self.province().select(
-            json_column(F.lit("base_province").alias("table"), image.alias("data")).alias("value")
-        )
+        return self.cdc_rows().select(json_column("table", image.alias("data")).alias("value"))
 
     def cdc_array(self) -> DataFrame:
-        """Envelopes of an area's regions, at most a hundred in each."""
+        """Envelopes of a table's rows, at most a hundred in each."""
         image = F.struct(F.col("id").cast("string").alias("id"), "name")
-        hundred = F.expr("id DIV 100")
-        return self.province().groupBy("area_code", hundred).agg(F.collect_list(image).alias("images")).select(
-            json_column(F.lit("base_province").alias("table"), F.col("images").alias("data")).alias("value")
+        return self.cdc_rows().groupBy("table", F.expr("id DIV 100")).agg(F.collect_list(image).alias("images")).select(
+            json_column("table", F.col("images").alias("data")).alias("value")
         )

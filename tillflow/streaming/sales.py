@@ -290,7 +290,8 @@ def brand_batch(path: str, now: Callable[[], dt.datetime] | None = None) -> Outp
 
     def each(batch: DataFrame, batch_id: int) -> None:
         stamp = F.lit(clock()).cast("timestamp")
-        write_batch(brand.brand_sums(batch, stamp), path, batch_id)
+        sums = brand.brand_sums(batch, stamp)
+        write_batch(sums.withColumn("dt", F.to_date("stat_time")), path, batch_id, ("dt",))
 
     return each
 
