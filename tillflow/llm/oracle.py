@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+# SHA-1 in base 32: five hexadecimal digits at a time are a number of four letters.
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((n >> {shift}) & 31) + 1 AS INTEGER), 1)"
+_LETTERS = " || ".join(_LETTER.format(shift=shift) for shift in (15, 10, 5, 0))
+
 ORACLE = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT page_id, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT) AS n FROM (SELECT page_id, hex, unnest(range(8)) AS k FROM p)),
+d AS (SELECT page_id, string_agg({_LETTERS}, '' ORDER BY k) AS payload_digest FROM g GROUP BY page_id)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id > min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM p JOIN d USING (page_id) WINDOW same AS (PARTITION BY html)""",
     "op2_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
