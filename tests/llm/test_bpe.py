@@ -24,6 +24,8 @@ def test_like_the_library(documents, odd_pairs, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i, ids, library.decode(ids, skip_special_tokens=False)))
     assert sorted(((r.doc_id, r.ids, r.text) for r in rows), key=str) == sorted(want, key=str)
+    spelled = bpe.encode(documents(pairs), FILE, rows=3, spelled=True).collect()
+    assert sorted(((r.doc_id, r.ids, r.text) for r in spelled), key=str) == sorted(want, key=str)
 
 
 def test_whole_table_like_the_library(spark, library):

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.tables import text_of
+from tillflow.llm.tables import small_batches, text_of
 
 KEEP_WORDS = 250_000
 # The splitting pattern of the vocabulary file, for lower-cased text;
@@ -89,6 +89,7 @@ class Vocabulary:
         self.names = np.array([""] * (max(*ids.values(), *self.special.values()) + 1), object)
         for name, i in (ids | self.special).items():
             self.names[i] = name
+        self.gaps = bool((self.names == "").any())
         self.forget()
 
     def forget(self) -> None:
@@ -185,8 +186,22 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
-    """``doc_id, ids`` of each row.  Texts are encoded ``rows`` at a time, whole."""
+    def spell(self, ids: np.ndarray) -> str:
+        """The names of ids with one space between them; ids without a name are passed over."""
+        if len(ids) and (self.gaps or ids.min() < 0 or ids.max() >= len(self.names)):
+            ids = ids[(ids >= 0) & (ids < len(self.names))]
+            ids = ids[self.names[ids] != ""]
+        return " ".join(self.names[ids].tolist())
+
+
+def encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 256, spelled: bool = False,
+) -> DataFrame:
+    """``doc_id, ids`` of each row, and with ``spelled`` what the ids decode to, ``text``.
+
+    Texts are encoded ``rows`` at a time, whole.  Worker processes outlive their
+    tasks, so the merged words are dropped at the end of a partition.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
@@ -194,28 +209,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = batch.slice(at, rows)
                 ids, ends = known.encode(part.column("text").to_pylist())
                 lists = pa.LargeListArray.from_arrays(ends, ids) if ends[-1] >= 1 << 31 else pa.ListArray.from_arrays(ends.astype(np.int32), ids)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                columns = {"doc_id": part.column("doc_id"), "ids": lists}
+                if spelled:
+                    columns["text"] = pa.array([known.spell(ids[a:b]) for a, b in pairwise(ends)], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+        known.forget()
 
-    inputs = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return inputs.mapInArrow(run, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    inputs = small_batches(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
+    return inputs.mapInArrow(
+        run, f"doc_id {inputs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", text string" * spelled)
 
 
 def decode(encoded: DataFrame, path: str, rows: int = 256) -> DataFrame:
     """``doc_id, ids, text``: the names of the ids with one space between them, special tokens too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = vocabulary(path).names
-        gaps = bool((names == "").any())
+        known = vocabulary(path)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                texts = []
-                for ids in part.column("ids"):
-                    ids = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
-                    if len(ids) and (gaps or ids.min() < 0 or ids.max() >= len(names)):
-                        ids = ids[(ids >= 0) & (ids < len(names))]
-                        ids = ids[names[ids] != ""]
-                    texts.append(" ".join(names[ids].tolist()))
+                texts = [known.spell(ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)) for ids in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(
+    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(
         run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.tables import FILE, ROW, land, located, text_of, without
+from tillflow.llm.tables import FILE, ROW, land, located, small_batches, text_of, without
 
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
@@ -83,7 +83,7 @@ def trigram_counts(docs: DataFrame, text_col: str, label_col: str, languages: Se
     sizes = [0] * len(languages)
     label = F.array_position(F.array(*map(F.lit, languages)), F.col(label_col).cast("string")).cast("int") - 1
     labelled = docs.select(label.alias("label"), text_of(text_col).alias("text")).filter("label >= 0")
-    sums = labelled.mapInArrow(run, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = small_batches(labelled).mapInArrow(run, "k int, cell int, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((len(languages), BUCKETS))
     out[sums.column("k").to_numpy(), sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     return out
@@ -113,7 +113,7 @@ def text_scores(rows: DataFrame, table: np.ndarray, id_col: str, text_col: str,
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     inputs = rows.select(F.col(id_col).alias("doc_id"), host.alias("own_host"), FILE, ROW, text_of(text_col).alias("text"))
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(
+    return small_batches(inputs).mapInArrow(
         run, f"doc_id {kind}, own_host string, {FILE} string, {ROW} long, blank boolean, " + ", ".join(f"t_{c} double" for c in classes))
 
 

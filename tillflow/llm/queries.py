@@ -51,7 +51,7 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path(BPE_FILE)
-    rows = bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path)
+    rows = bpe.encode(read(spark, folder, "documents"), path, spelled=True)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
         sha("text").alias("decoded_sha256"))

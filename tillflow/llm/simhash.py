@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillflow.llm.components import components
-from tillflow.llm.tables import FILE, ROW, land, located, text_of, without
+from tillflow.llm.tables import FILE, ROW, land, located, small_batches, text_of, without
 
 BITS = 64
 SEED = 42
@@ -91,7 +91,7 @@ def fingerprints(rows: DataFrame, id_col: str, text_col: str, shingle: int, seco
 
     inputs = rows.select(F.col(id_col).alias("doc_id"), FILE, ROW, text_of(text_col).alias("text"))
     kind = inputs.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, fp long, other long, n long")
+    return small_batches(inputs).mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, fp long, other long, n long")
 
 
 def together(fps: DataFrame) -> np.ndarray:
@@ -301,6 +301,8 @@ def links(table: DataFrame, distance: int, total: int | None) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield verify(*rest)
 
+    # Numbers only: large batches are small.
+    table.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spread = table.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "role")
     return spread.mapInArrow(run, "u long, v long")
 

@@ -57,6 +57,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(texts: DataFrame) -> DataFrame:
+    """The frame, for Python: batches of texts then have a thousand rows at most.
+
+    A batch is held several times, in Spark's buffers and in Python; texts make it
+    large long before ten thousand rows.
+    """
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return texts
+
+
 def unused(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that the frame does not have."""
     taken = {c.lower() for c in df.columns}
