@@ -49,30 +49,36 @@ MIX = 0x9E3779B97F4A7C15
 SMALL = 128
 
 
-def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int]:
-    """The fingerprint, another one if wanted (else 0), and the number of shingles.
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, with repeats, a block at a time.
 
     Words are runs without ASCII white space, A to Z in lower case.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0, 0, 0
+        return
     size = min(shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1]
     ends = ends[size - 1:]
-    ones, more = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     for at in range(0, len(starts), BLOCK):
         pieces = [joined[a:b] for a, b in zip(starts[at:at + BLOCK].tolist(), ends[at:at + BLOCK].tolist(), strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+
+
+def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[int, int, int]:
+    """The fingerprint, another one if wanted (else 0), and the number of shingles."""
+    ones, more, n = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        n += len(hashes)
         ones += bits_of(hashes).sum(axis=0, dtype=np.int64)
         if second:
             mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(MIX)
             more += bits_of(mixed ^ (mixed >> np.uint64(32))).sum(axis=0, dtype=np.int64)
-    fp, other = (int(np.packbits(2 * x > len(starts), bitorder="little").view("<u8")[0]) for x in (ones, more))
-    return fp, other, len(starts)
+    fp, other = (int(np.packbits(2 * x > n, bitorder="little").view("<u8")[0]) for x in (ones, more))
+    return fp, other, n
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
