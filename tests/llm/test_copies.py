@@ -45,3 +45,23 @@ def test_pipeline_stage_like_plain_jaccard(spark):
     want = plain_components({r.doc_id: s for r in docs.collect() for s in plain_sets([(r.doc_id, r.text)]).values()})
     got = {r.doc_id for r in corpus_pipeline.near(spark, docs, SMALL).collect()}
     assert got == {i for i in want if want[i] == i} and len(got) < len(want)
+
+
+def altered(prose, seed, words, changes):
+    rng = random.Random(seed)
+    out = prose(seed, words).split()
+    for at in rng.sample(range(words), changes):
+        out[at] = f"new{seed}x{at}"
+    return " ".join(out)
+
+
+def test_pairs_just_above_the_bound_are_all_found(documents, prose):
+    """Copies of similarity 0.8 to 0.85 link, those a little below do not."""
+    pairs = []
+    for k in range(80):
+        pairs += [(2 * k, prose(k, 200)), (2 * k + 1, altered(prose, k, 200, 4 + k % 2))]
+    sets = plain_sets(pairs)
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 160, 2)]
+    assert sum(0.8 <= s < 0.85 for s in share) > 30 and sum(0.7 < s < 0.8 for s in share) > 20
+    want = plain_components(sets)
+    assert {(r.doc_id, r.component_id) for r in copies.near_copies(documents(pairs)).collect()} == {*want.items()}
