@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tillflow.llm import copies
+from tillflow.llm import copies, simhash
 from tillflow.llm.queries import read
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +65,12 @@ def test_pairs_just_above_the_bound_are_all_found(documents, prose):
     assert sum(0.8 <= s < 0.85 for s in share) > 30 and sum(0.7 < s < 0.8 for s in share) > 20
     want = plain_components(sets)
     assert {(r.doc_id, r.component_id) for r in copies.near_copies(documents(pairs)).collect()} == {*want.items()}
+
+
+@pytest.mark.parametrize("run", ["- ", "again "])
+def test_a_run_that_outweighs_the_words_links_nothing(documents, prose, run):
+    """One shingle with most of the occurrences gives equal fingerprints to unrelated texts."""
+    pairs = [(1, prose(1, 150) + " " + run * 400), (2, prose(2, 180) + " " + run * 400), (3, run * 400), (4, None), (5, "")]
+    assert simhash.fingerprint(pairs[0][1], 5)[0] == simhash.fingerprint(pairs[1][1], 5)[0]
+    got = {r.doc_id: r.component_id for r in copies.near_copies(documents(pairs)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}

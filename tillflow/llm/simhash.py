@@ -8,11 +8,9 @@ the candidate counts, taken from the value counts of all fingerprints, picks the
 cheapest thresholds.  Fingerprints probe the buckets within each threshold, and
 every candidate pair is verified on all 64 bits.
 
-For near copies (a similarity of 0.8 or more over five-word shingles) 64 bits are a
-coarse estimate: such pairs are about 10 bits apart, give or take 3.  So the search
-goes to 12 bits, and a pair also has to agree on 64 more bits, made from the same
-hashes, and in the number of shingles, which can differ by a fifth at most.  Both
-together let unrelated texts through about once in 10 ** 13 pairs.
+``total`` adds a second fingerprint and the number of shingles to the test of a pair.
+Bits only estimate similarity, and equal fingerprints need not be near copies:
+where a similarity is asked for, as in the pipeline, ``copies`` decides on the sets.
 
 Equal fingerprints are one node, so exact copies make no pairs.  A bucket emits
 only a spanning forest of its links, which keeps every link's two ends in one
