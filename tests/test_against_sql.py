@@ -1,7 +1,7 @@
 """Every batch query next to its check SQL, and what must hold whatever the data."""
 
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries

@@ -4,7 +4,7 @@ import contextlib
 import re
 
 import pytest
-from conftest import SMALL
+from small_tables import SMALL
 from pyspark.sql import functions as F
 
 from tillflow.checks.queries import BATCH
