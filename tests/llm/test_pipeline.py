@@ -14,10 +14,11 @@ def test_stages_like_plain_versions(spark):
     """Every stage over all it is given, held against a plain version of its rule."""
     import corpus_pipeline
     from public_tokenizers import path
+    from test_copies import plain_components, plain_sets
     from test_decontamination import plain as contaminated
     from tokenizers import Tokenizer
 
-    from tillflow.llm import langid, simhash
+    from tillflow.llm import langid
     from tillflow.llm.queries import read, shown_document
     from tillflow.llm.tables import land
 
@@ -36,19 +37,8 @@ def test_stages_like_plain_versions(spark):
         keep[t] = max(keep.get(t, i), i)
     assert steps["exact"] == set(keep.values())
 
-    marks = {i: simhash.fingerprint(t, 5, True) for i, t in given["near"].items()}
-    top = {i: i for i in marks}
-    for i, (a, b, n) in marks.items():
-        for j, (c, d, m) in marks.items():
-            bits = (a ^ c).bit_count()
-            if j < i and (a == c or bits <= 12 and bits + (b ^ d).bit_count() <= 24 and 5 * min(n, m) >= 4 * max(n, m)):
-                x, y = i, j
-                while top[x] != x:
-                    x = top[x]
-                while top[y] != y:
-                    y = top[y]
-                top[max(x, y)] = min(x, y)
-    assert steps["near"] == {i for i in top if top[i] == i}
+    groups = plain_components(plain_sets(given["near"].items()))
+    assert steps["near"] == {i for i in groups if groups[i] == i} and len(steps["near"]) < len(groups)
 
     items = [(r.item_id, r.text) for r in read(spark, SMALL, "benchmark").collect()]
     grams = {}

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillflow.llm import bpe, chat, decontamination, dedup, langid, secrets, sharding, simhash, toxicity, warc
+from tillflow.llm import bpe, chat, decontamination, dedup, langid, merges, secrets, sharding, simhash, toxicity, warc
 from tillflow.llm.tables import land
 from tillflow.session import configure, scratch_dir
 
 BPE_FILE = "word_bpe_49k.json"
+RANK_FILE = "byte_bpe_50k.tiktoken"
 SHARDS = 24
 PREDICTED = 0.3
 # A text with control strings of the template, escaped and not.
@@ -114,7 +116,13 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    rows = merges.encode(read(spark, folder, "documents"), tokenizer_path(RANK_FILE), PATTERN, files=True)
+    return rows.select("doc_id", "n_tokens", sha("packed").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_warc, op2_decontaminate, op3_bpe, op4_language_id, op5_toxicity, op6_exact_dedup, op7_secrets, op8_chat, op9_simhash, op10_shards)
+        op1_warc, op2_decontaminate, op3_bpe, op4_language_id, op5_toxicity, op6_exact_dedup, op7_secrets, op8_chat, op9_simhash, op10_shards,
+        op13_byte_bpe)
     return {f.__name__: f for f in named}
