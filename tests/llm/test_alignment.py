@@ -1,0 +1,96 @@
+from bisect import bisect_right
+from collections import Counter
+
+import pytest
+from public_tokenizers import path
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
+
+from tillflow.llm import alignment
+from tillflow.llm.bpe import byte_letters
+
+FILES = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
+ODD = [
+    " ", "a", "Hello <|endoftext|> world </s> <s>", "  two  spaces   end  ", "tab\tnew\nline\r\n", "中文字 😀👍🏽", "piece ▁ sign", "<0x41> <unk>", "été \x00\x01 \x7f",
+    "x" * 4000, "word " * 900, "the cat sat on the mat " * 40, " nbsp　wide", "ﬁ ½ Å é",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    a = Tokenizer.from_file(FILES[0])
+    a.encode_special_tokens = True
+    b = SentencePieceProcessor(model_file=FILES[1])
+    byte = {letter: n for n, letter in enumerate(byte_letters())}
+
+    def spans(pieces):
+        out, at = [], 0
+        for number, data in pieces:
+            out.append((number, at, at + len(data)))
+            at += len(data)
+        return out
+
+    def split(text):
+        """Ids with their byte ranges, by both tokenizers; nothing if one does not give the text back."""
+        if not text:
+            return [], []
+        one = [(i, bytes(byte[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+        two = [(i, bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()) for i in b.encode(text)]
+        want = (" " + text).encode()
+        if any(b"".join(data for _, data in side) != want for side in (one, two)):
+            return [], []
+        return spans(one), spans(two)
+
+    return split
+
+
+def plain(pairs, split):
+    """All overlapping token pairs, by their ranges."""
+    rows = []
+    for i, text in pairs:
+        one, two = split(text)
+        links, low = [], 0
+        for a, s, e in one:
+            while low < len(two) and two[low][2] <= s:
+                low += 1
+            k = low
+            while k < len(two) and two[k][1] < e:
+                links.append((a, two[k][0]))
+                k += 1
+        ends = sorted({e for _, _, e in one} & {e for _, _, e in two})
+        groups = [([], []) for _ in ends]
+        for k, side in enumerate((one, two)):
+            for number, start, _ in side:
+                groups[bisect_right(ends, start)][k].append(str(number))
+        groups = ["|".join(",".join(ids) for ids in group) for group in groups]
+        rows.append((i, len(one), len(two), len(ends), links, ";".join(groups)))
+    count = Counter(link for row in rows for link in row[4])
+    most = {}
+    for (_, b), n in count.items():
+        most[b] = max(most.get(b, 0), n)
+    return [
+        (i, a, b, g, len(links), sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links), text)
+        for i, a, b, g, links, text in rows]
+
+
+@pytest.mark.parametrize("top", [0, 100, alignment.TOP])
+def test_like_all_overlaps(documents, odd_pairs, library, monkeypatch, top):
+    monkeypatch.setattr(alignment, "PAIRS", 300)
+    monkeypatch.setattr(alignment, "LETTERS", 5000)
+    pairs = [*((i, t and t[:9000]) for i, t in odd_pairs), *((100 + i, t) for i, t in enumerate(ODD)), *((200 + i, "the same text again") for i in range(50))]
+    got = alignment.align(documents(pairs).repartition(3), *FILES, top=top).collect()
+    want = plain(pairs, library)
+    assert any(w[1] == 0 and w[0] in (106, 107) for w in want) and all(w[1] for w in want if w[0] in (101, 110, 111))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_whole_table(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {tuple(r)[:7] for r in alignment.align(docs, *FILES, top=500, hashed=True).collect()}
+    assert got == {w[:7] for w in plain([(r.doc_id, r.text) for r in docs.collect()], library)}
+
+
+def test_empty_table_and_texts(documents):
+    assert alignment.align(documents([]), *FILES).collect() == []
+    got = alignment.align(documents([(1, None), (2, "")]), *FILES, hashed=True).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")}

@@ -9,12 +9,14 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillflow.llm import bpe, chat, decontamination, dedup, langid, merges, secrets, sharding, simhash, toxicity, warc
+from tillflow.llm import alignment, bpe, chat, decontamination, dedup, langid, merges, secrets, sharding, simhash, toxicity, warc, whitening
 from tillflow.llm.tables import land
 from tillflow.session import configure, scratch_dir
 
 BPE_FILE = "word_bpe_49k.json"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+# The two tokenizers that are aligned.
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 24
 PREDICTED = 0.3
 # A text with control strings of the template, escaped and not.
@@ -116,6 +118,16 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op11_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whitened(read(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    rows = alignment.align(read(spark, folder, "documents"), *map(tokenizer_path, ALIGNED), hashed=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = merges.encode(read(spark, folder, "documents"), tokenizer_path(RANK_FILE), PATTERN, files=True)
     return rows.select("doc_id", "n_tokens", sha("packed").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
@@ -124,5 +136,5 @@ def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_warc, op2_decontaminate, op3_bpe, op4_language_id, op5_toxicity, op6_exact_dedup, op7_secrets, op8_chat, op9_simhash, op10_shards,
-        op13_byte_bpe)
+        op11_whiten, op12_align_tokens, op13_byte_bpe)
     return {f.__name__: f for f in named}

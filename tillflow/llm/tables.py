@@ -67,6 +67,23 @@ def small_batches(texts: DataFrame) -> DataFrame:
     return texts
 
 
+def most_frequent(rows: DataFrame, count: str, top: int) -> DataFrame:
+    """Rows with the largest counts, at most ``top`` of them.
+
+    A histogram of the counts, of a thousand steps at most, gives the least count that
+    keeps within the bound; no rows are sorted or gathered.  Rows of the step at which the
+    bound is passed are left out together.
+    """
+    step = F.floor(F.log2(count) * 16).cast("int")
+    least, taken = None, 0
+    for row in sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        taken += row.k
+        if taken > top:
+            break
+        least = row.step
+    return rows.filter(F.lit(False) if least is None else step >= least)
+
+
 def unused(name: str, df: DataFrame) -> str:
     """A column name like ``name`` that the frame does not have."""
     taken = {c.lower() for c in df.columns}
