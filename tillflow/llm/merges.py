@@ -2,8 +2,8 @@
 
 A rank file gives the bytes of every token; a token's rank is its id.  A pattern cuts
 texts into words, and merges stay inside a word.  The words of the whole corpus are
-counted by grouped sums.  Over the ``top`` most frequent ones the merges are replayed
-as a whole: an inverted index maps each rank to all positions of pairs that make
+counted by grouped sums.  Over the most frequent ones, ``top`` at most, the merges are
+replayed as a whole: an inverted index maps each rank to all positions of pairs that make
 it, the ranks are applied in ascending order, and only the neighbours that a merge
 touches enter the index anew.  The dictionary that comes out has ``top`` words of
 ``LONGEST`` letters at most, a bound that does not grow with the data, so it is
@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.tables import land, small_batches, text_of
+from tillflow.llm.tables import land, most_frequent, small_batches, text_of
 
 # Words of the dictionary, and their greatest length.
 TOP, LONGEST = 200_000, 64
@@ -190,7 +190,7 @@ def corpus_words(texts: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, path: str, top: int) -> dict[str, list[int]]:
-    """The ids of the ``top`` most frequent words of at most ``LONGEST`` letters."""
+    """The ids of the most frequent words, ``top`` at most, of at most ``LONGEST`` letters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks(path)
         for batch in batches:
@@ -200,7 +200,7 @@ def frequent_words(counts: DataFrame, path: str, top: int) -> dict[str, list[int
                 ids = known.replay([w.encode() for w in part.to_pylist()])
                 yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    chosen = land(counts.filter(F.char_length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(top).select("word"), "words")
+    chosen = most_frequent(counts.filter(F.char_length("word") <= LONGEST), "n", top).select("word")
     rows = land(chosen.repartition("word").mapInArrow(run, "word string, ids array<int>"), "dictionary").toArrow()
     return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
 
