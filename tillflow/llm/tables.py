@@ -71,12 +71,12 @@ def most_frequent(rows: DataFrame, count: str, top: int) -> DataFrame:
     """Rows with the largest counts, at most ``top`` of them.
 
     A histogram of the counts, of a thousand steps at most, gives the least count that
-    keeps within the bound; no rows are sorted or gathered.  Rows of the step at which the
+    keeps within the bound; no rows are sorted or gathered.  Counts below one are the smallest.  Rows of the step at which the
     bound is passed are left out together.
     """
-    step = F.floor(F.log2(count) * 16).cast("int")
+    step = F.coalesce(F.floor(F.log2(count) * 16).cast("int"), F.lit(-1))
     least, taken = None, 0
-    for row in sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+    for row in sorted(rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: r.step, reverse=True):
         taken += row.k
         if taken > top:
             break
