@@ -33,7 +33,8 @@ def test_query(spark, con, key):
     assert verdict.startswith("ok"), verdict
 
 
-@pytest.mark.parametrize("key", ["stream_dau_rows", "stream_order_split", "stream_order_first_flag"])
+@pytest.mark.parametrize("key", ["stream_dau_rows", "stream_order_split", "stream_order_first_flag", "stream_order_wide_resent", "stream_order_split_late_repaired",
+                                 "stream_hour_sums", "stream_rejected", "stream_dau_counts", "stream_first_seen", "stream_new_buyers"])
 def test_stream(spark, con, key):
     verdict, _ = compare(spark, con, SMALL, key, queries()[key], oracle_sql()[key])
     assert verdict.startswith("ok"), verdict

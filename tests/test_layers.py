@@ -49,21 +49,22 @@ def test_json_to_brand_sums(spark, tmp_path, rows):
         spark.createDataFrame([(20, "a:b"), (21, "c")], "tm_id bigint, tm_name string"),
         spark.createDataFrame([(30, "cat")], "category3_id bigint, category3_name string"),
     )
-    buyers = sales.buyer_state(spark, at("buyers"))
-    split = sales.split_state(spark, at("split"))
+    def joined():
+        return sales.join_streams(sales.parse(text(at("dwd_order", "batch_id=*")), "enriched_order"),
+                                  sales.parse(text(at("dwd_detail", "batch_id=*")), "enriched_detail"))
+
     steps = [
         lambda: changes.start_split_files(text(at("cdc")), "array", at("ods"), at("c0"), ONCE),
         lambda: sales.start_orders(
-            sales.parse(text(at("ods", "topic=ODS_ORDER_INFO")), "order"), buyers, lambda: dims["province"],
-            lambda: dims["users"], [to_messages(at("dwd_order"), "id"), to_table(at("orders"), ("create_date",))], at("c1"), ONCE),
+            sales.parse(text(at("ods", "topic=ODS_ORDER_INFO")), "order"), None, lambda: dims["province"],
+            lambda: dims["users"], [to_messages(at("dwd_order"), "id"), to_table(at("orders"), "create_date")], at("c1"), ONCE),
         lambda: sales.start_details(
             sales.parse(text(at("ods", "topic=ODS_ORDER_DETAIL")), "detail"), products,
             [to_messages(at("dwd_detail"), "id")], at("c2"), ONCE),
-        lambda: sales.start_wide(
-            sales.join_streams(sales.parse(text(at("dwd_order", "batch_id=*")), "enriched_order"),
-                               sales.parse(text(at("dwd_detail", "batch_id=*")), "enriched_detail")),
-            split, [to_messages(at("dws"), "order_id"), to_table(at("wide"), ("dt",))], at("c3"), ONCE),
-        lambda: sales.start_brand(sales.parse(text(at("dws", "batch_id=*")), "wide"), at("stat"), at("c4"), ONCE),
+        lambda: sales.start_join(joined(), at("joined"), at("c3"), ONCE),
+        lambda: sales.start_split(
+            file_stream(spark, at("joined"), joined().schema), [to_messages(at("dws"), "order_id"), to_table(at("wide"), "dt")], at("c4"), ONCE),
+        lambda: sales.start_brand(sales.parse(text(at("dws", "batch_id=*")), "wide"), at("stat"), at("c5"), ONCE),
     ]
     for messages in ROUNDS:
         spark.createDataFrame(messages, "value string").write.mode("append").parquet(at("cdc"))

@@ -53,7 +53,8 @@ def test_days_reach_the_scan(shop):
     # Reports on sales read their stored tables, and of these the days they need.
     for key in ("order_amount_total", "order_amount_by_hour", "hour_map", "report_hour_amount", "report_day_total", "brand_topn", "brand_chart"):
         text = plan(BATCH[key](shop))
-        assert re.search(r"PartitionFilters: \[isnotnull\(dt#\d+\), .*dt#\d+ >?=+ 1997-0", text), key
+        assert re.search(r"PartitionFilters: \[isnotnull\(pack#\d+\), .*pack#\d+ >?=+ 199", text), key
+        assert re.search(r"PushedFilters: \[IsNotNull\(dt\), .*\(dt,1997-0", text), key
         assert "lineitem" not in text, key
 
 

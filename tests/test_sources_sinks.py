@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from tillflow import schemas
 from tillflow.operators.parsing import typed_rows
-from tillflow.operators.ranking import latest_per_key
 from tillflow.sinks import jdbc as jdbc_sink, kafka as kafka_sink
-from tillflow.sinks.folders import numbered
-from tillflow.sinks.keyed import BATCH, KeyedTable
-from tillflow.sinks.tables import write_batch, write_days, write_routed
+from tillflow.sinks.folders import names, versions
+from tillflow.sinks.outputs import to_messages
+from tillflow.sinks.tables import pack_days, read_days, write_batch, write_days
 from tillflow.sources import jdbc, kafka
 from tillflow.sources.files import table
 
@@ -68,28 +67,42 @@ def test_a_batch_can_be_repeated(spark, tmp_path, rows):
         write_batch(df, path, 0)
     write_batch(df, path, 1)
     assert spark.read.parquet(path).count() == 4
-    write_routed(df, str(tmp_path / "routes"), 0)
+    write_batch(df, str(tmp_path / "routes"), 0, ("topic",))
     assert rows(spark.read.parquet(str(tmp_path / "routes" / "topic=A" / "batch_id=0"))) == [("1",)]
 
 
-def test_keyed_table(spark, tmp_path, rows):
-    fold = lambda df: latest_per_key(df, ["id"], [BATCH])
-    made = lambda *data: spark.createDataFrame(list(data), "id bigint, name string")
-    t = KeyedTable(spark, str(tmp_path / "t"), "id bigint, name string", fold, compact_every=2)
-    assert t.read().count() == 0
-    t.seed(made((1, "seed")))
-    t.seed(made((1, "ignored")))
-    t.write(made((1, "a"), (2, "b")), 0)
-    assert rows(t.rows_before(0)) == [(1, "seed")]
-    for name in ("lost", "c"):  # a replay of the batch replaces it
-        t.write(made((2, name)), 1)
-        assert rows(t.rows_before(1)) == [(1, "a"), (2, "b")]
-    assert rows(t.read()) == [(1, "a"), (2, "c")]
-    for batch in range(2, 9):
-        t.write(made((3, f"v{batch}")), batch)
-        assert rows(t.rows_before(batch), "id")[:2] == [(1,), (2,)]
-    assert rows(t.read()) == [(1, "a"), (2, "c"), (3, "v8")]
-    keys = spark.createDataFrame([(3,)], "id bigint")
-    assert rows(t.rows_before(8, keys)) == [(3, "v7")]
-    assert numbered(spark, str(tmp_path / "t" / "snapshot"), "upto") == [6, 8]
-    assert min(numbered(spark, str(tmp_path / "t" / "delta"), "batch_id")) > 4
+def test_quiet_days_share_a_pack(spark, tmp_path, rows):
+    path = str(tmp_path / "packs")
+    days = spark.range(1000).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.when(F.col("id") < 500, 40).otherwise(F.col("id") % 100).cast("int")).alias("dt"))
+    staged = str(tmp_path / "staged")
+    days.unionByName(days.limit(1).withColumn("dt", F.lit(None).cast("date"))).write.parquet(staged)
+    table = spark.read.parquet(staged)
+    pack_days(table, path, rows=100)
+    packs = [n for n in names(spark, path) if n.startswith("pack=2")]
+    assert 4 < len(packs) < 12 and sum(1 for _ in (tmp_path / "packs").rglob("*.parquet")) < 20
+    assert read_days(spark, path, table.schema).count() == 1001
+    for first, last in (("2024-01-05", None), ("2024-02-10", None), ("2024-02-01", "2024-03-01"), ("2023-01-01", "2023-12-31"), ("2024-12-01", None)):
+        got = read_days(spark, path, table.schema, first, last)
+        want = table.where(F.col("dt").between(F.lit(first).cast("date"), F.lit(last or first).cast("date")))
+        assert rows(got) == rows(want)
+    # The hot day is a pack of its own, and a quiet one reads one pack.
+    busy = read_days(spark, path, table.schema, "2024-02-10")
+    assert busy.count() == 505
+    plan = busy._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(pack" in plan and "EqualTo(dt,2024-02-10)" in plan.replace("GreaterThanOrEqual(dt,2024-02-10), LessThanOrEqual(dt,2024-02-10)", "EqualTo(dt,2024-02-10)")
+
+
+def test_a_table_written_anew_has_another_version(spark, tmp_path):
+    folder = tmp_path / "tables"
+    spark.range(3).write.parquet(str(folder / "a.parquet"))
+    before = versions(spark, str(folder))
+    assert before == versions(spark, str(folder))
+    spark.range(4).write.mode("overwrite").parquet(str(folder / "a.parquet"))
+    assert before != versions(spark, str(folder))
+
+
+def test_copies_of_a_replay_can_be_told(spark, tmp_path):
+    out = to_messages(str(tmp_path / "topic"), key="id")
+    out(spark.createDataFrame([(7, "x")], "id bigint, name string"), 3)
+    message = spark.read.parquet(str(tmp_path / "topic")).first()
+    assert json.loads(message.value) == {"id": 7, "name": "x", "batch_id": 3} and message.key == "7"

@@ -1,15 +1,18 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tillflow.checks.replays import Arrivals
+from tillflow.checks.replays import Arrivals, forget_commit
+from tillflow.operators.parsing import sorted_rows, typed_rows
+from tillflow.plans import reports
+from tillflow.session import scratch_dir, state_partitions
 from tillflow.sinks.tables import write_batch
 from tillflow.sources.files import file_stream
-from tillflow.streaming import changes, devices, sales
-from tillflow.session import scratch_dir, state_partitions
-from tillflow.streaming.running import ONCE, late_rows, salt_count, start_files
+from tillflow.streaming import changes, devices, late, progress, sales
+from tillflow.streaming.running import ARRIVED, ONCE, late_rows, salt_count, start_sorted
 
 
 def feed(df, path):
@@ -70,24 +73,46 @@ def at(seconds):
     return T0 + dt.timedelta(seconds=seconds)
 
 
-def test_first_orders_survive_updates_and_replays(spark, tmp_path, rows):
+def test_first_orders_survive_updates_restarts_and_replays(spark, tmp_path, rows):
     province = lambda: spark.createDataFrame([(1, "p", "a", "i")], "id bigint, name string, area_code string, iso_code string")
     users = lambda: spark.createDataFrame([(7, "1990-01-01", "F")], "id bigint, birthday string, gender string")
-    state = sales.buyer_state(spark, str(tmp_path / "state"), compact_every=2)
-    sales.seed_buyers(state, spark.createDataFrame([(9, "1"), (8, "0")], "user_id bigint, if_consumed string"))
-    out = str(tmp_path / "out")
-    step = sales.order_batch(state, province, users, [lambda df, n: write_batch(df, out, n)])
+    source, known, out, new, check = (str(tmp_path / n) for n in ("in", "known", "out", "new", "check"))
+    feed(spark.createDataFrame([(9, "1"), (8, "0")], "user_id bigint, if_consumed string"), known)
     order = lambda key, user, t, op=None: (key, user, 1, at(t), op, 1, 1)
-    first = spark.createDataFrame([order(12, 7, 0), order(11, 7, 0), order(20, 8, 0), order(30, 9, 0)], ORDERS)
-    update = spark.createDataFrame([order(11, 7, 0, at(9)), order(5, 7, -99), order(13, 7, 50), order(40, 6, 1)], ORDERS)
-    for number, batch in ((0, first), (0, first), (1, update), (1, update)):
-        step(batch, number)
-    got = rows(spark.read.parquet(out).where("batch_id = 0"), "id", "if_first_order")
-    assert got == [(11, "1"), (12, "0"), (20, "1"), (30, "0")]
+    to = lambda path: [lambda df, n: write_batch(df, path, n)]
+
+    def step(*data):
+        if data:
+            feed(spark.createDataFrame(list(data), ORDERS), source)
+        buyers = sales.known_buyers(file_stream(spark, known, "user_id bigint, if_consumed string"))
+        run(sales.start_orders(file_stream(spark, source, ORDERS), buyers, province, users, to(out), check, ONCE, buyer_outputs=to(new)))
+
+    flags = lambda: rows(spark.read.parquet(out), "id", "if_first_order", "batch_id")
+    step(order(12, 7, 0), order(11, 7, 0), order(20, 8, 0), order(30, 9, 0))
+    first = [(11, "1"), (12, "0"), (20, "1"), (30, "0")]
+    assert [f[:2] for f in flags()] == first
+    forget_commit(spark, check)
+    step()  # the batch is done again
+    assert [f[:2] for f in flags()] == first
     # The update of 11 keeps its flag; 5 is earlier but came late.
-    got = rows(spark.read.parquet(out).where("batch_id = 1"), "id", "if_first_order")
-    assert got == [(11, "1"), (13, "0"), (40, "1"), (5, "0")]
+    step(order(11, 7, 0, at(9)), order(5, 7, -99), order(13, 7, 50), order(40, 6, 1))
+    second = max(f[2] for f in flags())
+    assert [f[:2] for f in flags() if f[2] == second] == [(11, "1"), (13, "0"), (40, "1"), (5, "0")]
     assert spark.read.parquet(out).where("user_id = 7 and user_gender = '女' and province_name = 'p'").count() == 5
+    # Each new buyer once; one who becomes known in the table has no first order any more.
+    assert rows(spark.read.parquet(new), "user_id", "if_consumed") == [(6, "1"), (7, "1"), (8, "1")]
+    feed(spark.createDataFrame([(5, "1")], "user_id bigint, if_consumed string"), known)
+    step(order(50, 5, 100))
+    assert [f[:2] for f in flags() if f[0] == 50] == [(50, "0")]
+
+
+def test_one_source_feeds_rows_and_state(spark, tmp_path):
+    source = str(tmp_path / "in")
+    feed(spark.createDataFrame([(1, 7, 1, at(0), None, 1, 1)], ORDERS), source)
+    query = run(sales.start_orders(
+        file_stream(spark, source, ORDERS), None, lambda: spark.createDataFrame([], "id bigint, name string, area_code string, iso_code string"),
+        lambda: spark.createDataFrame([], "id bigint, birthday string, gender string"), [lambda df, n: df.collect()], str(tmp_path / "c"), ONCE))
+    assert {len(p.sources) for p in query.recentProgress} == {1}
 
 
 @pytest.mark.parametrize("salt", [1, 4])
@@ -100,7 +125,7 @@ def test_join_bound_and_duplicates(spark, tmp_path, rows, salt):
         feed(spark.createDataFrame(orders, ORDERS), o)
         feed(spark.createDataFrame(lines, LINES), l)
         joined = sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES), salt_buckets=salt)
-        run(start_files(joined, out, str(tmp_path / "c"), ONCE))
+        run(sales.start_join(joined, out, str(tmp_path / "c"), ONCE))
 
     step([order(1, 0), order(2, 0), order(3, 0, op=None)],
          [line(101, 1, 3), line(101, 1, 3), line(102, 2, 11), line(103, 3, 1)])
@@ -109,30 +134,187 @@ def test_join_bound_and_duplicates(spark, tmp_path, rows, salt):
     assert rows(spark.read.parquet(out), "order_id", "order_detail_id") == [(1, 101), (1, 105), (4, 104)]
 
 
-def test_split_over_batches_adds_up(spark, tmp_path, rows):
-    schema = ("order_detail_id bigint, order_id bigint, sku_price bigint, sku_num bigint, "
-              "final_total_amount bigint, original_total_amount bigint")
-    state = sales.split_state(spark, str(tmp_path / "state"), compact_every=1)
-    out = str(tmp_path / "out")
-    step = sales.wide_batch(state, [lambda df, n: write_batch(df, out, n)])
-    line = lambda key, order_id=1, price=4000, final=10000, original=12000: (key, order_id, price, 1, final, original)
-    batches = [[line(1), line(10, 2, 4000, 3350, 4000)], [line(3)], [], [line(2), line(20, 3, 0, 5, 0)], [line(21, 3, 0, 5, 0)]]
-    for number, batch in enumerate(batches):
-        for _ in range(2):  # every batch is replayed once
-            step(spark.createDataFrame(batch, schema), number)
-    got = {r.order_detail_id: r.final_detail_amount for r in spark.read.parquet(out).collect()}
+JOINED = ("order_detail_id bigint, order_id bigint, create_time timestamp, sku_price bigint, sku_num bigint, "
+          "final_total_amount bigint, original_total_amount bigint")
+
+
+def split_steps(spark, tmp_path, **options):
+    source, out, check = (str(tmp_path / n) for n in ("joined", "out", "check"))
+
+    def step(*data, again=False):
+        if again:
+            forget_commit(spark, check)
+        if data:
+            feed(spark.createDataFrame(list(data), JOINED), source)
+        run(sales.start_split(file_stream(spark, source, JOINED), [lambda df, n: write_batch(df, out, n)], check, ONCE, **options))
+        return {r.order_detail_id: r.final_detail_amount for r in spark.read.parquet(out).collect()}
+
+    return step
+
+
+def test_split_over_batches_adds_up(spark, tmp_path):
+    line = lambda key, order_id=1, price=4000, final=10000, original=12000: (key, order_id, at(order_id), price, 1, final, original)
+    step = split_steps(spark, tmp_path)
+    batches = [[line(1), line(10, 2, 4000, 3350, 4000)], [line(3)], [line(2), line(20, 3, 0, 5, 0)], [line(21, 3, 0, 5, 0)]]
+    for batch in batches:
+        step(*batch)
+        got = step(again=True)  # every batch is done once more
     assert got == {1: 3333, 3: 3333, 2: 3334, 10: 3350, 20: 5, 21: 0}
 
 
-def test_brand_sums_have_one_stamp_per_batch_and_replay(spark, tmp_path, rows):
-    out = str(tmp_path / "stat")
-    step = sales.brand_batch(out, now=lambda: T0)
-    batch = lambda *data: spark.createDataFrame(list(data), "tm_id bigint, tm_name string, final_detail_amount bigint")
-    for number, df in ((0, batch((1, "a", 3), (1, "a", 4))), (0, batch((1, "a", 3), (1, "a", 4))), (1, batch((1, "a", 5), (2, "b:c", 1)))):
-        step(df, number)
+def test_the_state_of_the_split_goes_by_its_own_watermark(spark, tmp_path):
+    """Lines of an order may be a day apart; orders beyond that leave the state."""
+    step = split_steps(spark, tmp_path, watermark="1 day")
+    line = lambda key, order_id, day, price=50: (key, order_id, at(day * 86400), price, 1, 99, 100)
+    step(line(1, 1, 0))
+    got = step(line(2, 1, 0), line(3, 2, 3))
+    assert got[1] + got[2] == 99
+    step(line(4, 3, 9))
+    state = spark.read.format("statestore").load(str(tmp_path / "check"))
+    assert {r.key.order_id for r in state.collect()} == {3}
+
+
+def test_one_order_dated_far_ahead_takes_nothing_with_it(spark, tmp_path, rows):
+    """Orders 1 and 3 of 2024, order 2 of 2099: the stream takes 1 and 3, the repair finds 2."""
+    o, l, out, split, c = (str(tmp_path / n) for n in ("o", "l", "out", "split", "c"))
+    ahead = (dt.datetime(2099, 1, 1) - T0).total_seconds()
+    order = lambda key, t: (key, 1, 1, at(t), at(t + 1), 99, 100)
+    line = lambda key, order_id, t: (key, order_id, 50, 1, 1, at(t))
+    joined = lambda: sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES))
+
+    def step(orders, lines):
+        feed(spark.createDataFrame(orders, ORDERS), o)
+        feed(spark.createDataFrame(lines, LINES), l)
+        schema = joined().schema
+        run(sales.start_join(joined(), out, f"{c}1", ONCE))
+        run(sales.start_split(file_stream(spark, out, schema), [lambda df, n: write_batch(df, split, n)], f"{c}2", ONCE))
+
+    step([order(1, 0), order(2, ahead)], [line(11, 1, 1), line(21, 2, ahead), line(22, 2, ahead)])
+    step([order(3, 7200)], [line(12, 1, 2), line(31, 3, 7201), line(32, 3, 7202)])
+    stored = spark.read.parquet(split).drop("batch_id")
+    shares = lambda df: {k: sorted(r.final_detail_amount for r in g) for k, g in by_order(df).items()}
+    assert shares(stored) == {1: [49, 50], 3: [49, 50]}
+    missed = late.missed(spark.read.schema(ORDERS).parquet(o), spark.read.schema(LINES).parquet(l), stored)
+    assert shares(late.repair(missed, stored)) == {2: [49, 50]}
+
+
+def by_order(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.order_id, []).append(r)
+    return out
+
+
+def test_a_repaired_line_gets_what_is_left(spark):
+    stored = spark.createDataFrame([(1, 1, 50, 1, 50), (5, 9, 10, 1, 10)], "order_detail_id bigint, order_id bigint, sku_price bigint, sku_num bigint, final_detail_amount bigint")
+    orders = spark.createDataFrame([(1, 1, 1, at(0), at(1), 99, 100), (9, 1, 1, at(0), at(1), 10, 10)], ORDERS)
+    lines = spark.createDataFrame([(1, 1, 50, 1, 1, at(1)), (2, 1, 50, 1, 1, at(2)), (2, 1, 50, 1, 1, at(2)), (3, 1, 50, 1, 1, at(99)), (5, 9, 10, 1, 1, at(1))], LINES)
+    got = late.repair(late.missed(orders, lines, stored), stored).collect()
+    # Line 2 once, although sent again; line 3 is beyond the bound.
+    assert [(r.order_detail_id, r.final_detail_amount) for r in got] == [(2, 49)]
+
+
+@pytest.mark.parametrize("forever", [True, False])
+def test_a_line_sent_again_after_days_counts_once(spark, tmp_path, rows, forever):
+    o, l, out = (str(tmp_path / n) for n in ("o", "l", "out"))
+    for day in (0, 3, 6):
+        t = day * 86400
+        feed(spark.createDataFrame([(1, 1, 1, at(t), at(t), 10, 10), (2 + day, 1, 1, at(t), at(t), 10, 10)], ORDERS), o)
+        feed(spark.createDataFrame([(101, 1, 10, 1, 1, at(t)), (200 + day, 2 + day, 10, 1, 1, at(t))], LINES), l)
+        joined = sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES), forever=forever)
+        run(sales.start_join(joined, out, str(tmp_path / "c"), ONCE))
+    got = dict(rows(spark.read.parquet(out).groupBy("order_detail_id").count()))
+    # With the watermark the state goes, and the line counts again.
+    assert got == {101: 1 if forever else got[101], 200: 1, 203: 1, 206: 1} and (got[101] > 1) != forever
+
+
+def test_a_batch_done_again_after_midnight_is_booked_once(spark, tmp_path, rows):
+    source, out, check = (str(tmp_path / n) for n in ("in", "stat", "check"))
+    schema = "tm_id bigint, tm_name string, final_detail_amount bigint"
+
+    def step(*data):
+        if data:
+            feed(spark.createDataFrame(list(data), schema), source)
+        run(sales.start_brand(file_stream(spark, source, schema), out, check, ONCE))
+
+    step((1, "a", 3), (1, "a", 4))
+    before = rows(spark.read.parquet(out))
+    forget_commit(spark, check)
+    step()
+    assert rows(spark.read.parquet(out)) == before
+    step((1, "a", 5), (2, "b:c", 1))
     got = spark.read.parquet(out)
     assert rows(got, "batch_id", "trademark_id", "trademark_name", "amount") == [(0, 1, "a", 7), (1, 1, "a", 5), (1, 2, "b:c", 1)]
-    assert got.select("stat_time").distinct().count() == 1
+    assert got.select("stat_time").distinct().count() == 2
+    # The stamp is the batch's own, whatever the clock says when it is done: 23:59:59, and once more at 00:00:03.
+    stamped = spark.createDataFrame([(1, "a", 100, dt.datetime(2024, 5, 1, 23, 59, 59))], f"{schema}, {ARRIVED} timestamp")
+    each = sales.brand_batch(str(tmp_path / "late"))
+    for _ in range(2):
+        each(stamped, 7)
+    assert rows(spark.read.parquet(str(tmp_path / "late")), "amount", "batch_id") == [(100, 7)]
+
+
+def test_hours_are_kept_current(spark, tmp_path, rows):
+    source, table = str(tmp_path / "in"), sales.hour_table(spark, str(tmp_path / "hours"))
+    schema = "create_time timestamp, final_detail_amount bigint"
+    for batch in ([(at(0), 5), (at(3600), 7)], [(at(10), 1), (at(7200), 2)]):
+        feed(spark.createDataFrame(batch, schema), source)
+        run(sales.start_hours(file_stream(spark, source, schema), table, str(tmp_path / "c"), ONCE))
+    assert [(h, int(a)) for h, a in rows(table.read(), "hr", "order_amount")] == [(10, 6), (11, 7), (12, 2)]
+
+
+def test_new_devices_are_indexed_once(spark, tmp_path, rows):
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def step(*data):
+        if data:
+            feed(logs(spark, *data), source)
+        to = [lambda df, n: write_batch(df, out, n, ("dt",))]
+        run(devices.start_first_seen(file_stream(spark, source, "value string"), to, check, ONCE))
+
+    step(("a", (2, 5)), ("a", (1, 5)), ("b", (2, 6)))
+    step(("a", (3, 5)), ("c", (3, 6)))
+    forget_commit(spark, check)
+    step()
+    seen = spark.read.parquet(out)
+    assert rows(seen.select(F.dayofmonth("dt").alias("d"), "mid")) == [(1, "a"), (2, "b"), (3, "c")]
+    active = spark.createDataFrame([(dt.date(2024, 1, 3), 5, "a"), (dt.date(2024, 1, 3), 6, "c")], "dt date, hr int, mid string")
+    assert reports.device_totals(active, "2024-01-03", seen).first()[:] == (2, 1)
+
+
+def test_rejected_texts_are_kept_with_their_reason(spark, tmp_path, rows):
+    source, good, bad = (str(tmp_path / n) for n in ("in", "good", "bad"))
+    texts = ['{"common":{"mid":"a"},"ts":1}', '{"common":{"mid":"b"},"ts":"2"}', "junk", "", None, '{"ts":3}', '{"common":{"mid":null},"ts":3}',
+             '{"common":{"mid":"c"}}', '{"common":{"mid":"c"},"ts":"x"}', "[]", '{"common":5,"ts":3}']
+    feed(spark.createDataFrame([(t,) for t in texts], "value string"), source)
+    out = lambda path: [lambda df, n: write_batch(df, path, n)]
+    schema = "common struct<mid:string>, ts bigint"
+    stream = sorted_rows(file_stream(spark, source, "value string"), schema, key="ts", also="common.mid")
+    run(start_sorted(stream, out(good), out(bad), str(tmp_path / "c"), ONCE))
+    assert rows(spark.read.parquet(good).select("common.mid", "ts")) == [("a", 1), ("b", 2)]
+    reasons = {r.value: r.reason for r in spark.read.parquet(bad).collect()}
+    assert len(reasons) == len(texts) - 2 and reasons['{"ts":3}'] == reasons['{"common":{"mid":null},"ts":3}'] == "no common.mid"
+    assert reasons['{"common":{"mid":"c"}}'] == reasons['{"common":{"mid":"c"},"ts":"x"}'] == "no ts" and reasons["junk"] == reasons[None] == "no JSON object"
+    # The same texts as typed_rows leaves out.
+    assert typed_rows(spark.createDataFrame([(t,) for t in texts], "value string"), schema, "ts", also="common.mid").count() == 2
+    batch = sorted_rows(spark.read.schema("value string").parquet(source), schema, key="ts", also="common.mid")
+    assert batch._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_every_batch_is_logged(spark, tmp_path):
+    source, log = str(tmp_path / "in"), progress.BatchLog(spark, str(tmp_path / "log"), ("logged",)).attach()
+    try:
+        for day in (1, 5, 9):
+            feed(logs(spark, ("a", (day, 5)), ("a", (day, 6)), ("b", (1, 1))), source)
+            run(devices.start(file_stream(spark, source, "value string"), str(tmp_path / "out"), str(tmp_path / "c"), ONCE, salt_buckets=1, name="logged"))
+    finally:
+        log.detach()
+    got = sorted(progress.batches(spark, str(tmp_path / "log")).collect(), key=lambda r: r.batch_id)
+    assert [r.batch_id for r in got] == list(range(len(got))) and len({r.run for r in got}) == 3
+    assert sum(r.input_rows for r in got) == 9 and sum(r.late_rows for r in got) == 1
+    assert sum((r.metrics.get("dau_before") or {}).get("rows", 0) for r in got) == 9
+    assert sum((r.metrics.get("dau_after") or {}).get("rows", 0) for r in got) == spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert all('"end"' in r.positions for r in got) and got[-1].watermark > got[0].watermark
 
 
 def test_arrivals_hold_every_row_once(spark, tmp_path):
@@ -153,27 +335,24 @@ def test_orders_paid_after_the_bound_reach_the_wide_table(spark, tmp_path, rows)
         feed(spark.createDataFrame(orders, ORDERS), o)
         feed(spark.createDataFrame(lines, LINES), l)
         joined = sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES))
-        return run(start_files(joined, out, str(tmp_path / "c"), ONCE))
+        return run(sales.start_join(joined, out, str(tmp_path / "c"), ONCE))
 
     step([order(1, 0)], [line(101, 1, 1)])
     step([order(2, 60, at(61))], [line(102, 2, 60)])
     step([order(1, 0, at(3600)), order(3, 2 * 86400, at(2 * 86400))], [line(103, 3, 2 * 86400)])
     assert rows(spark.read.parquet(out), "order_id", "order_detail_id") == [(1, 101), (2, 102), (3, 103)]
     # Two days on, a line of the first day is late, and counted.
-    late = step([], [line(104, 2, 61)])
-    assert late_rows(late) > 0 and spark.read.parquet(out).count() == 3
+    behind = step([], [line(104, 2, 61)])
+    assert late_rows(behind) > 0 and spark.read.parquet(out).count() == 3
 
 
 def test_batch_and_stream_split_agree_on_incomplete_orders(spark, tmp_path):
     from tillflow.operators import wide
 
-    schema = ("order_detail_id bigint, order_id bigint, sku_price bigint, sku_num bigint, "
-              "final_total_amount bigint, original_total_amount bigint")
-    df = spark.createDataFrame([(i, 1, 4000, 1, 10000, 12000) for i in (1, 2)] + [(9, 2, 10, 1, 7, 10)], schema)
-    out = str(tmp_path / "out")
-    sales.wide_batch(sales.split_state(spark, str(tmp_path / "state")), [lambda b, n: write_batch(b, out, n)])(df, 0)
-    shares = lambda rows: {r.order_detail_id: r.final_detail_amount for r in rows.collect()}
-    assert shares(wide.apportion(df)) == shares(spark.read.parquet(out)) == {1: 3333, 2: 3333, 9: 7}
+    data = [(i, 1, at(0), 4000, 1, 10000, 12000) for i in (1, 2)] + [(9, 2, at(0), 10, 1, 7, 10)]
+    got = split_steps(spark, tmp_path)(*data)
+    shares = {r.order_detail_id: r.final_detail_amount for r in wide.apportion(spark.createDataFrame(data, JOINED)).collect()}
+    assert shares == got == {1: 3333, 2: 3333, 9: 7}
 
 
 def test_logs_without_a_device_are_rejected(spark, tmp_path):
@@ -221,35 +400,43 @@ def test_a_lookup_reads_the_folders_of_its_keys(spark, tmp_path, rows):
     table = changes.dimension_table(spark, str(tmp_path / "dim"), "user")
     people = spark.range(1000).selectExpr("id", "'1990-01-01' AS birthday", "'F' AS gender", "CAST(0 AS BIGINT) AS seq")
     table.seed(people)
-    table.compact()
+    table.seed(people.where("id < 0"))
     table.write(people.where("id < 2").selectExpr("id", "birthday", "'M' AS gender", "CAST(1 AS BIGINT) AS seq"), 0)
-    found = table.rows_before(keys=spark.createDataFrame([(1,), (7,)], "id bigint"))
+    found = table.read(spark.createDataFrame([(1,), (7,)], "id bigint"))
     assert rows(found, "id", "gender") == [(1, "M"), (7, "F")]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    # Of the snapshot at most two folders; the keys come before the fold.
-    assert "PartitionFilters: [_bucket" in plan
-    assert plan.index("Window [") < plan.index("LeftSemi")
-    wide = sum(1 for p in (tmp_path / "dim" / "snapshot" / "upto=-1").iterdir() if p.name.startswith("_bucket="))
-    assert wide > 32
-
-
-def test_split_state_is_a_window_of_time(spark, tmp_path):
-    schema = "order_id bigint, original_c bigint, share_c bigint, order_time timestamp"
-    state = sales.split_state(spark, str(tmp_path / "state"), compact_every=1, retention="2 hours")
-    for n in range(1, 9):
-        batch = [(n * 10 + k, 1, 1, at(3600 * n + k)) for k in range(10)]
-        state.write(spark.createDataFrame(batch, schema), n)
-    assert state.read().count() <= 30
-
-
-def test_an_unmarked_folder_is_not_there(spark, tmp_path):
+    assert "PartitionFilters: [bucket" in plan and plan.index("Window [") < plan.index("LeftSemi")
+    assert table.read().count() == 1000
+
+
+def test_a_batch_of_few_products_reads_few_files(spark, tmp_path):
+    sku = changes.dimension_table(spark, str(tmp_path / "sku"), "sku")
+    sku.seed(spark.range(5000).selectExpr("id AS sku_id", "id % 50 AS spu_id", "id % 9 AS tm_id", "id % 7 AS category3_id", "CAST(0 AS BIGINT) AS seq"))
+    rest = []
+    for name, key, text, n in (("spu", "spu_id", "spu_name", 50), ("trademark", "tm_id", "tm_name", 9), ("category3", "category3_id", "category3_name", 7)):
+        table = changes.dimension_table(spark, str(tmp_path / name), name)
+        table.seed(spark.range(n).selectExpr(f"id AS {key}", f"concat('x', id) AS {text}", "CAST(0 AS BIGINT) AS seq"))
+        rest.append(table)
+    lines = spark.createDataFrame([(1, 3), (2, 3), (3, 44)], "id bigint, sku_id bigint")
+    found = sales.products_of((sku, *rest), lines)
+    assert [df.count() for df in found] == [2, 2, 2, 2]
+    found[0].collect()
+    scans = found[0].inputFiles()
+    everything = sum(1 for _ in (tmp_path / "sku").rglob("*.parquet"))
+    assert "PartitionFilters: [bucket" in found[0]._jdf.queryExecution().executedPlan().toString() and everything >= 32
+    read = re.findall(r"bucket#\d+ IN \(([\d,]+)\)|bucket#\d+ = (\d+)", found[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert scans and read and all(len((many or one).split(",")) <= 2 for many, one in read)
+
+
+def test_a_rewritten_table_has_one_change_per_key(spark, tmp_path, rows):
     table = changes.dimension_table(spark, str(tmp_path / "dim"), "trademark")
-    one = spark.createDataFrame([(1, "a", 1)], "tm_id bigint, tm_name string, seq bigint")
-    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    try:
-        table.write(one, 0)
-    finally:
-        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
-    assert table.read().count() == 1
-    one.write.parquet(str(tmp_path / "dim" / "delta" / "batch_id=1"))  # broken off before its mark
-    assert table.read().count() == 1
+    assert table.read().count() == 0
+    made = lambda *data: spark.createDataFrame(list(data), "tm_id bigint, tm_name string, seq bigint")
+    table.write(made((1, "a", 1), (2, "b", 2), (1, "later", 3)), 0)
+    for name in ("lost", "c"):  # a batch that is done again replaces itself
+        table.write(made((2, name, 1)), 1)
+    assert rows(table.read(), "tm_id", "tm_name") == [(1, "later"), (2, "c")]
+    fresh = table.rewrite(str(tmp_path / "fresh"))
+    assert fresh.changes().count() == 2 and rows(fresh.read()) == rows(table.read())
+    fresh.write(made((3, "d", 1)), 7)
+    assert rows(fresh.read(), "tm_id") == [(1,), (2,), (3,)]

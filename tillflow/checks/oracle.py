@@ -269,6 +269,30 @@ QUERIES = {
     "stream_order_wide_late_paid": """
         SELECT order_detail_id, order_id, user_id, sku_id, sku_num, line_c, orig_c, final_c, dt, create_time
         FROM fx_order_wide""",
+    "stream_order_wide_late_repaired": """
+        SELECT order_detail_id, order_id, user_id, sku_id, sku_num, line_c, orig_c, final_c, dt, create_time
+        FROM fx_order_wide""",
+    "stream_order_wide_resent": """
+        SELECT order_detail_id, order_id, user_id, sku_id, sku_num, line_c, orig_c, final_c, dt, create_time
+        FROM fx_order_wide""",
+    "stream_order_split_late_repaired": """
+        SELECT order_id, count(*) AS lines, CAST(sum(line_c) AS BIGINT) AS line_c, CAST(sum(share_c) AS BIGINT) AS share_c,
+               count(*) FILTER (share_c <> raw_c) AS adjusted
+        FROM fx_split GROUP BY order_id""",
+    "stream_new_buyers": """
+        SELECT user_id, '1' AS if_consumed FROM fx_first_flag WHERE if_first_order = '1'""",
+    "stream_hour_sums": "SELECT dt, hr, order_amount FROM fx_amount_hour",
+    "stream_first_seen": "SELECT DISTINCT mid, first_day AS dt FROM fx_device_day",
+    "stream_dau_counts": """
+        SELECT (SELECT count(*) FROM fx_startup) AS dau_before, (SELECT count(*) FROM fx_dau) AS dau_after""",
+    "stream_rejected": """
+        SELECT CASE k WHEN 0 THEN 'broken ' || event_id WHEN 1 THEN '{"common":{"mid":"' || mid || '"},"event_id":' || event_id || '}'
+                      WHEN 2 THEN '{"ts":' || ts || ',"event_id":' || event_id || '}'
+                      WHEN 3 THEN '{"common":{"mid":"' || mid || '"},"ts":"late","event_id":' || event_id || '}'
+                      ELSE CAST(event_id AS VARCHAR) END AS value,
+               CASE k WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'no ts' WHEN 2 THEN 'no common.mid' WHEN 3 THEN 'no ts'
+                      ELSE 'accepted' END AS reason
+        FROM (SELECT *, event_id % 7 AS k FROM fx_startup)""",
     "stream_brand_batch_sum": """
         SELECT trademark_id, trademark_name, CAST(sum(amount_c) AS BIGINT) AS amount_c
         FROM fx_stat GROUP BY 1, 2""",

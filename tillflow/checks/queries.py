@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from tillflow.checks.oracle import AS_OF, DAU_DAY, DAU_DAY_BEFORE, DAY, RANGE, TOP_N
+from tillflow.checks.oracle import AS_OF, DAU_DAY, DAU_DAY_BEFORE, DAY, DAY_BEFORE, RANGE, TOP_N
 from tillflow.functions import age_group, gender_label
 from tillflow.operators import brand, cdc, dau, details, dims, orders, wide
 from tillflow.operators.parsing import typed_rows
 from tillflow.plans import reports
 from tillflow.session import configure, scratch_dir
-from tillflow.sinks.tables import write_days
-from tillflow.sources.files import table
+from tillflow.sinks.folders import delete, versions
+from tillflow.sinks.tables import pack_days, read_days
 from tillflow.sources.shop import Days, ShopTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,35 +70,43 @@ def brand_stat(shop: ShopTables, days: Days = None) -> DataFrame:
     return brand.brand_sums(lines, F.col("dt").cast("timestamp"), by=("dt",))
 
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple, tuple[str, StructType]] = {}
 
 
-def stored(shop: ShopTables, name: str, build: Callable[[ShopTables], DataFrame]) -> DataFrame:
-    """A table by day that reports read: written once per session and folder of tables."""
+def stored(shop: ShopTables, name: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Days of a table that reports read: written once per session and state of the folder of tables."""
     spark = shop.spark
-    df = build(shop)
-    key = (spark.sparkContext.applicationId, shop.folder, name)
+    key = (spark.sparkContext.applicationId, shop.folder, versions(spark, shop.folder), name)
     if key not in _STORED:
         path = scratch_dir(spark, name)
-        write_days(df, path)
-        _STORED[key] = path
-    return table(spark, _STORED[key], schema=df.schema)
+        STORED[name](shop).write.parquet(f"{path}/staged")
+        staged = spark.read.parquet(f"{path}/staged")
+        pack_days(staged, f"{path}/packs")
+        _STORED[key] = f"{path}/packs", staged.schema
+        delete(spark, f"{path}/staged")
+    return read_days(spark, *_STORED[key], first, last)
+
+
+# What is kept by day: the wide table with shares, as its stream leaves it behind, brand sums, and first days of devices.
+STORED: dict[str, Callable[[ShopTables], DataFrame]] = {
+    "order-wide": lambda s: lines_split(s).select("order_detail_id", "order_id", "create_time", "final_detail_amount", "dt"),
+    "brand-stat": lambda s: brand_stat(s).withColumn("dt", F.to_date("stat_time")),
+    "first-seen": lambda s: device_logs(s).groupBy("mid").agg(F.min("dt").alias("dt")),
+}
 
 
-def stored_lines(shop: ShopTables) -> DataFrame:
-    """The wide table with shares, as its stream leaves it behind."""
-    return stored(shop, "order-wide", lambda s: lines_split(s).select(
-        "order_detail_id", "order_id", "create_time", "final_detail_amount", "dt"))
+def build_stored(spark: SparkSession, folder: str, name: str) -> None:
+    """Write a stored table if it is not there, for timing it by itself."""
+    stored(ShopTables(configure(spark), folder), name)
 
 
-def stored_stat(shop: ShopTables) -> DataFrame:
-    """Brand sums by day."""
-    return stored(shop, "brand-stat", lambda s: brand_stat(s).withColumn("dt", F.to_date("stat_time")))
+def sales(shop: ShopTables, first: str, last: str | None = None) -> DataFrame:
+    return stored(shop, "order-wide", first, last)
 
 
-def device_logs(shop: ShopTables) -> DataFrame:
+def device_logs(shop: ShopTables, days: Days = None) -> DataFrame:
     """All device rows, repeated ones included."""
-    return dau.device_rows(dau.with_day_hour(shop.startup()))
+    return dau.device_rows(dau.with_day_hour(shop.startup(days)))
 
 
 def devices(shop: ShopTables, days: Days = None) -> DataFrame:
@@ -116,7 +125,7 @@ def order_wide(shop: ShopTables) -> DataFrame:
 
 def order_wide_dedup(shop: ShopTables) -> DataFrame:
     lines = shop.order_detail()
-    return wide.dedup_wide(wide.join_wide(shop.order_info(), lines.unionByName(lines)))
+    return wide.join_once(shop.order_info(), lines.unionByName(lines))
 
 
 def order_wide_table(shop: ShopTables) -> DataFrame:
@@ -169,7 +178,7 @@ def user_labels(shop: ShopTables) -> DataFrame:
 
 
 def topn(shop: ShopTables) -> DataFrame:
-    return brand.brand_topn(stored_stat(shop), *RANGE, TOP_N)
+    return brand.brand_topn(stored(shop, "brand-stat", RANGE[0][:10], RANGE[1][:10]), *RANGE, TOP_N)
 
 
 BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
@@ -219,21 +228,22 @@ BATCH: dict[str, Callable[[ShopTables], DataFrame]] = {
     "brand_batch_sum": lambda s: plain(brand_stat(s)).withColumnRenamed("amount", "amount_c"),
     "brand_topn": topn,
     "brand_chart": lambda s: brand.brand_chart(topn(s)),
-    "order_amount_total": lambda s: reports.order_amount_total(stored_lines(s), DAY),
-    "order_amount_by_hour": lambda s: reports.order_amount_by_hour(stored_lines(s), DAY),
+    "order_amount_total": lambda s: reports.order_amount_total(sales(s, DAY), DAY),
+    "order_amount_by_hour": lambda s: reports.order_amount_by_hour(sales(s, DAY), DAY),
     "hour_map": lambda s: reports.hour_map(
-        reports.order_amount_by_hour(stored_lines(s), DAY), "order_amount"
+        reports.order_amount_by_hour(sales(s, DAY), DAY), "order_amount"
     ).select("dt", F.to_json("hours").alias("hours")),
     "dau_rows": devices,
     "dau_distinct_check": lambda s: reports.dau_distinct(device_logs(s)),
     "dau_total": lambda s: reports.dau_total(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "dau_by_hour": lambda s: reports.dau_by_hour(devices(s, (DAU_DAY, DAU_DAY)), DAU_DAY),
     "report_day_total": lambda s: reports.day_headline(
-        device_logs(s), stored_lines(s), DAU_DAY, sales_day=DAY),
+        device_logs(s, (DAU_DAY, DAU_DAY)), sales(s, DAY), DAU_DAY, sales_day=DAY,
+        first_seen=stored(s, "first-seen", DAU_DAY)),
     "report_hour_dau": lambda s: reports.hour_curve(
         "dau", devices(s, (DAU_DAY_BEFORE, DAU_DAY)), DAU_DAY),
     "report_hour_amount": lambda s: reports.hour_curve(
-        "order_amount", stored_lines(s), DAY),
+        "order_amount", sales(s, DAY_BEFORE, DAY), DAY),
 }
 
 

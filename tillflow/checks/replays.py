@@ -8,6 +8,7 @@ through several batches and several restarts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,16 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillflow import schemas
 from tillflow.checks.queries import as_of, cdc_images, lines_split, plain, products
-from tillflow.operators import details
-from tillflow.operators.parsing import json_column
+from tillflow.operators import details, wide
+from tillflow.operators.parsing import json_column, sorted_rows
 from tillflow.session import configure, scratch_dir
-from tillflow.sinks.folders import delete
+from tillflow.sinks.folders import delete, names
+from tillflow.sinks.latest import LatestTable
 from tillflow.sinks.outputs import to_messages, to_table
-from tillflow.sinks.tables import write_batch
+from tillflow.sinks.tables import pack_days, read_days, write_batch
 from tillflow.sources.files import file_stream
 from tillflow.sources.shop import ShopTables
-from tillflow.streaming import changes, devices, sales
-from tillflow.streaming.running import ONCE, start_files
+from tillflow.streaming import changes, devices, late, progress, sales
+from tillflow.streaming.running import ONCE, start_sorted
 
 
 class Arrivals:
@@ -34,6 +36,8 @@ class Arrivals:
         self.spark, self.schema, self.by, self.slices = df.sparkSession, df.schema, by, slices
         self.staged, self.incoming = f"{folder}/staged", f"{folder}/incoming"
         df.write.parquet(self.staged)
+        # So that the stream can be described before anything has arrived.
+        df.limit(0).write.parquet(self.incoming)
         self.bounds = None
 
     def _position(self):
@@ -67,20 +71,31 @@ class Arrivals:
             delete(self.spark, folder)
 
 
-def run_through(arrivals: list[Arrivals], start: Callable[[], StreamingQuery]) -> None:
-    """Let the slices arrive in turn, and run the query to the end of each."""
+def run_through(arrivals: list[Arrivals], *starts: Callable[[], StreamingQuery]) -> None:
+    """Let the slices arrive in turn, and run the queries, one after the other, to the end of each."""
     bounds = None
     for table in arrivals:
         bounds = table.cut(bounds)
     for number in range(arrivals[0].slices):
         for table in arrivals:
             table.arrive(number)
-        query = start()
-        query.awaitTermination()
+        for start in starts:
+            start().awaitTermination()
     for table in arrivals:
         table.discard()
 
 
+def forget_commit(spark: SparkSession, checkpoint: str) -> None:
+    """Take the mark of the newest batch away, as if the query had died before it: the next start does it again."""
+    done = [int(n) for n in names(spark, f"{checkpoint}/commits") if n.isdigit()]
+    delete(spark, f"{checkpoint}/commits/{max(done)}")
+
+
+def stored_table(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -117,7 +132,7 @@ def stream_dim_upsert(shop: ShopTables, work: str) -> DataFrame:
         json_column("id", "name", "area_code", "iso_code").alias("value"), F.col("seq").cast("bigint").alias("seq")
     )
     source = Arrivals(images, f"{work}/images", by="seq", slices=2)
-    table = changes.dimension_table(shop.spark, f"{work}/table", "province", compact_every=1)
+    table = changes.dimension_table(shop.spark, f"{work}/table", "province")
     run_through(
         [source], lambda: changes.start_load(source.stream(), "province", table, f"{work}/check", trigger=ONCE)
     )
@@ -140,37 +155,50 @@ def _stream_dimension(dimension: str):
         run_through(
             [source], lambda: changes.start_load(source.stream(), dimension, stored, f"{work}/check", trigger=ONCE)
         )
-        stored.compact()
-        return stored.read().drop("seq")
+        return stored.rewrite(f"{work}/rewritten").read().drop("seq")
 
     build.__name__ = f"stream_dim_{dimension}"
     return build
 
 
+def known_buyers(shop: ShopTables, work: str) -> Callable[[], DataFrame]:
+    """The stored buyers, as a stream that a state can begin with."""
+    table = stored_table(shop.user_state(), f"{work}/user_state")
+    return lambda: sales.known_buyers(file_stream(shop.spark, f"{work}/user_state", table.schema))
+
+
 def stream_orders_by_day(shop: ShopTables, work: str) -> DataFrame:
-    """Complete orders go to a table by day and to a topic; rows count that have reached both."""
-    source = Arrivals(shop.order_info(), f"{work}/orders", by="create_time")
-    state = sales.buyer_state(shop.spark, f"{work}/state")
-    sales.seed_buyers(state, shop.user_state())
-    outputs = [to_table(f"{work}/days", ("create_date",)), to_messages(f"{work}/topic", key="id")]
+    """Complete orders go to a table and to a topic, and the table is packed by day; rows count that have reached both."""
+    source, buyers = Arrivals(shop.order_info(), f"{work}/orders", by="create_time"), known_buyers(shop, work)
+    outputs = [to_table(f"{work}/batches", "create_date"), to_messages(f"{work}/topic", key="id")]
     run_through(
         [source],
         lambda: sales.start_orders(
-            source.stream(), state, shop.province, shop.users, outputs, f"{work}/check", ONCE, as_of()
+            source.stream(), buyers(), shop.province, shop.users, outputs, f"{work}/check", ONCE, as_of()
         ),
     )
+    batches = read(shop.spark, f"{work}/batches").drop("batch_id")
+    pack_days(batches, f"{work}/days", "create_date")
     sent = read(shop.spark, f"{work}/topic").select(F.get_json_object("value", "$.id").cast("bigint").alias("id"))
-    days = read(shop.spark, f"{work}/days").select("id", "user_id", "if_first_order", "create_date", "create_hour")
+    days = read_days(shop.spark, f"{work}/days", batches.schema).select("id", "user_id", "if_first_order", "create_date", "create_hour")
     return days.join(sent, "id")
 
 
+def product_tables(shop: ShopTables, work: str) -> tuple[LatestTable, ...]:
+    """The product dimensions as tables of latest rows."""
+    out = []
+    for name, rows in zip(("sku", "spu", "trademark", "category3"), products(shop), strict=True):
+        table = changes.dimension_table(shop.spark, f"{work}/{name}", name)
+        table.seed(rows.withColumn("seq", F.lit(0).cast("bigint")))
+        out.append(table)
+    return tuple(out)
+
+
 def stream_detail_enriched(shop: ShopTables, work: str) -> DataFrame:
     source = Arrivals(shop.order_detail(), f"{work}/lines", by="order_id")
+    tables = product_tables(shop, work)
     out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
-    run_through(
-        [source],
-        lambda: sales.start_details(source.stream(), lambda: products(shop), [out], f"{work}/check", ONCE),
-    )
+    run_through([source], lambda: sales.start_details(source.stream(), tables, [out], f"{work}/check", ONCE))
     return plain(
         read(shop.spark, f"{work}/out"), "id", "order_id", "sku_id", "sku_num", "price_c",
         "spu_id", "tm_id", "category3_id", "spu_name", "tm_name", "category3_name",
@@ -178,56 +206,89 @@ def stream_detail_enriched(shop: ShopTables, work: str) -> DataFrame:
 
 
 def stream_order_first_flag(shop: ShopTables, work: str) -> DataFrame:
-    source = Arrivals(shop.order_info(), f"{work}/orders", by="create_time")
-    state = sales.buyer_state(shop.spark, f"{work}/state", compact_every=2)
-    sales.seed_buyers(state, shop.user_state())
-    # Buyers are looked up in a keyed table, as the state is.
+    """The last batch of the first arrival is done twice, as after a failure."""
+    source, buyers = Arrivals(shop.order_info(), f"{work}/orders", by="create_time"), known_buyers(shop, work)
+    # Buyers are looked up in a table of latest rows.
     users = changes.dimension_table(shop.spark, f"{work}/users", "user")
     users.seed(shop.users().withColumn("seq", F.lit(0).cast("bigint")))
-    users.compact()
     out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
-    run_through(
-        [source],
-        lambda: sales.start_orders(
-            source.stream(), state, shop.province, users, [out], f"{work}/check", ONCE, as_of()
-        ),
-    )
+    starts = [0]
+
+    def start() -> StreamingQuery:
+        if starts[0] == 1:
+            forget_commit(shop.spark, f"{work}/check")
+        starts[0] += 1
+        return sales.start_orders(source.stream(), buyers(), shop.province, users, [out], f"{work}/check", ONCE, as_of())
+
+    run_through([source], start)
     return read(shop.spark, f"{work}/out").select(
         "id", "user_id", "if_first_order", "province_name", "user_age_group", "user_gender"
     )
 
 
+def stream_new_buyers(shop: ShopTables, work: str) -> DataFrame:
+    """User-state rows of the buyers who order for the first time, each written once."""
+    source, buyers = Arrivals(shop.order_info(), f"{work}/orders", by="create_time"), known_buyers(shop, work)
+    out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
+    run_through([source], lambda: sales.start_orders(
+        source.stream(), buyers(), shop.province, shop.users, [lambda df, batch_id: None], f"{work}/check", ONCE, as_of(), [out]))
+    return read(shop.spark, f"{work}/out").select("user_id", "if_consumed")
+
+
 def _joined_streams(shop: ShopTables, work: str) -> tuple[list[Arrivals], Callable[[], DataFrame]]:
+    headers, lines = _timed(shop)
+    sources = [
+        Arrivals(headers, f"{work}/orders", by="create_time"),
+        Arrivals(lines, f"{work}/lines", by="create_time"),
+    ]
+    return sources, lambda: sales.join_streams(sources[0].stream(), sources[1].stream())
+
+
+def _timed(shop: ShopTables) -> tuple[DataFrame, DataFrame]:
     """Orders, and lines that follow their order by as many seconds as their number."""
     headers = shop.order_info()
     line_times = headers.select(F.col("id").alias("order_id"), F.col("create_time").alias("order_time"))
     lines = shop.order_detail().join(line_times, "order_id").withColumn(
         "create_time", F.col("order_time") + F.make_dt_interval(secs=F.col("line_number"))
     ).drop("order_time", "line_number")
-    sources = [
-        Arrivals(headers, f"{work}/orders", by="create_time"),
-        Arrivals(lines, f"{work}/lines", by="create_time"),
-    ]
-    return sources, lambda: sales.join_streams(sources[0].stream(), sources[1].stream())
+    return headers, lines
+
+
+WIDE = ("order_detail_id", "order_id", "user_id", "sku_id", "sku_num", "line_c", "orig_c", "final_c", "dt", "create_time")
 
 
 def stream_order_wide(shop: ShopTables, work: str) -> DataFrame:
     sources, joined = _joined_streams(shop, work)
-    run_through(sources, lambda: start_files(joined(), f"{work}/out", f"{work}/check", ONCE))
-    return plain(
-        read(shop.spark, f"{work}/out"), "order_detail_id", "order_id", "user_id", "sku_id", "sku_num",
-        "line_c", "orig_c", "final_c", "dt", "create_time",
-    )
+    run_through(sources, lambda: sales.start_join(joined(), f"{work}/out", f"{work}/check", ONCE))
+    return plain(read(shop.spark, f"{work}/out"), *WIDE)
+
+
+def stream_order_wide_resent(shop: ShopTables, work: str) -> DataFrame:
+    """Every order and line is sent again when all have come, dated eight years on: each line counts once."""
+    again = lambda df: df.withColumn("arrival", F.lit(0)).unionByName(df.withColumns(
+        {"arrival": F.lit(1), "create_time": F.col("create_time") + F.expr("INTERVAL 8 YEARS")}))
+    headers, lines = _timed(shop)
+    sources = [Arrivals(again(df), f"{work}/{name}", by="arrival", slices=2) for df, name in ((headers, "orders"), (lines, "lines"))]
+    run_through(sources, lambda: sales.start_join(
+        sales.join_streams(sources[0].stream(), sources[1].stream()), f"{work}/out", f"{work}/check", ONCE))
+    return plain(read(shop.spark, f"{work}/out"), *WIDE)
 
 
 def stream_order_split(shop: ShopTables, work: str) -> DataFrame:
     # Which line of an order comes last depends on arrival, so orders are compared as a whole.
     sources, joined = _joined_streams(shop, work)
-    state = sales.split_state(shop.spark, f"{work}/state", compact_every=2)
+    schema = joined().schema
     out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
-    run_through(sources, lambda: sales.start_wide(joined(), state, [out], f"{work}/check", ONCE))
+    run_through(
+        sources,
+        lambda: sales.start_join(joined(), f"{work}/joined", f"{work}/check1", ONCE),
+        lambda: sales.start_split(file_stream(shop.spark, f"{work}/joined", schema), [out], f"{work}/check2", ONCE),
+    )
+    return _by_order(plain(read(shop.spark, f"{work}/out")))
+
+
+def _by_order(lines: DataFrame) -> DataFrame:
     # At most one line of an order may differ from its own rounded share.
-    lines = plain(read(shop.spark, f"{work}/out"))
     own = F.expr("CAST((2 * CAST(line_c AS DECIMAL(38, 0)) * final_c + orig_c) DIV (2 * orig_c) AS BIGINT)")
     return lines.groupBy("order_id").agg(
         F.count("*").alias("lines"), F.sum("line_c").alias("line_c"), F.sum("share_c").alias("share_c"),
@@ -235,7 +296,7 @@ def stream_order_split(shop: ShopTables, work: str) -> DataFrame:
     )
 
 
-def stream_order_wide_late_paid(shop: ShopTables, work: str) -> DataFrame:
+def _paid_later(shop: ShopTables, work: str) -> tuple[DataFrame, DataFrame, list[Arrivals]]:
     """Orders arrive unpaid, year by year; the paid images, with their old creation time, come a year later."""
     headers = shop.order_info()
     arrival = F.year("create_time") - 1992
@@ -243,36 +304,116 @@ def stream_order_wide_late_paid(shop: ShopTables, work: str) -> DataFrame:
     paid = headers.where("operate_time IS NOT NULL").withColumn("arrival", arrival + 1)
     line_times = headers.select(F.col("id").alias("order_id"), "create_time")
     lines = shop.order_detail().join(line_times, "order_id").withColumn("arrival", arrival).drop("line_number")
-    sources = [
-        Arrivals(unpaid.unionByName(paid), f"{work}/orders", by="arrival", slices=4),
-        Arrivals(lines, f"{work}/lines", by="arrival", slices=4),
-    ]
+    images = unpaid.unionByName(paid)
+    return images, lines, [
+        Arrivals(images, f"{work}/orders", by="arrival", slices=4), Arrivals(lines, f"{work}/lines", by="arrival", slices=4)]
+
+
+def stream_order_wide_late_paid(shop: ShopTables, work: str) -> DataFrame:
+    _, _, sources = _paid_later(shop, work)
     joined = lambda: sales.join_streams(sources[0].stream(), sources[1].stream(), watermark="3000 days")
-    run_through(sources, lambda: start_files(joined(), f"{work}/out", f"{work}/check", ONCE))
-    return plain(
-        read(shop.spark, f"{work}/out"), "order_detail_id", "order_id", "user_id", "sku_id", "sku_num",
-        "line_c", "orig_c", "final_c", "dt", "create_time",
+    run_through(sources, lambda: sales.start_join(joined(), f"{work}/out", f"{work}/check", ONCE))
+    return plain(read(shop.spark, f"{work}/out"), *WIDE)
+
+
+def stream_order_wide_late_repaired(shop: ShopTables, work: str) -> DataFrame:
+    """With the default lateness the stream leaves rows out; the repair finds them in what is stored."""
+    images, lines, sources = _paid_later(shop, work)
+    joined = lambda: sales.join_streams(sources[0].stream(), sources[1].stream())
+    schema = joined().schema
+    run_through(sources, lambda: sales.start_join(joined(), f"{work}/out", f"{work}/check", ONCE))
+    streamed = shop.spark.read.schema(schema).parquet(f"{work}/out")
+    return plain(streamed.unionByName(late.missed(images, lines, streamed)), *WIDE)
+
+
+def stream_order_split_late_repaired(shop: ShopTables, work: str) -> DataFrame:
+    """Shares of the streamed lines and the repaired ones together, by order."""
+    images, lines, sources = _paid_later(shop, work)
+    joined = lambda: sales.join_streams(sources[0].stream(), sources[1].stream())
+    schema = joined().schema
+    out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id)
+    out(wide.finish_share(wide.with_raw_share(shop.spark.createDataFrame([], schema))).drop("operate_time"), -1)
+    run_through(
+        sources,
+        lambda: sales.start_join(joined(), f"{work}/joined", f"{work}/check1", ONCE),
+        lambda: sales.start_split(file_stream(shop.spark, f"{work}/joined", schema), [out], f"{work}/check2", ONCE),
     )
+    stored = read(shop.spark, f"{work}/out").drop("batch_id")
+    return _by_order(plain(stored.unionByName(late.repair(late.missed(images, lines, stored), stored))))
 
 
-def stream_brand_batch_sum(shop: ShopTables, work: str) -> DataFrame:
-    lines = details.enrich(lines_split(shop), *products(shop)).select(
+def _brand_lines(shop: ShopTables) -> DataFrame:
+    return details.enrich(lines_split(shop), *products(shop)).select(
         "order_detail_id", "create_time", "tm_id", "tm_name", "final_detail_amount"
     )
-    source = Arrivals(lines, f"{work}/lines", by="create_time")
-    run_through([source], lambda: sales.start_brand(source.stream(), f"{work}/stat", f"{work}/check", ONCE))
+
+
+def stream_brand_batch_sum(shop: ShopTables, work: str) -> DataFrame:
+    """The newest batch is done again at every restart, and counts once."""
+    source = Arrivals(_brand_lines(shop), f"{work}/lines", by="create_time")
+    starts = [0]
+
+    def start() -> StreamingQuery:
+        if starts[0]:
+            forget_commit(shop.spark, f"{work}/check")
+        starts[0] += 1
+        return sales.start_brand(source.stream(), f"{work}/stat", f"{work}/check", ONCE)
+
+    run_through([source], start)
     return read(shop.spark, f"{work}/stat").groupBy("trademark_id", "trademark_name").agg(
         F.sum("amount").alias("amount_c")
     )
 
 
+def stream_hour_sums(shop: ShopTables, work: str) -> DataFrame:
+    lines = lines_split(shop).select("order_detail_id", "create_time", "final_detail_amount")
+    source, table = Arrivals(lines, f"{work}/lines", by="create_time"), sales.hour_table(shop.spark, f"{work}/hours")
+    run_through([source], lambda: sales.start_hours(source.stream(), table, f"{work}/check", ONCE))
+    return table.read().select("dt", "hr", F.col("order_amount").cast("bigint").alias("order_amount"))
+
+
+def stream_first_seen(shop: ShopTables, work: str) -> DataFrame:
+    logs = shop.startup().select(json_column("common", "ts").alias("value"), "ts")
+    source = Arrivals(logs, f"{work}/logs", by="ts")
+    out = lambda df, batch_id: write_batch(df, f"{work}/out", batch_id, ("dt",))
+    run_through([source], lambda: devices.start_first_seen(source.stream(), [out], f"{work}/check", ONCE))
+    return read(shop.spark, f"{work}/out").select("mid", "dt")
+
+
+def stream_dau_counts(shop: ShopTables, work: str) -> DataFrame:
+    """Rows before and after de-duplication, added up over the log of all batches."""
+    logs = shop.startup().select(json_column("common", "ts").alias("value"), "ts")
+    source = Arrivals(logs, f"{work}/logs", by="ts")
+    name = f"dau-{uuid.uuid4().hex[:8]}"
+    log = progress.BatchLog(shop.spark, f"{work}/log", (name,)).attach()
+    try:
+        run_through([source], lambda: devices.start(source.stream(), f"{work}/out", f"{work}/check", ONCE, name=name))
+    finally:
+        log.detach()
+    rows = lambda metric: F.sum(F.coalesce(F.col(f"metrics.{metric}.rows"), F.lit(0))).alias(metric)
+    return progress.batches(shop.spark, f"{work}/log").agg(rows("dau_before"), rows("dau_after"))
+
+
+def stream_rejected(shop: ShopTables, work: str) -> DataFrame:
+    """Logs of which some cannot be used: what was accepted, and the text and reason of what was not."""
+    texts = shop.startup_mixed()
+    source = Arrivals(texts, f"{work}/texts", by="event_id")
+    schema = "event_id bigint, common struct<mid:string>, ts bigint"
+    good, bad = (lambda df, batch_id, name=name: write_batch(df, f"{work}/{name}", batch_id) for name in ("good", "bad"))
+    run_through([source], lambda: start_sorted(
+        sorted_rows(source.stream(), schema, key="ts", also="common.mid"), [good], [bad], f"{work}/check", ONCE))
+    accepted = read(shop.spark, f"{work}/good").select(F.col("event_id").cast("string").alias("value"), F.lit("accepted").alias("reason"))
+    return accepted.unionByName(read(shop.spark, f"{work}/bad").select("value", "reason"))
+
+
 STREAMS: dict[str, Callable[[ShopTables, str], DataFrame]] = {
     f.__name__: f
     for f in (
         stream_dau_rows, stream_cdc_explode, stream_cdc_route, stream_dim_upsert, stream_detail_enriched,
         *map(_stream_dimension, ("user", "sku", "spu", "trademark", "category3")), stream_orders_by_day,
-        stream_order_first_flag, stream_order_wide, stream_order_wide_late_paid, stream_order_split,
-        stream_brand_batch_sum,
+        stream_order_first_flag, stream_new_buyers, stream_order_wide, stream_order_wide_resent, stream_order_wide_late_paid,
+        stream_order_wide_late_repaired, stream_order_split, stream_order_split_late_repaired, stream_brand_batch_sum,
+        stream_hour_sums, stream_first_seen, stream_dau_counts, stream_rejected,
     )
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def parse_json(
-    df: DataFrame, schema: str | T.StructType, value: str = "value", into: str = "j"
+    df: DataFrame, schema: str | T.StructType, value: str = "value", into: str = "j", broken: str | None = None
 ) -> DataFrame:
     """Add struct column ``into`` parsed from JSON text; bad text gives null fields.
 
@@ -14,7 +14,8 @@ def parse_json(
     above the parsing; otherwise Spark would parse every text once for the
     filter and once more for the columns.
     """
-    parsed = F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE"})
+    options = {"mode": "PERMISSIVE", **({"columnNameOfCorruptRecord": broken} if broken else {})}
+    parsed = F.from_json(F.col(value).cast("string"), schema, options)
     return df.select("*", F.explode(F.array(parsed)).alias(into))
 
 
@@ -65,12 +66,23 @@ def typed_rows(
     return parsed.where(usable).select(*keep, *columns)
 
 
-def rejected_rows(
-    df: DataFrame, schema: str, key: str, value: str = "value", also: str | None = None
-) -> DataFrame:
-    """The raw text that ``typed_rows`` leaves out, for a stream or table of its own."""
-    parsed, _, usable = _parse_typed(df, schema, key, value, also)
-    return parsed.where(~usable).drop("j")
+BROKEN = "_broken"
+
+
+def sorted_rows(df: DataFrame, schema: str, key: str, value: str = "value", also: str | None = None) -> DataFrame:
+    """Every text with what it is read as: ``value, row, reason``, from one parse.
+
+    ``row`` is null and ``reason`` says why where ``typed_rows`` would leave the text out.
+    """
+    fields = T.StructType.fromDDL(schema)
+    # Text that is no JSON object is reported by the parser in a field of its own.
+    parsed = parse_json(df.select(F.col(value).cast("string").alias("value")), T.StructType([*_as_text(fields), T.StructField(BROKEN, T.StringType())]), broken=BROKEN)
+    reason = F.when(F.col("j").isNull() | F.col(f"j.{BROKEN}").isNotNull(), F.lit("no JSON object"))
+    reason = reason.when(F.col(f"j.{key}").try_cast(fields[key].dataType).isNull(), F.lit(f"no {key}"))
+    if also:
+        reason = reason.when(F.col(f"j.{also}").isNull(), F.lit(f"no {also}"))
+    marked = parsed.select("value", reason.alias("reason"), F.struct(*_typed(fields)).alias("row"))
+    return marked.withColumn("row", F.when(F.col("reason").isNull(), F.col("row")))
 
 
 def json_column(*columns: str | Column) -> Column:

@@ -42,6 +42,19 @@ def join_wide(orders: DataFrame, details: DataFrame) -> DataFrame:
     return order_side(orders).join(line_side(details), "order_id")
 
 
+def join_once(orders: DataFrame, details: DataFrame) -> DataFrame:
+    """One row per line: the line once, however often it was sent, with the earliest image of its order.
+
+    Both sides are reduced before they are joined, while they are narrow; of each key one
+    row per map task goes through an exchange.
+    """
+    headers = first_per_key(
+        order_side(orders), ["order_id"], ["operate_time", "create_time", "final_total_amount", "original_total_amount"])
+    lines = line_side(details)
+    lines = first_per_key(lines, ["order_detail_id"], [c for c in lines.columns if c != "order_detail_id"])
+    return headers.join(lines, "order_id")
+
+
 def dedup_wide(wide: DataFrame) -> DataFrame:
     """One row per line: the one with the earliest order image."""
     # The amounts settle ties, so that every evaluation picks the same image.
@@ -125,15 +138,16 @@ def wide_table(
 ) -> DataFrame:
     """Join, de-duplicate and apportion.
 
-    De-duplication leaves the rows partitioned by line id, which is also what
-    the left-over amounts are joined on: the wide rows are exchanged twice in all.
+    Orders and lines are de-duplicated first, so the wide rows are exchanged once, by line
+    id, on which the left-over amounts are joined.
 
     ``plain_orders`` are the same orders before enrichment.  Where ``orders`` is
     not a stored table, giving them spares the sums of the split all the joins
     of the enrichment.
     """
-    rows = dedup_wide(join_wide(orders, details))
-    if residual != "last" or plain_orders is None:
+    rows = join_once(orders, details)
+    if residual != "last":
         return apportion(rows, residual).drop("operate_time")
-    left_over = leftovers(with_raw_share(dedup_wide(join_wide(plain_orders, details))))
+    sums = rows if plain_orders is None else join_once(plain_orders, details)
+    left_over = leftovers(with_raw_share(sums))
     return finish_share(add_leftover(with_raw_share(rows), left_over)).drop("operate_time")

@@ -54,15 +54,21 @@ def hour_map(by_hour: DataFrame, value: str) -> DataFrame:
     )
 
 
-def device_totals(dau: DataFrame, day: str) -> DataFrame:
+def device_totals(dau: DataFrame, day: str, first_seen: DataFrame | None = None) -> DataFrame:
     """One row (dau, new_mid): devices active on the day, and those never seen before it.
 
-    Repeated rows of a device do no harm, so the logs themselves will do as well
+    With an index of first days (``mid, dt``, as ``devices.start_first_seen`` keeps it) one day of both
+    tables is read.  Without it the history tells: repeated rows of a device do no harm, so the logs themselves will do as well
     as the device table.  Of the days before only the devices of the day are looked up:
     history is cut to two columns and to these devices before anything is grouped.
     """
     date = F.lit(parse_day(day))
     today = dau.where(F.col("dt") == date).select("mid").distinct()
+    if first_seen is not None:
+        new = first_seen.where(F.col("dt") == date).agg(F.countDistinct("mid").alias("new_mid"))
+        both = today.agg(F.count("*").alias("dau")).withColumn("new_mid", F.lit(0).cast("bigint")).unionByName(
+            new.withColumn("dau", F.lit(0).cast("bigint")))
+        return both.agg(F.sum("dau").alias("dau"), F.sum("new_mid").alias("new_mid"))
     before = dau.where(F.col("dt") < date).select("mid").join(today, "mid", "left_semi").distinct()
     return today.join(before.withColumn("known", F.lit(True)), "mid", "left").agg(
         F.count("*").alias("dau"),
@@ -70,14 +76,16 @@ def device_totals(dau: DataFrame, day: str) -> DataFrame:
     )
 
 
-def day_headline(dau: DataFrame, wide: DataFrame, day: str, sales_day: str | None = None) -> DataFrame:
+def day_headline(
+    dau: DataFrame, wide: DataFrame, day: str, sales_day: str | None = None, first_seen: DataFrame | None = None
+) -> DataFrame:
     """Three rows (id, name, value): dau, new_mid and order_amount.
 
     ``sales_day`` is for data sets whose logs and orders cover different periods.
     """
     amount = order_amount_total(wide, sales_day or day)
     kind = amount.schema["order_amount"].dataType
-    devices = device_totals(dau, day).select(
+    devices = device_totals(dau, day, first_seen).select(
         F.explode(F.array(
             F.struct(F.lit("dau").alias("id"), F.lit(CAPTION_DAU).alias("name"),
                      F.col("dau").cast(kind).alias("value")),

@@ -1,4 +1,4 @@
-"""Listing and deleting folders on whatever file system a path names."""
+"""Looking at and deleting folders on whatever file system a path names."""
 
 from __future__ import annotations
 
@@ -10,23 +10,21 @@ def _open(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-# Written last into a complete folder; Spark's own marker can be switched off.
-COMPLETE = "_COMPLETE"
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _open(spark, path)
+    return fs.exists(target)
 
 
-def mark(spark: SparkSession, path: str) -> None:
-    """Say that a folder is complete; overwriting the folder takes the mark away first."""
-    fs, target = _open(spark, f"{path}/{COMPLETE}")
-    fs.create(target, True).close()
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; nothing for a folder that is not there."""
+    fs, target = _open(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
-def numbered(spark: SparkSession, path: str, field: str) -> list[int]:
-    """Numbers n of the completely written folders ``path/field=n``."""
-    fs, pattern = _open(spark, f"{path}/{field}=*/{COMPLETE}")
-    return sorted(
-        int(status.getPath().getParent().getName().split("=")[1])
-        for status in fs.globStatus(pattern) or []
-    )
+def versions(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of what lies in a folder: another value once a table in it has been written anew."""
+    fs, target = _open(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target)))
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,8 +1,19 @@
-"""Parquet tables: by day, by batch, and by route."""
+"""Parquet tables: by day, in packs of days, by batch, and by route."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DateType, StructType
+
+from tillflow.functions import parse_day
+from tillflow.sinks.folders import names
+
+# Column and folder of a pack: its first day.
+PACK = "pack"
+# Days with fewer rows share a pack.
+PACK_ROWS = 100_000
 
 
 def write_days(df: DataFrame, path: str, day: str = "dt") -> None:
@@ -17,6 +28,43 @@ def write_days(df: DataFrame, path: str, day: str = "dt") -> None:
     )
 
 
+def pack_days(df: DataFrame, path: str, day: str = "dt", rows: int = PACK_ROWS) -> None:
+    """Write a stored table anew in packs of consecutive days.
+
+    Days are counted, and a pack is closed when it holds ``rows`` rows: quiet days share a
+    file, a busy day is a pack of its own, in as many files as it needs.  Rows are
+    sorted by day, so that a reader skips within a pack too.  ``df`` is read twice and should be
+    a stored table.
+    """
+    # One row per day from here on.
+    counts = df.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_pack", F.floor(F.coalesce(before, F.lit(0)) / F.lit(rows)))
+    packs = counts.select(day, F.min(day).over(Window.partitionBy("_pack")).alias(PACK))
+    (
+        df.join(packs, day, "left").hint("rebalance", PACK).sortWithinPartitions(PACK, day)
+        .write.mode("overwrite").partitionBy(PACK).parquet(path)
+    )
+
+
+def read_days(
+    spark: SparkSession, path: str, schema: StructType, first: str | dt.date | None = None, last: str | dt.date | None = None,
+    day: str = "dt",
+) -> DataFrame:
+    """Days ``first``..``last`` of a packed table, both included; all days by default.
+
+    Only the packs that can hold them are read, and of these only the parts.
+    """
+    table = spark.read.schema(StructType([*schema.fields]).add(PACK, DateType())).parquet(path)
+    if first is None:
+        return table.drop(PACK)
+    start = parse_day(first)
+    stop = start if last is None else parse_day(last)
+    starts = sorted(parse_day(n.split("=")[1]) for n in names(spark, path) if n.startswith(f"{PACK}=") and n[len(PACK) + 1].isdigit())
+    low = max((s for s in starts if s <= start), default=start)
+    return table.where(F.col(PACK).between(F.lit(low), F.lit(stop)) & F.col(day).between(F.lit(start), F.lit(stop))).drop(PACK)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
     """Publish one micro-batch; a replay of the batch overwrites its own folders.
 
@@ -30,8 +78,3 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "batch_id").parquet(path)
     )
-
-
-def write_routed(df: DataFrame, path: str, batch_id: int) -> None:
-    """(topic, value) rows, one folder per topic."""
-    write_batch(df, path, batch_id, ("topic",))

@@ -59,6 +59,15 @@ class ShopTables:
         """The same logs as JSON text in ``value``."""
         return self.startup().select(json_column("event_id", "common", "ts").alias("value"))
 
+    def startup_mixed(self) -> DataFrame:
+        """Logs of which some are broken, lack their time or their device, or have a time that is none."""
+        ts, mid, last = "unix_millis(CAST(ts AS TIMESTAMP))", "concat('mid_', user_id)", "concat(',\"event_id\":', event_id, '}')"
+        device = f"concat('{{\"common\":{{\"mid\":\"', {mid}, '\"}}')"
+        return self.raw("events").selectExpr("event_id", f"""
+            CASE event_id % 7 WHEN 0 THEN concat('broken ', event_id) WHEN 1 THEN concat({device}, {last})
+            WHEN 2 THEN concat('{{\"ts\":', {ts}, {last}) WHEN 3 THEN concat({device}, ',\"ts\":\"late\"', {last})
+            ELSE concat({device}, ',\"ts\":', {ts}, {last}) END AS value""")
+
     # -- dimensions ---------------------------------------------------------
     def province(self) -> DataFrame:
         return self.raw("nation").selectExpr(

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tillflow import schemas
 from tillflow.operators import cdc
 from tillflow.operators.dims import dimension_rows
-from tillflow.operators.ranking import latest_per_key
 from tillflow.sinks import kafka
-from tillflow.sinks.keyed import BATCH, KeyedTable
+from tillflow.sinks.latest import LatestTable
 from tillflow.streaming.running import TABLE_TRIGGER, Trigger, start_batches, start_files
 
 FORMS = {"array": cdc.explode_images, "object": cdc.route_image}
@@ -37,31 +34,19 @@ def start_split_topics(
     return kafka.append_stream(split(raw, form), servers, checkpoint).trigger(**trigger).start()
 
 
-def dimension_table(
-    spark: SparkSession, path: str, dimension: str, seq: str = "seq", compact_every: int | None = None
-) -> KeyedTable:
+def dimension_table(spark: SparkSession, path: str, dimension: str, seq: str = "seq") -> LatestTable:
     """A dimension of which the latest row per key counts: by batch, then by ``seq``."""
     ddl, key = schemas.DIMENSIONS[dimension]
-    return KeyedTable(
-        spark, path, f"{ddl}, {seq} bigint",
-        fold=lambda rows: latest_per_key(rows, [key], [BATCH, seq]),
-        compact_every=compact_every,
-    )
+    return LatestTable(spark, path, f"{ddl}, {seq} bigint", (key,), (seq,))
 
 
-def load_batch(table: KeyedTable, dimension: str, seq: Sequence[str] | str = "seq"):
+def load_batch(table: LatestTable, dimension: str, seq: str = "seq"):
     """Per-batch step: parse row images and record the latest one of each key."""
-    _, key = schemas.DIMENSIONS[dimension]
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        rows = dimension_rows(batch, dimension, keep=(seq,))
-        table.write(latest_per_key(rows.withColumn(seq, F.col(seq).cast("bigint")), [key], [seq]), batch_id)
-
-    return each
+    return lambda batch, batch_id: table.write(dimension_rows(batch, dimension, keep=(seq,)), batch_id)
 
 
 def start_load(
-    raw: DataFrame, dimension: str, table: KeyedTable, checkpoint: str,
+    raw: DataFrame, dimension: str, table: LatestTable, checkpoint: str,
     seq: str = "seq", trigger: Trigger = TABLE_TRIGGER,
 ) -> StreamingQuery:
     """Row images (``value``, ``seq``) into a dimension table.

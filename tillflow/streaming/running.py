@@ -6,7 +6,7 @@ import contextlib
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillflow.session import state_partitions
@@ -24,7 +24,7 @@ ONCE: Trigger = {"availableNow": True}
 
 def start_batches(
     stream: DataFrame, each: Output, checkpoint: str, trigger: Trigger = TABLE_TRIGGER, name: str | None = None,
-    partitions: int | None = None,
+    partitions: int | None = None, mode: str = "append",
 ) -> StreamingQuery:
     """Run ``each(batch, batch_id)`` for every micro-batch.
 
@@ -33,7 +33,7 @@ def start_batches(
     batch id.  ``partitions`` is the number of state partitions at the first start
     (by default the session's shuffle partitions); it stays for good.
     """
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger)
     with state_partitions(stream.sparkSession, partitions):
         return (writer.queryName(name) if name else writer).start()
 
@@ -54,13 +54,43 @@ def start_files(
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and were left out, over the query's recent batches."""
+    """Rows that came after the watermark and were left out, over the query's recent batches.
+
+    ``progress.BatchLog`` keeps the counts of all batches.
+    """
     return sum(
         int(state.numRowsDroppedByWatermark)
         for progress in query.recentProgress for state in progress.stateOperators
     )
 
 
+# When a row came in: the time of its micro-batch, which a replay of the batch gets again.
+ARRIVED = "_arrived"
+
+
+def with_arrival(stream: DataFrame) -> DataFrame:
+    return stream.withColumn(ARRIVED, F.current_timestamp())
+
+
+def beside(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of a stream, and what they changed in the state of an aggregation over the same stream, as one stream.
+
+    The columns are ``row`` and ``state``, one of them null.  Both read the same source in the
+    same steps, so a batch (in update mode) has a batch's rows and the new state of their keys.
+    """
+    both = (("row", rows), ("state", state))
+    sides = []
+    for name, df in both:
+        struct = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        sides.append(df.select(*((struct if other == name else F.lit(None).cast(o.schema)).alias(other) for other, o in both)))
+    return sides[0].unionByName(sides[1])
+
+
+def row_side(batch: DataFrame, name: str) -> DataFrame:
+    """One side of a batch of ``beside``."""
+    return batch.where(F.col(name).isNotNull()).select(f"{name}.*")
+
+
 def salt_count(stream: DataFrame, salt_buckets: int | None) -> int:
     """Parts a hot key of a stateful operator is split into.
 
@@ -72,6 +102,11 @@ def salt_count(stream: DataFrame, salt_buckets: int | None) -> int:
     return max(1, -(-int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 6))
 
 
+def landing_of(checkpoint: str) -> str:
+    """Where the batches of a query are landed: beside its checkpoint."""
+    return f"{checkpoint.rstrip('/')}-landing"
+
+
 @contextlib.contextmanager
 def landed(batch: DataFrame, spark: SparkSession, folder: str, batch_id: int):
     """The rows of a batch as a Parquet table, for steps that need them several times.
@@ -106,3 +141,22 @@ def fan_out(df: DataFrame, batch_id: int, outputs: Sequence[Output]) -> None:
     with kept(df) as rows:
         for output in outputs:
             output(rows, batch_id)
+
+
+def sorted_batch(spark: SparkSession, landing: str, outputs: Sequence[Output], dead_letters: Sequence[Output]) -> Output:
+    """Per-batch step for ``parsing.sorted_rows``: typed rows one way, rejected texts with the reason another."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        with landed(batch, spark, landing, batch_id) as arrived:
+            fan_out(arrived.where("reason IS NULL").select("row.*"), batch_id, outputs)
+            fan_out(arrived.where("reason IS NOT NULL").select("value", "reason"), batch_id, dead_letters)
+
+    return each
+
+
+def start_sorted(
+    rows: DataFrame, outputs: Sequence[Output], dead_letters: Sequence[Output], checkpoint: str,
+    trigger: Trigger = TABLE_TRIGGER, name: str | None = None,
+) -> StreamingQuery:
+    """A stream of ``parsing.sorted_rows``: texts are parsed once, and none is lost."""
+    return start_batches(rows, sorted_batch(rows.sparkSession, landing_of(checkpoint), outputs, dead_letters), checkpoint, trigger, name)

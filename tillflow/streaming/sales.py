@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,10 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tillflow import schemas
 from tillflow.operators import brand, details, orders, wide
 from tillflow.operators.parsing import typed_rows
-from tillflow.operators.ranking import first_per_key
-from tillflow.sinks.keyed import BATCH, KeyedTable
+from tillflow.sinks.latest import LatestTable
 from tillflow.sinks.tables import write_batch
-from tillflow.streaming.running import TABLE_TRIGGER, Output, Trigger, fan_out, kept, landed, salt_count, start_batches
+from tillflow.streaming.running import (
+    ARRIVED, TABLE_TRIGGER, Output, Trigger, beside, fan_out, landed, landing_of, row_side, salt_count, start_batches, start_files,
+    with_arrival,
+)
 
 # -- topics -------------------------------------------------------------------
 
@@ -37,100 +38,125 @@ def parse(raw: DataFrame, entity: str) -> DataFrame:
 # -- order headers ------------------------------------------------------------
 
 
-def buyer_state(spark: SparkSession, path: str, compact_every: int | None = None) -> KeyedTable:
-    """Each buyer's first order id; null for buyers who had ordered before the stream began."""
-    return KeyedTable(
-        spark, path, "user_id bigint, first_order_id bigint",
-        fold=lambda rows: first_per_key(rows, ["user_id"], [BATCH, "first_order_id"]),
-        compact_every=compact_every,
-    )
-
+def first_orders(arrived: DataFrame, known_buyers: DataFrame | None = None) -> DataFrame:
+    """Each buyer's first order as running state: ``user_id, first_order_id, since, last``.
 
-def seed_buyers(state: KeyedTable, user_state: DataFrame) -> None:
-    """Mark the buyers of an existing user-state table as consumed."""
-    state.seed(
-        user_state.where(F.col("if_consumed") == orders.CONSUMED)
-        .select("user_id", F.lit(None).cast("bigint").alias("first_order_id"))
+    The state of the aggregation is one row per buyer for all time, in Spark's store on
+    disk, reduced in every map task before the exchange.  It begins with ``known_buyers``, a
+    stream over the stored table (``user_id``) of those who had ordered before; they have no
+    first order here.  The first order is the earliest one of the batch in which a buyer first
+    came (``since``), so an order sent again keeps its flag, and an earlier order that comes
+    later does not take it back.  ``last`` is the latest batch with an order of the buyer.
+    """
+    rows = arrived.select("user_id", ARRIVED, "create_time", F.col("id").alias("first_order_id"))
+    if known_buyers is not None:
+        none = {"create_time": rows.schema["create_time"].dataType, "first_order_id": rows.schema["first_order_id"].dataType}
+        rows = rows.unionByName(known_buyers.select(
+            F.col("user_id").cast(rows.schema["user_id"].dataType).alias("user_id"), F.timestamp_seconds(F.lit(0)).alias(ARRIVED),
+            *(F.lit(None).cast(kind).alias(name) for name, kind in none.items())))
+    return (
+        rows.groupBy("user_id").agg(
+            F.min(F.struct(ARRIVED, "create_time", "first_order_id")).alias("first"), F.max(ARRIVED).alias("last"))
+        .where(F.col("first.first_order_id").isNotNull())
+        .select("user_id", "first.first_order_id", F.col(f"first.{ARRIVED}").alias("since"), "last")
     )
 
 
-def batch_firsts(batch: DataFrame, state: KeyedTable, batch_id: int) -> tuple[DataFrame, DataFrame]:
-    """(first orders of the batch's buyers, those among them that are new) of a micro-batch.
-
-    The state holds the id of the first order and not just a mark, so that an
-    order sent again, or changed later, keeps its "1".
-    """
-    earliest = orders.earliest_orders(batch)
-    known = state.rows_before(batch_id, keys=earliest.select("user_id"))
-    new = earliest.join(known.select("user_id"), "user_id", "left_anti")
-    return new.unionByName(known.where(F.col("first_order_id").isNotNull())), new
+def known_buyers(user_state: DataFrame) -> DataFrame:
+    """The buyers of a user-state table (or a stream over one) who have ordered before."""
+    return user_state.where(F.col("if_consumed") == orders.CONSUMED).select("user_id")
 
 
-def dimension_rows_of(source: KeyedTable | Callable[[], DataFrame], batch: DataFrame, column: str) -> DataFrame:
+def dimension_rows_of(source: LatestTable | Callable[[], DataFrame], keys: Column, batch: DataFrame) -> DataFrame:
     """The rows of a dimension that a batch needs.
 
-    A keyed table is looked up by the batch's keys before anything is folded; any other
+    A table of latest rows is looked up by the batch's keys before anything is folded; any other
     source is read as it is.
     """
-    if isinstance(source, KeyedTable):
-        return source.rows_before(keys=batch.select(F.col(column).alias(source.key)).distinct())
+    if isinstance(source, LatestTable):
+        return source.read(batch.select(keys.alias(source.keys[0])))
     return source()
 
 
 def order_batch(
-    state: KeyedTable,
-    read_province: KeyedTable | Callable[[], DataFrame],
-    read_users: KeyedTable | Callable[[], DataFrame],
+    spark: SparkSession,
+    landing: str,
+    read_province: LatestTable | Callable[[], DataFrame],
+    read_users: LatestTable | Callable[[], DataFrame],
     outputs: Sequence[Output],
+    buyer_outputs: Sequence[Output] = (),
     as_of: Column | None = None,
 ) -> Output:
-    """Per-batch step: complete the order headers, hand them on, record new buyers.
+    """Per-batch step: complete the order headers, hand them on, and the buyers that are new.
 
-    Dimensions are read again for every batch, so changes to them show up; keyed
-    tables are looked up by the batch's keys.
+    Dimensions are read again for every batch, so changes to them show up; tables of latest
+    rows are looked up by the batch's keys.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        with landed(batch, state.spark, f"{state.path}/landing", batch_id) as arrived:
-            if arrived.isEmpty():
+        with landed(batch, spark, landing, batch_id) as arrived:
+            rows, firsts = row_side(arrived, "row").drop(ARRIVED), row_side(arrived, "state")
+            if rows.isEmpty():
                 return
-            firsts, new = batch_firsts(arrived, state, batch_id)
             headers = orders.with_province(
-                orders.with_day_hour(arrived), dimension_rows_of(read_province, arrived, "province_id"))
-            headers = orders.with_user(headers, dimension_rows_of(read_users, arrived, "user_id"), as_of)
-            with kept(new) as new:
-                fan_out(orders.flag_orders(headers, firsts), batch_id, outputs)
-                state.write(new, batch_id)
+                orders.with_day_hour(rows), dimension_rows_of(read_province, F.col("province_id"), rows))
+            headers = orders.with_user(headers, dimension_rows_of(read_users, F.col("user_id"), rows), as_of)
+            fan_out(orders.flag_orders(headers, firsts), batch_id, outputs)
+            if buyer_outputs:
+                new = firsts.where(F.col("since") == F.col("last"))
+                fan_out(new.select("user_id", F.lit(orders.CONSUMED).alias("if_consumed")), batch_id, buyer_outputs)
 
     return each
 
 
 def start_orders(
-    stream: DataFrame, state: KeyedTable, read_province, read_users, outputs: Sequence[Output],
-    checkpoint: str, trigger: Trigger = TABLE_TRIGGER, as_of: Column | None = None,
+    stream: DataFrame, buyers: DataFrame | None, read_province, read_users, outputs: Sequence[Output],
+    checkpoint: str, trigger: Trigger = TABLE_TRIGGER, as_of: Column | None = None, buyer_outputs: Sequence[Output] = (),
 ) -> StreamingQuery:
-    """Typed orders to complete order headers."""
-    return start_batches(stream, order_batch(state, read_province, read_users, outputs, as_of), checkpoint, trigger)
+    """Typed orders to complete order headers; ``buyers`` as in ``first_orders``."""
+    arrived = with_arrival(stream)
+    each = order_batch(
+        stream.sparkSession, landing_of(checkpoint), read_province, read_users, outputs, buyer_outputs, as_of)
+    return start_batches(beside(arrived, first_orders(arrived, buyers)), each, checkpoint, trigger, mode="update")
 
 
 # -- order lines --------------------------------------------------------------
 
 
-def detail_batch(read_products: Callable[[], tuple[DataFrame, ...]], outputs: Sequence[Output]) -> Output:
-    """Per-batch step: complete the order lines; dimensions are read again for every batch."""
+Products = tuple[LatestTable, LatestTable, LatestTable, LatestTable]
+
+
+def products_of(tables: Products, lines: DataFrame) -> tuple[DataFrame, ...]:
+    """Products, product groups, brands and categories that some lines need, each looked up by key."""
+    sku, *rest = tables
+    found = sku.read(lines.select("sku_id"))
+    return found, *(table.read(found.select(table.keys[0])) for table in rest)
+
+
+def detail_batch(
+    spark: SparkSession, landing: str, read_products: Products | Callable[[], tuple[DataFrame, ...]], outputs: Sequence[Output]
+) -> Output:
+    """Per-batch step: complete the order lines; dimensions are read again for every batch.
+
+    Four tables of latest rows are looked up by the batch's products; a function gives whole dimensions.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        fan_out(details.enrich(batch, *read_products()), batch_id, outputs)
+        with landed(batch, spark, landing, batch_id) as lines:
+            if not lines.isEmpty():
+                products = read_products() if callable(read_products) else products_of(read_products, lines)
+                fan_out(details.enrich(lines, *products), batch_id, outputs)
 
     return each
 
 
 def start_details(
-    stream: DataFrame, read_products, outputs: Sequence[Output], checkpoint: str,
+    stream: DataFrame, read_products: Products | Callable[[], tuple[DataFrame, ...]], outputs: Sequence[Output], checkpoint: str,
     trigger: Trigger = TABLE_TRIGGER,
 ) -> StreamingQuery:
     """Typed order lines to complete order lines."""
-    return start_batches(stream, detail_batch(read_products, outputs), checkpoint, trigger)
+    each = detail_batch(stream.sparkSession, landing_of(checkpoint), read_products, outputs)
+    return start_batches(stream, each, checkpoint, trigger)
 
 
 # -- wide table ---------------------------------------------------------------
@@ -144,29 +170,35 @@ def join_streams(
     order_time: str = "create_time",
     line_time: str = "create_time",
     salt_buckets: int | None = None,
+    ahead: str = "1 day",
+    forever: bool = True,
 ) -> DataFrame:
     """Orders joined with lines no further than ``bound`` apart, one row per line.
 
     ``watermark`` is how late rows may come; state is dropped after it.  It has
     nothing to do with ``bound``: an order passes only once it has been operated on,
     with the image sent then, which carries its old creation time.  Rows later
-    than that are left out and counted (``running.late_rows``).  An order is kept once
+    than that are left out and counted (``running.late_rows``), and so are rows dated more than ``ahead``
+    of the clock: one wrong date must not move the watermark past everything else.  ``late.missed`` finds
+    what was left out.  A line passes once, for all time: its id stays in the state, on disk;
+    with ``forever=False`` only until the watermark has passed it.  An order is kept once
     per salt bucket and its lines are spread over the buckets, so one order with very
     many lines is split (by default, ``running.salt_count`` parts); 1 switches that off.
     """
     late = watermark
+    soon = lambda time: F.col(time) <= F.current_timestamp() + F.expr(f"INTERVAL {ahead}")
     salt_buckets = salt_count(order_stream, salt_buckets)
     # Only the two time columns of the join may carry a watermark; the header's
     # own times are copies.
     headers = (
-        order_stream.withColumn("_order_time", F.col(order_time)).withWatermark("_order_time", late)
+        order_stream.where(soon(order_time)).withColumn("_order_time", F.col(order_time)).withWatermark("_order_time", late)
     )
     headers = wide.order_side(headers, keep=("_order_time",)).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
     )
     lines = (
         wide.line_side(
-            detail_stream.withColumn("_line_time", F.col(line_time)).withWatermark("_line_time", late),
+            detail_stream.where(soon(line_time)).withColumn("_line_time", F.col(line_time)).withWatermark("_line_time", late),
             keep=("_line_time",),
         )
         .withColumn("_salt", F.pmod(F.xxhash64("order_detail_id"), F.lit(salt_buckets)).cast("int"))
@@ -180,125 +212,126 @@ def join_streams(
         & (F.col("_line_time") >= F.col("_order_time") - apart)
         & (F.col("_line_time") <= F.col("_order_time") + apart),
     ).drop("_line_order", "_salt", "_line_salt", "_line_time")
-    return joined.dropDuplicatesWithinWatermark(["order_detail_id"]).drop("_order_time")
+    once = joined.dropDuplicates if forever else joined.dropDuplicatesWithinWatermark
+    return once(["order_detail_id"]).drop("_order_time")
 
 
-def split_state(
-    spark: SparkSession, path: str, compact_every: int | None = None, retention: str = "3 days"
-) -> KeyedTable:
-    """What an order's lines have added up to so far.
+def start_join(
+    joined: DataFrame, path: str, checkpoint: str, trigger: Trigger = TABLE_TRIGGER, partitions: int | None = None
+) -> StreamingQuery:
+    """Joined rows (see ``join_streams``) to a table, which the split and the repair of late rows read."""
+    return start_files(joined, path, checkpoint, trigger, partitions=partitions)
 
-    Compacting drops orders that are older than the newest one by ``retention``, which
-    has to be longer than the lateness and the bound of ``join_streams`` together:
-    the join gives no line of theirs any more.  So the state is a window of time.
-    """
 
-    def expire(rows: DataFrame) -> DataFrame:
-        newest = rows.agg(F.max("order_time")).first()[0]
-        old = F.lit(newest) - F.expr(f"INTERVAL {retention}") if newest else None
-        return rows if old is None else rows.where(F.col("order_time").isNull() | (F.col("order_time") >= old))
-
-    return KeyedTable(
-        spark, path, "order_id bigint, original_c bigint, share_c bigint, order_time timestamp",
-        fold=lambda rows: rows.groupBy("order_id").agg(
-            F.sum("original_c").alias("original_c"),
-            F.sum("share_c").alias("share_c"),
-            F.max("order_time").alias("order_time"),
-            F.max(BATCH).alias(BATCH),
-        ),
-        compact_every=compact_every, expire=expire,
+def order_totals(priced: DataFrame, bound: str = "10 seconds", watermark: str = "24 hours") -> DataFrame:
+    """What the lines of each order have added up to so far, as running state.
+
+    Sums are reduced in every map task, so an order with very many lines is a row per
+    task.  An order's row is dropped by the operator's own watermark.  Lines come out of the
+    join up to ``bound`` before or after its watermark, which may be ahead of this
+    one by another bound; so no line of the join can be late here.
+    """
+    return (
+        priced.withWatermark("create_time", f"{watermark} {bound} {bound}")
+        .groupBy("order_id", "create_time")
+        .agg(
+            F.count(F.lit(1)).alias("total_n"),
+            F.coalesce(F.sum("_line_c"), F.lit(0)).alias("total_line_c"),
+            F.coalesce(F.sum("_share_c"), F.lit(0)).alias("total_share_c"),
+            F.max("_final_c").alias("total_final_c"),
+            F.max("_original_c").alias("total_original_c"),
+        )
     )
 
 
-def order_totals(priced: DataFrame, state: KeyedTable, batch_id: int) -> DataFrame:
-    """What a batch adds to each of its orders, and what is left of the payment then.
+def split_lines(priced: DataFrame, totals: DataFrame) -> DataFrame:
+    """New lines with ``final_detail_amount``, where ``totals`` has the sums of their orders with these lines.
 
-    Lines of an order may come in several batches.  The batch in which they add
-    up to the order's original total holds the last line.
+    Lines of an order may come in several batches.  When they add up to the order's
+    original total, the highest line id of the batch gets what is left of the payment.
+    Amounts of lines are not negative, so what comes after that adds nothing (lines
+    of no amount): it takes back its own share.
     """
-    zero = F.lit(0)
     here = priced.groupBy("order_id").agg(
-        F.max("order_detail_id").alias("order_detail_id"),
-        F.coalesce(F.sum("_line_c"), zero).alias("line_c"),
-        F.coalesce(F.sum("_share_c"), zero).alias("batch_share_c"),
-        F.max("_final_c").alias("_final_c"),
-        F.max("_original_c").alias("_original_c"),
-        (F.max("create_time") if "create_time" in priced.columns else F.lit(None).cast("timestamp")).alias("order_time"),
-    )
-    before = state.rows_before(batch_id, keys=here.select("order_id")).select(
-        "order_id", F.col("original_c").alias("prior_line_c"), F.col("share_c").alias("prior_share_c")
+        F.max("order_detail_id").alias("order_detail_id"), F.count(F.lit(1)).alias("_n"),
+        F.coalesce(F.sum("_line_c"), F.lit(0)).alias("_here_c"), F.coalesce(F.sum("_share_c"), F.lit(0)).alias("_given_c"))
+    original = F.col("total_original_c")
+    before = (F.col("total_n") > F.col("_n")) & (F.col("total_line_c") - F.col("_here_c") == original)
+    left = F.when(before, -F.col("_given_c")).otherwise(F.col("total_final_c") - F.col("total_share_c"))
+    left_over = (
+        here.join(totals, "order_id").where(F.col("total_line_c") == original)
+        .select("order_detail_id", left.alias("_left_c"), original.alias("_original"))
+        .where((F.col("_left_c") != 0) | (F.col("_original") <= 0)).drop("_original")
     )
-    return here.join(before, "order_id", "left").withColumns({
-        "_complete": F.col("line_c") + F.coalesce("prior_line_c", zero) == F.col("_original_c"),
-        "_left_c": F.col("_final_c") - F.col("batch_share_c") - F.coalesce("prior_share_c", zero),
-    })
-
-
-def split_batch(priced: DataFrame, totals: DataFrame) -> DataFrame:
-    """Lines with ``final_detail_amount``; the highest line id of an order that is now
-    complete gets what is left of its payment."""
-    left_over = totals.where(
-        F.col("_complete") & ((F.col("_left_c") != 0) | (F.col("_original_c") <= 0))
-    ).select("order_detail_id", "_left_c")
     return wide.finish_share(wide.add_leftover(priced, left_over))
 
 
-def state_rows(totals: DataFrame) -> DataFrame:
-    """What the batch adds to the running sums."""
-    given = F.when(F.col("_complete"), F.col("_left_c")).otherwise(F.lit(0))
-    return totals.select(
-        "order_id",
-        F.col("line_c").alias("original_c"),
-        (F.col("batch_share_c") + F.coalesce(given, F.lit(0))).alias("share_c"),
-        "order_time",
-    )
-
-
-def wide_batch(state: KeyedTable, outputs: Sequence[Output]) -> Output:
-    """Per-batch step: apportion, hand on, record the running sums."""
+def split_batch(spark: SparkSession, landing: str, outputs: Sequence[Output]) -> Output:
+    """Per-batch step: apportion and hand on."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        with landed(batch, state.spark, f"{state.path}/landing", batch_id) as arrived:
-            if arrived.isEmpty():
-                return
-            priced = wide.with_raw_share(arrived)
-            with kept(order_totals(priced, state, batch_id)) as totals:
-                fan_out(split_batch(priced, totals).drop("operate_time"), batch_id, outputs)
-                state.write(state_rows(totals), batch_id)
+        with landed(batch, spark, landing, batch_id) as arrived:
+            rows = row_side(arrived, "row")
+            if not rows.isEmpty():
+                fan_out(split_lines(rows, row_side(arrived, "state")).drop("operate_time"), batch_id, outputs)
 
     return each
 
 
-def start_wide(
-    joined: DataFrame, state: KeyedTable, outputs: Sequence[Output], checkpoint: str,
-    trigger: Trigger = TABLE_TRIGGER,
+def start_split(
+    rows: DataFrame, outputs: Sequence[Output], checkpoint: str, trigger: Trigger = TABLE_TRIGGER,
+    bound: str = "10 seconds", watermark: str = "24 hours",
+) -> StreamingQuery:
+    """A stream over the table of ``start_join`` to the apportioned wide table.
+
+    ``bound`` and ``watermark`` are those of the join.
+    """
+    priced = wide.with_raw_share(rows)
+    each = split_batch(rows.sparkSession, landing_of(checkpoint), outputs)
+    return start_batches(beside(priced, order_totals(priced, bound, watermark)), each, checkpoint, trigger, mode="update")
+
+
+# -- sums by hour -------------------------------------------------------------
+
+
+def hour_table(spark: SparkSession, path: str) -> LatestTable:
+    """Sales per day and hour."""
+    return LatestTable(spark, path, "dt date, hr int, order_amount decimal(38,2)", ("dt", "hr"))
+
+
+def start_hours(
+    wide_stream: DataFrame, table: LatestTable, checkpoint: str, trigger: Trigger = TABLE_TRIGGER, watermark: str = "24 hours"
 ) -> StreamingQuery:
-    """Joined rows (see ``join_streams``) to the apportioned wide table."""
-    return start_batches(joined, wide_batch(state, outputs), checkpoint, trigger)
+    """Wide rows to sales per hour, kept current: a batch writes the new sums of the hours it has rows of."""
+    sums = (
+        wide_stream.withWatermark("create_time", watermark).groupBy(F.window("create_time", "1 hour"))
+        .agg(F.sum("final_detail_amount").alias("order_amount"))
+        .select(F.to_date("window.start").alias("dt"), F.hour("window.start").alias("hr"), "order_amount")
+    )
+    return start_batches(sums, table.write, checkpoint, trigger, mode="update")
 
 
 # -- brand sums ---------------------------------------------------------------
 
 
-def brand_batch(path: str, now: Callable[[], dt.datetime] | None = None) -> Output:
-    """Per-batch step: sales per brand under one stamp, replaced as a whole on a replay.
+def brand_batch(path: str) -> Output:
+    """Per-batch step: sales per brand under the batch's stamp, replaced as a whole on a replay.
 
     Result and source position belong together through the batch id: a batch is
-    either complete under its id or done again under the same id.
+    either complete under its id or done again under the same id.  The stamp is a column of the
+    batch (see ``start_brand``), so a replay after midnight still writes the same day.
     """
-    clock = now or (lambda: dt.datetime.now(dt.timezone.utc))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stamp = F.lit(clock()).cast("timestamp")
-        sums = brand.brand_sums(batch, stamp)
+        sums = brand.brand_sums(batch, F.col(ARRIVED), by=(ARRIVED,))
         write_batch(sums.withColumn("dt", F.to_date("stat_time")), path, batch_id, ("dt",))
 
     return each
 
 
-def start_brand(
-    wide_stream: DataFrame, path: str, checkpoint: str, trigger: Trigger = TABLE_TRIGGER,
-    now: Callable[[], dt.datetime] | None = None,
-) -> StreamingQuery:
-    """Wide rows to brand sums per batch."""
-    return start_batches(wide_stream, brand_batch(path, now), checkpoint, trigger)
+def start_brand(wide_stream: DataFrame, path: str, checkpoint: str, trigger: Trigger = TABLE_TRIGGER) -> StreamingQuery:
+    """Wide rows to brand sums per batch.
+
+    The stamp is the time at which the batch was planned; the checkpoint keeps it for a replay.
+    """
+    return start_batches(with_arrival(wide_stream), brand_batch(path), checkpoint, trigger)
