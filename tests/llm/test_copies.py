@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -74,3 +75,62 @@ def test_a_run_that_outweighs_the_words_links_nothing(documents, prose, run):
     assert simhash.fingerprint(pairs[0][1], 5)[0] == simhash.fingerprint(pairs[1][1], 5)[0]
     got = {r.doc_id: r.component_id for r in copies.near_copies(documents(pairs)).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
+def family(prose, first, n, words, seed):
+    """Texts that share most words with one text, at similarities on both sides of the bound."""
+    base = prose(seed, words).split()
+    out = []
+    for k in range(n):
+        rng = random.Random(seed * 1000 + k)
+        text = list(base)
+        for at in rng.sample(range(words), rng.choice((1, 1, 2, 3))):
+            text[at] = f"z{rng.randrange(50)}"
+        out.append((first + k, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "small", "rounds"), [(2048, 128, 256), (16, 8, 256), (16, 2, 0)])
+def test_large_groups_in_chunks_like_plain_jaccard(documents, prose, monkeypatch, chunk, small, rounds):
+    """One large family, a smaller one, and texts with a common passage, whatever the chunks and rounds."""
+    monkeypatch.setattr(copies, "CHUNK", chunk)
+    monkeypatch.setattr(copies, "SMALL", small)
+    monkeypatch.setattr(copies, "OPEN", rounds)
+    passage = prose(99, 60)
+    pairs = family(prose, 0, 120, 120, 5) + family(prose, 500, 30, 60, 6) + [(700 + k, f"{prose(k, 12)} {passage} {prose(k + 50, 12)}") for k in range(60)]
+    want = plain_components(plain_sets(pairs))
+    assert 3 < len({*want.values()}) < len(pairs) - 50
+    assert {(r.doc_id, r.component_id) for r in copies.near_copies(documents(pairs).repartition(3)).collect()} == {*want.items()}
+
+
+def test_the_sketch_keeps_pairs_of_the_bound():
+    rng = np.random.default_rng(3)
+    kept, far = 0, 0
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 450, dtype=np.uint64)
+        one, two = (copies.sketch(copies.lowest(both[part])) for part in (slice(0, 400), slice(50, 450)))
+        three = copies.sketch(copies.lowest(np.concatenate([both[:200], rng.integers(0, 1 << 63, 200, dtype=np.uint64)])))
+        differ = [int(np.bitwise_count((one ^ x)[:3] | (one ^ x)[3:]).sum()) for x in (two, three)]
+        kept += differ[0] <= copies.LOST
+        far += differ[1] <= copies.LOST
+    assert kept == 400 and far < 4
+
+
+def test_odd_rows(documents, odd_pairs, rows):
+    docs = documents(odd_pairs)
+    got = copies.near_copies(docs)
+    assert got.count() == len(odd_pairs)
+    first = {r.doc_id: r.component_id for r in got.filter("doc_id not in (4, 9) and doc_id is not null").collect()}
+    assert first[1] == first[2] == first[3] == 1 and first[5] == 4 and first[6] == first[7] == 6 and first[10] == first[11] == 10 and first[8] == 8
+    kept = copies.one_of_each(docs)
+    assert kept.columns == docs.columns and rows(kept, "doc_id") == sorted([(1,), (4,), (6,), (8,), (9,), (9,), (10,)], key=str)
+    assert copies.near_copies(documents([])).count() == 0 and copies.one_of_each(documents([])).count() == 0
+
+
+def test_only_the_dropped_rows_stay_on_disk(spark, documents, prose, monkeypatch, tmp_path):
+    from tillflow.llm import tables
+
+    monkeypatch.setattr(tables, "scratch_dir", lambda spark, label: str(tmp_path / f"{label}-{len(list(tmp_path.iterdir()))}"))
+    docs = documents([(1, prose(1, 50)), (2, prose(1, 50)), (3, prose(3, 50))])
+    assert copies.one_of_each(docs).count() == 2
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"rows", "dropped"}

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillflow.session import scratch_dir
+from tillflow.sinks.folders import delete
 
 # Where a row is: names that no input column is likely to have.
 FILE, ROW = "_at_file", "_at_row"
 
 
-def land(df: DataFrame, label: str, **options: str) -> DataFrame:
+# Folders written inside ``passing``, innermost block last.
+_PASSING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables landed inside are deleted at the end of the block, except those that stay."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            delete(spark, path)
+
+
+def land(df: DataFrame, label: str, stays: bool = False, **options: str) -> DataFrame:
     """Write a result to the shared scratch folder and read it back.
 
     The copy cuts the lineage and survives lost executors.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
+    if _PASSING and not stays:
+        _PASSING[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
