@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -50,5 +51,25 @@ def test_a_very_common_candidate(spark):
         assert [(s.repos, s.live) for s in r.spans] == ([(7, False)] if r.doc_id % 3 else [(1, True)])
 
 
+def test_length_alone_rules_nothing_out(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(1800))
+    rows = [(1, f"key {long} end", "r1"), (2, "w " * 300_000 + long[:600], "r2"), (3, "x" * 400_000, "r3")]
+    got = {r.doc_id: r.spans for r in secrets.secrets(frame(spark, rows)).collect()}
+    assert [(s.kind, s.start, s.end, s.live) for s in got[1]] == [("mixed", 4, 4 + len(long), True)]
+    assert [(s.start, s.end) for s in got[2]] == [(600_000, 600_600)] and got[3] == []
+
+
+def test_repositories_and_owners_are_told_apart(spark):
+    """One owner with two repositories has a secret of its own only if two repositories are allowed; two owners share an example."""
+    rows = [(i, f"password={'mine' if i < 3 else 'shared'}Zx9LmTr", "s") for i in range(1, 5)]
+    places = spark.createDataFrame([(1, "a/x", "a"), (2, "a/y", "a"), (3, "b/x", "b"), (4, "c/x", "c"), (4, "c/y", "c")], "doc_id long, repo string, owner string")
+    got = {r.doc_id: r.spans[0] for r in secrets.secrets(frame(spark, rows), places=places).collect()}
+    assert [(got[i].repos, got[i].owners, got[i].live) for i in (1, 3)] == [(2, 1, False), (3, 2, False)]
+    # A document without a place is where its own column says.
+    got = {r.doc_id: r.spans[0] for r in secrets.secrets(frame(spark, rows), places=places.filter("doc_id = 1")).collect()}
+    assert [(got[i].repos, got[i].owners) for i in (1, 3)] == [(2, 2), (1, 1)]
+
+
 def test_empty(spark):
     assert secrets.secrets(frame(spark, [])).count() == 0

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ def plain(min_bytes=0):
 @pytest.mark.parametrize("min_bytes", [0, 11, 10 ** 6])
 def test_records_say_what_was_stored(spark, pages, tmp_path, min_bytes):
     warc.write(pages, str(tmp_path), min_bytes=min_bytes)
-    rows = warc.read_back(warc.records(spark, str(tmp_path))).select("record", "payload_bytes", "payload_digest", "kind", "refers_to").collect()
+    warc.export(warc.records(spark, str(tmp_path), revisited=False), f"{tmp_path}/files", per_file=3)
+    rows = warc.read_back(warc.read_files(spark, f"{tmp_path}/files")).select("record", "payload_bytes", "payload_digest", "kind", "refers_to").collect()
     assert sorted(map(tuple, rows), key=str) == plain(min_bytes)
     stored = [bytes(r.payload) for r in spark.read.parquet(f"{tmp_path}/payloads").collect()]
     assert len(stored) == len(set(stored)) == len({p[2] or "" for p in PAGES})
@@ -47,6 +49,24 @@ def test_files_round_trip(spark, pages, tmp_path):
     want = [(r.warc_header, r.http_header, bytes(r.payload) if r.kind == "response" else b"") for r in rows.collect()]
     assert sorted((r.warc_header, r.http_header, bytes(r.body)) for r in back) == sorted(want)
     assert all("\r\nEvil" not in r.warc_header for r in back)
+    assert len({warc_id for r in back for warc_id in [r.warc_header.split("WARC-Record-ID: ")[1].split("\r\n")[0]]}) == len(PAGES)
+
+
+def test_addresses_keep_what_is_printable(spark):
+    urls = ["https://a.example/é?q=1&r=%20+x", "http://b.example/é ?x\r\nEvil: 1", "http://c.example/😀/中", "plain", "", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(warc.address(F.col("url"))).collect()]
+    assert got == [u if u is None else quote(u, safe="".join(map(chr, range(0x21, 0x7F)))) for u in urls]
+
+
+def test_a_changed_file_is_noticed(spark, pages, tmp_path):
+    warc.write(pages, f"{tmp_path}/a")
+    warc.export(warc.records(spark, f"{tmp_path}/a", revisited=False), f"{tmp_path}/files")
+    files = warc.read_files(spark, f"{tmp_path}/files")
+    changed = files.withColumn("body", F.when(F.octet_length("body") == 11, F.lit(b"<p>Same</p>")).otherwise(F.col("body")))
+    with pytest.raises(Exception, match="does not fit its header"):
+        warc.read_back(changed).collect()
+    with pytest.raises(Exception, match="does not fit its header"):
+        warc.read_back(files.filter("warc_header like '%revisit%'")).collect()
 
 
 def test_a_changed_payload_is_noticed(spark, pages, tmp_path):
@@ -59,4 +79,5 @@ def test_a_changed_payload_is_noticed(spark, pages, tmp_path):
 
 def test_empty(spark, pages, tmp_path):
     warc.write(pages.limit(0), str(tmp_path))
-    assert warc.read_back(warc.records(spark, str(tmp_path))).count() == 0
+    warc.export(warc.records(spark, str(tmp_path), revisited=False), f"{tmp_path}/files")
+    assert warc.read_back(warc.read_files(spark, f"{tmp_path}/files")).count() == 0

@@ -42,7 +42,8 @@ def shown_document(url: str = "url") -> Column:
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = scratch_dir(spark, "archive")
     warc.write(read(spark, folder, "pages"), archive)
-    return warc.read_back(warc.records(spark, archive)).select(
+    warc.export(warc.records(spark, archive, revisited=False), f"{archive}/files")
+    return warc.read_back(warc.read_files(spark, f"{archive}/files")).select(
         F.col("record").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
@@ -80,7 +81,11 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = secrets.secrets(read(spark, folder, "documents"))
+    # A repository is the part of a host that a page's address names, its owner the host; documents without a page have their source for both.
+    pages = read(spark, folder, "pages").select(
+        shown_document().alias("doc_id"), F.regexp_extract("url", r"^[a-z]+://([^?#]*/)", 1).alias("repo"),
+        F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("owner")).filter("doc_id is not null")
+    rows = secrets.secrets(read(spark, folder, "documents"), places=pages)
     named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -40,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]+")
 # No shorter run can be long enough, so only these are looked at.
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^\s]{0,99}[0-9])[A-Za-z0-9+/_-]{32,100}={0,2}(?![A-Za-z0-9+/_=-])")
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ("assign", "access", "hex", "token", "mixed")
 BASE = KINDS[:3]
 
@@ -61,7 +61,7 @@ def spans_of(text: str) -> list[tuple[int, int, int, str]]:
     more = [(3, m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)] if "eyJ" in text else []
     more += [
         (4, m.start(), m.end(), m[0]) for m in MIXED.finditer(text)
-        if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and bits(m[0]) >= 4]
+        if all(re.search(letters, m[0]) for letters in ("[a-z]", "[A-Z]", "[0-9]")) and bits(m[0]) >= 4]
     found += [x for x in more if all(b <= x[1] or x[2] <= a for a, b in base)]
     return sorted(found, key=lambda x: (x[1], x[0]))
 
@@ -95,12 +95,22 @@ def ownership(spans: DataFrame, live_owners: int, live_bits: float) -> DataFrame
 
 def secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source",
-    live_owners: int = 1, live_bits: float = 3.0,
+    live_owners: int = 1, live_bits: float = 3.0, places: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, spans`` with ``kind, start, end, repos, owners, live``, by start and kind."""
+    """One row per input row: ``doc_id, spans`` with ``kind, start, end, repos, owners, live``, by start and kind.
+
+    ``places`` has ``doc_id, repo, owner`` for documents that are known to be in one or several
+    repositories; the others are where their own columns say.
+    """
     rows = land(scan(located(docs), id_col, text_col, repo_col, owner_col), "secret-spans")
-    spans = rows.select(FILE, ROW, "repo", "owner", F.explode("spans").alias("s")).select(FILE, ROW, "repo", "owner", "s.*")
-    verdicts = land(ownership(spans, live_owners, live_bits), "secret-owners")
+    spans = rows.select("doc_id", FILE, ROW, "repo", "owner", F.explode("spans").alias("s")).select("doc_id", FILE, ROW, "repo", "owner", "s.*")
+    held = spans.select("doc_id", "hash", "bits", "repo", "owner")
+    if places is not None:
+        known = places.select("doc_id", F.struct("repo", "owner").alias("place")).distinct()
+        held = held.join(known, "doc_id", "left").select(
+            "hash", "bits", F.when(F.col("place").isNull(), F.col("repo")).otherwise(F.col("place.repo")).alias("repo"),
+            F.when(F.col("place").isNull(), F.col("owner")).otherwise(F.col("place.owner")).alias("owner"))
+    verdicts = land(ownership(held, live_owners, live_bits), "secret-owners")
     judged = spans.select(FILE, ROW, "kind", "start", "end", "hash").join(verdicts, "hash").filter(F.col("live") | (F.col("kind") < len(BASE)))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     per_row = land(judged.groupBy(FILE, ROW).agg(F.array_sort(F.collect_list(

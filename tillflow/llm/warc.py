@@ -3,8 +3,10 @@
 ``write`` stores two tables.  ``payloads`` has each distinct payload once under its
 SHA-256.  ``headers`` has one row per record with the exact bytes of its WARC header
 and of its HTTP header, and the SHA-256 of its payload.  ``records`` joins the two into
-whole records; it checks the digest of every stored payload again, and that header
-and payload fit.  ``export`` writes records as WARC files, ``read_files`` reads such files.
+whole records and checks the digest of every stored payload again.  ``export`` writes
+records as WARC files, ``read_files`` reads such files, and ``read_back`` says what is in
+them: lengths and digests of the bytes that were read, and for a revisit those of the
+record it refers to, found by a join.
 
 Of records with equal payloads the one with the smallest identifier is the response;
 the others revisit it and carry no payload in their WARC record.  Equality is that of
@@ -17,8 +19,8 @@ split.
 
 Defined results.  A null payload is empty.  Payloads below ``min_bytes`` are always
 responses.  Null identifiers come after all others; equal ones are told apart by
-their place in the files.  Control and non-ASCII characters of an address are
-percent-encoded in the header; a null address leaves its line out.  An empty table
+their place in the files, which is part of the record's own identifier.  Control and non-ASCII characters of an address are
+percent-encoded in the header, all others stay; a null address leaves its line out.  An empty table
 gives an empty archive.  Other columns are ignored.
 """
 
@@ -51,10 +53,10 @@ def line(name: str, value: Column) -> Column:
 
 
 def address(url: Column) -> Column:
-    """An address fit for a header line."""
-    escaped = F.regexp_replace(F.url_encode(url), r"\+", "%20")
-    plain = F.regexp_replace(url, r"[\x21-\x7E]", "") == ""
-    return F.when(plain, url).otherwise(escaped)
+    """An address fit for a header line: what is not printable ASCII is percent-encoded."""
+    runs = F.regexp_extract_all(url, F.lit(r"[\x21-\x7E]+|[^\x21-\x7E]+"), F.lit(0))
+    encoded = lambda run: F.regexp_replace(F.url_encode(run), r"\+", "%20")
+    return F.array_join(F.transform(runs, lambda run: F.when(run.rlike(r"^[\x21-\x7E]"), run).otherwise(encoded(run))), "")
 
 
 def digests(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -98,11 +100,15 @@ def write(
         F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(END))
     kind = F.when(F.col("response"), "response").otherwise("revisit")
     body = F.when(F.col("response"), F.col("n_bytes")).otherwise(0)
-    record_id = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+
+    def record_id(of: str) -> Column:
+        place = F.lower(F.hex(F.xxhash64(f"{of}{FILE}", f"{of}{ROW}")))
+        return F.concat(F.lit("<urn:record:"), F.coalesce(F.col(f"{of}record").cast("string"), F.lit("")), F.lit("/"), place, F.lit(">"))
+
     head = F.concat(
-        F.lit(f"WARC/1.1{EOL}"), line("WARC-Type", kind), line("WARC-Record-ID", record_id("record")), line("WARC-Date", F.lit(DATE)),
+        F.lit(f"WARC/1.1{EOL}"), line("WARC-Type", kind), line("WARC-Record-ID", record_id("")), line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", address(F.col("url"))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
-        line("WARC-Refers-To", F.when(~F.col("response"), record_id("first.record"))),
+        line("WARC-Refers-To", F.when(~F.col("response"), record_id("first."))),
         line("WARC-Profile", F.when(~F.col("response"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.octet_length(http) + body).cast("string")), F.lit(EOL))
@@ -110,12 +116,19 @@ def write(
         "compression", "zstd").parquet(f"{folder}/headers")
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """``record, kind, warc_header, http_header, payload`` of each record; the payload of a revisit is the one it refers to."""
+def records(spark: SparkSession, folder: str, revisited: bool = True) -> DataFrame:
+    """``record, kind, warc_header, http_header, payload`` of each record.
+
+    The payload of a revisit is the one it refers to; without ``revisited`` it is null, as in the files.
+    """
     headers, payloads = (spark.read.parquet(f"{folder}/{name}") for name in ("headers", "payloads"))
+    bare = headers.filter("kind <> 'response'").drop("sha256").withColumn("payload", F.lit(None).cast("binary"))
+    if not revisited:
+        headers = headers.filter("kind = 'response'")
     whole = headers.join(payloads, "sha256").select("record", "kind", "warc_header", "http_header", "payload", "sha256")
     sound = F.sha2("payload", 256) == F.col("sha256")
-    return whole.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not fit its digest")))).drop("sha256")
+    whole = whole.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not fit its digest")))).drop("sha256")
+    return whole if revisited else whole.unionByName(bare)
 
 
 def record_text(rows: DataFrame) -> Column:
@@ -129,27 +142,30 @@ def field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(header, rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1), F.lit(""))
 
 
-def read_back(rows: DataFrame, id_type: str = "long") -> DataFrame:
-    """What the headers and payloads of records say: ``record, kind, payload_bytes, payload_digest, refers_to``.
+def read_back(files: DataFrame, id_type: str = "long") -> DataFrame:
+    """What records read from files say: ``record, kind, payload_bytes, payload_digest, refers_to, url``.
 
-    Stops if a record's length or digest does not fit its bytes.
+    Length and digest are those of the bytes read; a revisit has those of the record it refers
+    to.  Stops if a header says something else, or if that record is missing.
     """
-    number = lambda c: F.regexp_extract(c, r"^<urn:record:(.*)>$", 1)
-    said = rows.select(
-        F.nullif(number(field(F.col("warc_header"), "WARC-Record-ID")), F.lit("")).cast(id_type).alias("record"),
-        field(F.col("warc_header"), "WARC-Type").alias("kind"),
-        field(F.col("http_header"), "Content-Length").cast("long").alias("payload_bytes"),
-        F.substring_index(field(F.col("warc_header"), "WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
-        F.nullif(number(F.coalesce(field(F.col("warc_header"), "WARC-Refers-To"), F.lit(""))), F.lit("")).cast(id_type).alias("refers_to"),
-        (field(F.col("warc_header"), "Content-Length").cast("long") == F.octet_length(record_text(rows)) - F.octet_length("warc_header")).alias("fits"),
-        (F.octet_length("payload") == field(F.col("http_header"), "Content-Length").cast("long")).alias("long"),
-        sha1_base32(F.col("payload")).alias("digest"))
-    sound = F.col("fits") & F.col("long") & (F.col("digest") == F.col("payload_digest"))
-    return said.withColumn("kind", F.when(sound, F.col("kind")).otherwise(F.raise_error(F.lit("a record does not fit its header")))).select(
-        "record", "kind", "payload_bytes", "payload_digest", "refers_to")
-
-
-def export(rows: DataFrame, path: str, per_file: int = 20_000) -> None:
+    warc, http = F.col("warc_header"), F.col("http_header")
+    said = land(files.select(
+        field(warc, "WARC-Record-ID").alias("own"), field(warc, "WARC-Type").alias("kind"), field(warc, "WARC-Refers-To").alias("other"),
+        field(warc, "WARC-Target-URI").alias("url"), field(http, "Content-Length").cast("long").alias("said_bytes"),
+        F.substring_index(field(warc, "WARC-Payload-Digest"), ":", -1).alias("said_digest"),
+        F.octet_length("body").cast("long").alias("n_bytes"), sha1_base32(F.col("body")).alias("digest"),
+        (field(warc, "Content-Length").cast("long") == F.octet_length(http) + F.octet_length("body")).alias("fits")), "read-back")
+    found = said.filter("kind = 'response'").select(F.col("own").alias("other"), F.col("n_bytes").alias("there_bytes"), F.col("digest").alias("there_digest"))
+    whole = said.filter("kind = 'response'").withColumns({"there_bytes": F.col("n_bytes"), "there_digest": F.col("digest")}).unionByName(
+        said.filter("kind <> 'response'").join(found, "other", "left"))
+    sound = F.coalesce(F.col("fits") & (F.col("there_bytes") == F.col("said_bytes")) & (F.col("there_digest") == F.col("said_digest")), F.lit(False))
+    number = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:record:(.*)/[0-9a-f]+>$", 1), F.lit("")).cast(id_type)
+    return whole.select(
+        number("own").alias("record"), F.when(sound, F.col("kind")).otherwise(F.raise_error(F.lit("a record does not fit its header"))).alias("kind"),
+        F.col("there_bytes").alias("payload_bytes"), F.col("there_digest").alias("payload_digest"), number("other").alias("refers_to"), "url")
+
+
+def export(rows: DataFrame, path: str, per_file: int = 4_000) -> None:
     """Records as WARC files, ``per_file`` records at most in each.
 
     The text writer copies bytes as they are, and its line separator is what ends a
