@@ -12,6 +12,8 @@ of the language declared in the markup and of the address suffix.
   its overall frequency.
 * Host prior: the languages of the host's documents, smoothed towards those of its
   domain, and these towards all documents, by grouped sums.
+* A document shown by several pages has each different evidence once, all with equal
+  weights that add up to one: in the counts, and in the mean of the log likelihoods.
 
 Counts are grouped in Spark; only tables of fixed size (cells by languages, totals by
 language) come to the driver.  A host, domain or suffix with a third of all rows is
@@ -20,8 +22,8 @@ split it.
 
 Defined results.  Texts without a letter or digit (null too) are ``und`` with
 posterior 0.  Missing evidence counts for nothing; without any, the prior decides.
-Equal posteriors go to the language named first.  Repeated rows get equal results;
-with several evidence rows for an identifier the smallest counts.  Empty
+Equal posteriors go to the language named first.  Repeated rows get equal results.
+Values of several pages are named in order, with commas.  Empty
 tables give an empty result; without labelled rows all languages have equal
 likelihoods.  Other columns are ignored.
 """
@@ -124,9 +126,9 @@ def best(prefix: str, classes: Sequence[str]) -> Column:
 
 
 def grouped(rows: DataFrame, *keys: str, classes: Sequence[str]) -> DataFrame:
-    """How many rows of each key the text puts into each class, ``n_<class>``, and ``n``."""
+    """The weight of the rows of each key that the text puts into each class, ``n_<class>``, and ``n``."""
     return rows.groupBy(*keys).agg(
-        *(F.count(F.when(F.col("guess") == c, 1)).cast("double").alias(f"n_{c}") for c in classes), F.count(F.lit(1)).cast("double").alias("n"))
+        *(F.sum(F.when(F.col("guess") == c, F.col("weight")).otherwise(0.0)).alias(f"n_{c}") for c in classes), F.sum("weight").alias("n"))
 
 
 def likelihoods(rows: DataFrame, key: str, prefix: str, totals: dict[str, float], classes: Sequence[str], weight: float) -> DataFrame:
@@ -169,7 +171,7 @@ def identify(
 ) -> DataFrame:
     """One row per input row: ``doc_id, lang, posterior, text_lang, declared, suffix, host, accepted`` and the locator.
 
-    ``evidence`` has ``doc_id, page_id, declared, suffix, host``; documents without a
+    ``evidence`` has ``doc_id, declared, suffix, host``; documents without a
     page take ``host_col`` for their host.
     """
     classes = (*languages, UNKNOWN)
@@ -177,13 +179,14 @@ def identify(
     table = text_likelihoods(trigram_counts(rows, text_col, label_col, languages))
     scored = land(text_scores(rows, table, id_col, text_col, host_col, classes), "text-scores").withColumn("guess", best("t_", classes))
     if evidence is None:
-        joined = scored.select("*", *(F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host")))
+        joined = scored.select("*", *(F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host")), F.lit(1).cast("long").alias("pages"))
     else:
-        one = land(evidence.groupBy("doc_id").agg(
-            F.min(F.struct("page_id", "declared", "suffix", "host")).alias("e")).select("doc_id", "e.declared", "e.suffix", "e.host"), "evidence")
-        joined = scored.join(one, "doc_id", "left")
+        each = land(evidence.select("doc_id", "declared", "suffix", "host").distinct(), "evidence")
+        joined = scored.join(each.join(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages")), "doc_id"), "doc_id", "left")
     full = F.coalesce("host", "own_host", F.lit(""))
-    rows_ = land(joined.withColumn("host", full).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)), "evidence-rows")
+    rows_ = land(
+        joined.withColumn("host", full).withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).withColumn(
+            "weight", 1 / F.coalesce("pages", F.lit(1))), "evidence-rows")
     known = rows_.filter("not blank")
 
     counts = land(grouped(known, "host", "domain", classes=classes), "host-counts")
@@ -195,9 +198,16 @@ def identify(
     suffix = land(likelihoods(known, "suffix", "x_", totals, classes, evidence_weight), "suffixes")
     fused = rows_.join(declared, "declared", "left").join(suffix, "suffix", "left").join(priors, "host", "left")
     equal = F.lit(float(-np.log(len(classes))))
-    fused = fused.withColumns({
-        f"s_{c}": F.col(f"t_{c}") + F.coalesce(f"d_{c}", F.lit(0.0)) + F.coalesce(f"x_{c}", F.lit(0.0)) + F.coalesce(f"h_{c}", equal)
-        for c in classes})
+    said = [f"e_{c}" for c in classes]
+    own = ["doc_id", FILE, ROW, "blank", "guess", *(f"t_{c}" for c in classes)]
+    fused = land(fused.withColumns({
+        f"e_{c}": F.coalesce(f"d_{c}", F.lit(0.0)) + F.coalesce(f"x_{c}", F.lit(0.0)) + F.coalesce(f"h_{c}", equal) for c in classes
+    }).select(*own, *said, "declared", "suffix", "host", "weight"), "fused")
+    several = fused.filter("weight < 1").groupBy(FILE, ROW).agg(
+        *(F.first(c).alias(c) for c in own if c not in (FILE, ROW)), *(F.sum(F.col(c) * F.col("weight")).alias(c) for c in said),
+        *(F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ","), F.lit("")).alias(c) for c in ("declared", "suffix", "host")))
+    fused = fused.filter("weight = 1").drop("weight").unionByName(several)
+    fused = fused.withColumns({f"s_{c}": F.col(f"t_{c}") + F.col(f"e_{c}") for c in classes})
     top = F.greatest(*(F.col(f"s_{c}") for c in classes))
     mass = sum((F.exp(F.col(f"s_{c}") - F.col("top")) for c in classes), F.lit(0.0))
     answered = fused.withColumn("top", top).withColumn("posterior", F.when(F.col("blank"), 0.0).otherwise(1 / mass)).withColumn(
