@@ -40,10 +40,35 @@ def test_rebalancing_moves_little_and_never_worsens(seed):
     assert sharding.rebalance(new, weight, 7) == new
 
 
-def test_map_versions_are_kept(spark, documents, tmp_path):
-    sharding.sharded(documents([(i, "x" * i) for i in range(50)]), 4, slots=32, folder=str(tmp_path)).count()
-    first, second = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, str(tmp_path), v).collect()} for v in (1, 2))
-    assert first == dict(enumerate(sharding.dealt(32, 4))) and first.keys() == second.keys() and first != second
+def test_map_versions_are_kept_and_edited(spark, documents, tmp_path):
+    """Run after run begins with the newest version, and stores the next one only if slots move."""
+    folder = str(tmp_path)
+    held = lambda v: {r.virtual_slot: r.shard for r in sharding.load_map(spark, folder, v).collect()}
+    pairs = [(i, "x" * i) for i in range(50)]
+    shards_of = lambda pairs, n: {r.doc_id: r.shard for r in sharding.sharded(documents(pairs), n, slots=32, folder=folder).collect()}
+    before = shards_of(pairs, 4)
+    assert sharding.versions(spark, folder) == [1, 2] and held(1) == dict(enumerate(sharding.dealt(32, 4))) != held(2)
+    assert shards_of(pairs, 4) == before and sharding.versions(spark, folder) == [1, 2]
+    second = held(2)
+    more = shards_of([*pairs, (99, "y" * 4000)], 4)
+    assert sharding.versions(spark, folder) == [1, 2, 3] and held(2) == second
+    moved = {slot for slot, shard in held(3).items() if shard != second[slot]}
+    assert 0 < len(moved) < 16 and sum(more[i] != before[i] for i in before) < 40
+    grown = shards_of([*pairs, (99, "y" * 4000)], 5)
+    assert sharding.versions(spark, folder) == [1, 2, 3, 4] and set(held(4).values()) == set(range(5))
+    assert 4 in grown.values() and sum(grown[i] != more[i] for i in grown) < 25
+    assert set(shards_of(pairs, 2).values()) == {0, 1} and sharding.versions(spark, folder)[-1] == 5
+    with pytest.raises(ValueError):
+        sharding.sharded(documents(pairs), 4, slots=16, folder=folder)
+
+
+def test_rows_repeated_whole_are_spread(documents):
+    rows = sharding.sharded(documents([(7, "the same")] * 300 + [(i, f"t{i}") for i in range(100, 200)]).repartition(3), 4, slots=64).collect()
+    total, places = Counter(r.shard for r in rows), defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.slot)
+    assert len(rows) == 400 and max(total.values()) < 130 and len({r.virtual_slot for r in rows if r.doc_id == 7}) > 40
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
 def test_empty_and_fewer_rows_than_shards(documents):
