@@ -1,7 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tillflow.llm import chat
 
@@ -25,47 +28,96 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, 1, "w") for r in rows], "conv_id long, turn long, role string, text string, ord int, window string")
 
 
+def hashed(text):
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode(), 42)).view(np.int64))
+
+
 def plain(rows):
     out = {}
     for c in {r[0] for r in rows}:
-        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c))
-        out[c] = [(t[2], t[3]) for t in turns]
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", hashed(r[3] or ""), r[3] or "") for r in rows if r[0] == c))
+        out[c] = [(t[2], t[4]) for t in turns]
     return out
 
 
-@pytest.mark.parametrize("budget, history, block", [(64, 16, 1024), (128, 32, 4), (10_000, 10, 8)])
-def test_windows(spark, monkeypatch, budget, history, block):
+def size(turn):
+    return len(turn[1].split()) + chat.MARKS
+
+
+def greedy(turns, budget, history):
+    """Windows turn by turn: (repeated turns, new turns)."""
+    system = turns[:1] if turns[0][0] == "system" else []
+    held = sum(map(size, system))
+    out, at = [], 0
+    while at < len(turns):
+        repeated, room = [], budget
+        if at:
+            back = at
+            limit = min(history, max(budget - held - size(turns[at]), 0))
+            while back - 1 >= len(system) and sum(map(size, turns[back - 1:at])) <= limit:
+                back -= 1
+            repeated = system + turns[back:at]
+            room = budget - sum(map(size, repeated))
+        end = at + 1
+        while end < len(turns) and sum(map(size, turns[at:end + 1])) <= room:
+            end += 1
+        out.append((repeated, turns[at:end]))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("budget, history, block", [(64, 16, 1 << 16), (128, 32, 20), (64, 16, 9), (300, 0, 7), (10_000, 10, 8), (5, 3, 11)])
+def test_windows_like_turn_by_turn(spark, monkeypatch, budget, history, block):
     monkeypatch.setattr(chat, "BLOCK", block)
     rows = rows_of(random.Random(budget))
-    table = chat.windows(frame(spark, rows), budget=budget, history=history).collect()
-    back = {(r.conv_id, r.window): r for r in chat.read_back(chat.windows(frame(spark, rows), budget=budget, history=history)).collect()}
+    # One conversation with most of the turns runs through many blocks.
+    rows += [(77, k, ("system", "user", "assistant")[min(k, 1 + k % 2)], "w " * random.Random(k).randrange(30)) for k in range(300)]
+    made = chat.windows(frame(spark, rows).repartition(3), budget=budget, history=history)
+    table, back = made.collect(), {(r.conv_id, r.window): r for r in chat.read_back(made).collect()}
+    fill = []
     for c, turns in plain(rows).items():
         mine = sorted((w for w in table if w.conv_id == c), key=lambda w: w.window)
-        seen = [(t.role, t.text) for w in mine for t in back[c, w.window].turns]
-        assert seen == turns
-        assert [t for w in mine for t in back[c, w.window].learned] == [t for role, t in turns if role == "assistant"]
-        system = turns[0] if turns[0][0] == "system" else None
-        done = 0
-        for k, w in enumerate(mine):
-            pieces = w.text.split(chat.CLOSE)[:-1]
-            fresh = back[c, w.window].turns
-            assert len(pieces) == w.n_repeated + len(fresh)
-            # Repeated: the system turn, then the turns just before.
-            repeated = w.n_repeated
-            if k and system:
-                assert pieces[0].startswith("### system:\n")
-                repeated -= 1
-            size = lambda t: len(t[1].split()) + chat.MARKS
-            recalled = turns[done - repeated:done] if repeated else []
-            assert sum(map(size, recalled)) <= history
-            assert w.n_tokens == sum(map(size, recalled)) + sum(size((t.role, t.text)) for t in fresh) + (size(system) if k and system else 0)
-            assert w.n_tokens <= budget or (w.over and len(fresh) <= 2)
-            done += len(fresh)
+        want = greedy(turns, budget, history)
+        assert len(mine) == len(want), c
+        for w, (repeated, new) in zip(mine, want, strict=True):
+            assert [(t.role, t.text) for t in back[c, w.window].turns] == new
+            assert w.text == "".join(f"### {plain_escape(r, True)}:\n{plain_escape(t)}</turn>\n" for r, t in repeated + new)
+            assert w.n_repeated == len(repeated) and w.n_tokens == sum(map(size, repeated + new)) and w.over == (w.n_tokens > budget)
+            assert not w.over or len(new) == 1
+            assert back[c, w.window].learned == [t for role, t in new if role == "assistant"]
+            fill.append(w.n_tokens / budget)
+        if sum(map(size, turns)) <= budget:
+            assert len(mine) == 1 and mine[0].n_repeated == 0
+    assert len(table) == len(fill) and (budget != 128 or np.mean([f for f in fill if f <= 1]) > 0.5)
 
 
-def test_escapes_are_reversible(spark):
-    from pyspark.sql import functions as F
+def plain_escape(text, role=False):
+    for a, b in (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), *((((":", "\\c")),) if role else ())):
+        text = text.replace(a, b)
+    return text
+
 
+def test_turns_of_one_size_fill_the_budget(spark):
+    rows = [(1, k, "user", "w " * 198) for k in range(100)] + [(2, k, "user", "w " * 510) for k in range(20)] + [(3, k, "user", "w " * 8) for k in range(30)]
+    got = chat.windows(frame(spark, rows)).groupBy("conv_id").agg(
+        F.count("window").alias("n"), F.max("n_tokens").alias("most"), F.max(F.col("over").cast("int")).alias("over")).collect()
+    # 200 tokens: two new turns each time (no history fits beside them both of 128); 512: one each; 300 in all: one window.
+    assert {r.conv_id: (r.n, r.most, r.over) for r in got} == {1: (50, 400, 0), 2: (20, 512, 0), 3: (1, 300, 0)}
+
+
+def test_tokens_may_be_given(spark):
+    rows = spark.createDataFrame([(1, k, "user", "one two", 98) for k in range(10)] + [(2, 0, "user", "x", None)], "conv_id long, turn long, role string, text string, n int")
+    got = chat.windows(rows, budget=500, history=0, tokens_col="n").orderBy("conv_id", "window").collect()
+    assert [(r.conv_id, r.n_tokens) for r in got] == [(1, 500), (1, 500), (2, 2)]
+
+
+def test_equal_turn_numbers_of_one_conversation_are_spread(spark):
+    rows = frame(spark, [(5, None, "user", f"text {k % 50}") for k in range(400)]).repartition(4)
+    made = chat.windows(rows, budget=64, history=8)
+    assert sum(len(r.turns) for r in chat.read_back(made).collect()) == 400
+
+
+def test_escapes_are_reversible(spark):
     df = spark.createDataFrame([(t,) for t in HARD], "t string")
     for role in (False, True):
         got = df.select("t", chat.escape(F.col("t"), role).alias("e"), chat.unescape(chat.escape(F.col("t"), role), role).alias("u")).collect()
