@@ -87,7 +87,12 @@ def found(docs: DataFrame, vocabulary: DataFrame, k: int, id_col: str, text_col:
 
 
 def runs(hits: DataFrame) -> DataFrame:
-    """Hits at consecutive positions of a document, joined: ``key, k, start, hits, words``."""
+    """Hits at consecutive positions of a document, joined: ``key, k, start, hits, words``.
+
+    Copies of a row repeated whole are one document: their hits become one, in every task
+    before the exchange.
+    """
+    hits = hits.groupBy("key", "k", "pos").agg(F.min("first").alias("first"), F.min("s").alias("s"))
     place = F.dense_rank().over(Window.partitionBy("key", "k").orderBy("pos"))
     gathered = hits.withColumn("run", F.col("pos") - place).groupBy("key", "k", "run").agg(
         F.array_sort(F.collect_set(F.struct("pos", "first", "s"))).alias("hits"))
