@@ -59,10 +59,23 @@ def test_stages_like_plain_versions(spark):
     assert run == steps["tokens"]
 
 
+def test_stages_on_empty_tables_and_odd_rows(spark, documents, odd_pairs):
+    import corpus_pipeline
+
+    plain = documents(odd_pairs).select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (documents([]), documents(odd_pairs), plain):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SMALL)
+            assert docs.columns == (["doc_id", "ids", "text"] if name == "tokens" else names)
+        assert docs.count() <= len(odd_pairs)
+    assert {r.doc_id for r in docs.collect()} <= {i for i, _ in odd_pairs}
+
+
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = list(entry.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillflow.llm.tables import FILE, ROW, land, located, text_of
+from tillflow.llm.tables import FILE, ROW, land, located, small_batches, text_of
 
 # Kinds in their order, patterns, and least lengths of what counts.
 ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -77,9 +77,9 @@ def scan(rows: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
             ] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kinds)], [*batch.schema.names[:-1], "spans"])
 
-    inputs = rows.select(
+    inputs = small_batches(rows.select(
         F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), FILE, ROW,
-        text_of(text_col).alias("text"))
+        text_of(text_col).alias("text")))
     kind = inputs.schema["doc_id"].dataType.simpleString()
     return inputs.mapInArrow(run, f"""doc_id {kind}, repo string, owner string, {FILE} string, {ROW} long,
         spans array<struct<kind:int, start:long, end:long, hash:binary, bits:double>>""")
