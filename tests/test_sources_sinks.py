@@ -30,10 +30,35 @@ def test_jdbc_options():
     assert ranged["dbtable"] == "(select * from t) q" and "query" not in ranged
     with pytest.raises(ValueError):
         jdbc.query_options("u", "select 1", partition_column="id")
+    assert jdbc.bounds_query("select * from t", "id") == "SELECT min(id) AS low, max(id) AS high FROM (select * from t) q"
     out = jdbc_sink.append_options("u", "order_wide")
     assert (out["batchsize"], out["isolationLevel"], "numPartitions" in out) == ("1000", "NONE", False)
 
 
+def test_a_range_is_asked_for(spark, monkeypatch):
+    """The reader that a partitioned query ends up with, with the database's answer made up."""
+    asked = []
+
+    class Reader:
+        def format(self, name):
+            return self
+
+        def options(self, **options):
+            asked.append(options)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(3, 99)], "low bigint, high bigint")
+
+    class Session:
+        read = Reader()
+
+    jdbc.query(Session(), "u", "select * from t", partition_column="id", partitions=4)
+    assert "min(id)" in asked[0]["query"] and (asked[1]["lowerBound"], asked[1]["upperBound"], asked[1]["numPartitions"]) == ("3", "99", "4")
+    jdbc.query(Session(), "u", "select 1")
+    assert asked[2]["query"] == "select 1"
+
+
 def test_messages_round_trip(spark):
     df = spark.createDataFrame([(7, 70, "x")], "id bigint, order_id bigint, sku_name string")
     row = kafka_sink.message_rows(df, key="order_id", topic=F.lit("T")).first()
