@@ -27,7 +27,7 @@ import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,7 @@ class Ranks:
         if missing:
             raise ValueError(f"{path}: no token for the bytes {missing}")
         self.single = [self.rank[bytes([b])] for b in range(256)]
+        self.spelling = pa.array(self.names, pa.binary())
         self.whole = pa.array([t.decode() for t in self.rank if _is_text(t)], pa.string())
 
     def lowest_first(self, word: bytes) -> list[int]:
@@ -267,10 +268,11 @@ def encode(
                 ids, ends = task.encode(part.column("text").to_pylist())
                 columns = {"doc_id": part.column("doc_id")}
                 if files:
-                    lists = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
                     columns["n_tokens"] = pa.array(np.diff(ends))
-                    columns["packed"] = pa.array([x.astype("<u4").tobytes() for x in lists], pa.binary())
-                    columns["decoded"] = pa.array(map(task.spell, lists), pa.binary())
+                    data = ids.astype("<u4").tobytes()
+                    columns["packed"] = pa.array([data[4 * a:4 * b] for a, b in pairwise(ends.tolist())], pa.binary())
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), task.ranks.spelling.take(pa.array(ids)))
+                    columns["decoded"] = pc.binary_join(lists, b"")
                 else:
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
