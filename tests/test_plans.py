@@ -129,6 +129,26 @@ def test_hot_order_is_split_and_adds_up(spark, tmp_path):
     assert "isFinalPlan=true" in text and "skew=true" in text
 
 
+def test_wide_rows_are_not_exchanged_for_the_split(spark, tmp_path):
+    """What is left for the last line is joined by the order, where the rows lie already."""
+    lines = skewed_lines(spark, tmp_path).where("order_id <> 1")
+    path = str(tmp_path / "headers")
+    headers_for(lines).write.parquet(path)
+    with shuffled(spark):
+        df = wide.apportion(wide.join_wide(spark.read.parquet(path), lines))
+        text = plan(df)
+    assert "hashpartitioning(order_id" in text and "hashpartitioning(order_detail_id" not in text
+
+
+def test_left_over_goes_to_the_line_of_its_own_order(spark):
+    """Line ids that two orders share, and a line that was sent twice."""
+    rows = spark.createDataFrame(
+        [(1, 9, 50, 1, 99, 100), (1, 5, 50, 1, 99, 100), (2, 9, 30, 1, 31, 30), (3, 7, 1, 1, 10, 9)],
+        "order_id bigint, order_detail_id bigint, sku_price bigint, sku_num bigint, final_total_amount bigint, original_total_amount bigint")
+    got = sorted((r.order_id, r.order_detail_id, r.final_detail_amount) for r in wide.apportion(rows).collect())
+    assert got == [(1, 5, 50), (1, 9, 49), (2, 9, 31), (3, 7, 1)]
+
+
 def test_hot_buyer(spark):
     hot = spark.range(0, 90_000, 1, 6).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100).alias("user_id"),

@@ -42,7 +42,8 @@ def pack_days(df: DataFrame, path: str, day: str = "dt", rows: int = PACK_ROWS)
     counts = counts.withColumn("_pack", F.floor(F.coalesce(before, F.lit(0)) / F.lit(rows)))
     packs = counts.select(day, F.min(day).over(Window.partitionBy("_pack")).alias(PACK))
     (
-        df.join(packs, day, "left").hint("rebalance", PACK).sortWithinPartitions(PACK, day)
+        # One row per day, so the rows themselves are exchanged once, by their pack.
+        df.join(F.broadcast(packs), day, "left").hint("rebalance", PACK).sortWithinPartitions(PACK, day)
         .write.mode("overwrite").partitionBy(PACK).parquet(path)
     )
 
