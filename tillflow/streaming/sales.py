@@ -143,8 +143,11 @@ def detail_batch(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         with landed(batch, spark, landing, batch_id) as lines:
-            if not lines.isEmpty():
-                products = read_products() if callable(read_products) else products_of(read_products, lines)
+            if lines.isEmpty():
+                return
+            # The look-ups ask for the products many times: each once, not the lines.
+            with kept(lines.select("sku_id").distinct()) as wanted:
+                products = read_products() if callable(read_products) else products_of(read_products, wanted)
                 fan_out(details.enrich(lines, *products), batch_id, outputs)
 
     return each
