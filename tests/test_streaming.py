@@ -326,6 +326,43 @@ def test_arrivals_hold_every_row_once(spark, tmp_path):
     assert (got.count(), got.distinct().count()) == (100, 100)
 
 
+def test_arrivals_move_what_was_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10), (2, None), (3, 40), (4, 25)], "id bigint, k bigint")
+    first, second = (Arrivals(rows, str(tmp_path / n), by="k", slices=2) for n in "ab")
+    bounds = first.cut()
+    second.cut((20, 30))  # beyond another table's bounds the first and the last slice take all
+    got = []
+    for number in range(2):
+        for source in (first, second):
+            source.arrive(number)
+            got.append(sorted(r.id for r in spark.read.parquet(source.incoming).collect()))
+    assert bounds == (10, 40) and got == [[1, 4], [1, 4], [1, 3, 4], [1, 3, 4]]
+    left = [p.parent.name for p in (tmp_path / "a" / "staged").rglob("*.parquet")]
+    assert left == ["_slice=__HIVE_DEFAULT_PARTITION__"]
+
+
+def test_orders_are_not_kept_for_every_state_partition(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        joined = sales.join_streams(spark.createDataFrame([], ORDERS), spark.createDataFrame([], LINES))
+        text = joined._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert re.findall(r"explode\(sequence\(0, (\d+)|explode\(sequence\(0, cast\((\d+)|explode\(sequence\(0, \((\d+)", text) and "33" not in text
+
+
+def test_lookups_of_products_do_not_read_the_lines_again(spark, tmp_path, monkeypatch):
+    asked, out = [], []
+    empty = lambda *names: spark.createDataFrame([], ", ".join(f"{n} bigint" for n in names))
+    dims = empty("sku_id", "spu_id", "tm_id", "category3_id"), empty("spu_id", "spu_name"), empty("tm_id", "tm_name"), empty("category3_id", "category3_name")
+    monkeypatch.setattr(sales, "products_of", lambda tables, keys: asked.append((keys.columns, keys.count(), keys.storageLevel.useMemory)) or dims)
+    each = sales.detail_batch(spark, str(tmp_path / "landing"), (None,) * 4, [lambda df, n: out.extend(df.collect())])
+    each(spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, None)], "id bigint, sku_id bigint"), 0)
+    assert asked == [(["sku_id"], 3, True)] and sorted(r.id for r in out) == [1, 2, 3, 4]
+
+
 def test_orders_paid_after_the_bound_reach_the_wide_table(spark, tmp_path, rows):
     o, l, out = (str(tmp_path / n) for n in ("o", "l", "out"))
     order = lambda key, t, op=None: (key, 1, 1, at(t), op, 10, 10)

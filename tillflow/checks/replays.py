@@ -19,7 +19,7 @@ from tillflow.checks.queries import as_of, cdc_images, lines_split, plain, produ
 from tillflow.operators import details, wide
 from tillflow.operators.parsing import json_column, sorted_rows
 from tillflow.session import configure, scratch_dir
-from tillflow.sinks.folders import delete, names
+from tillflow.sinks.folders import delete, move, names
 from tillflow.sinks.latest import LatestTable
 from tillflow.sinks.outputs import to_messages, to_table
 from tillflow.sinks.tables import pack_days, read_days, write_batch
@@ -29,13 +29,18 @@ from tillflow.streaming import changes, devices, late, progress, sales
 from tillflow.streaming.running import ONCE, start_sorted
 
 
+SLICE = "_slice"
+
+
 class Arrivals:
-    """A table arriving in ``slices`` parts, cut at equal distances of ``by``."""
+    """A table arriving in ``slices`` parts, cut at equal distances of ``by``.
+
+    It is written once, a folder per slice, and arrives by moving the files.
+    """
 
     def __init__(self, df: DataFrame, folder: str, by: str, slices: int = 3):
         self.spark, self.schema, self.by, self.slices = df.sparkSession, df.schema, by, slices
-        self.staged, self.incoming = f"{folder}/staged", f"{folder}/incoming"
-        df.write.parquet(self.staged)
+        self.df, self.staged, self.incoming = df, f"{folder}/staged", f"{folder}/incoming"
         # So that the stream can be described before anything has arrived.
         df.limit(0).write.parquet(self.incoming)
         self.bounds = None
@@ -46,21 +51,20 @@ class Arrivals:
 
     def cut(self, bounds: tuple[int, int] | None = None) -> tuple[int, int]:
         """Lowest and highest position; another table's bounds cut both alike."""
+        at = self._position()
         if bounds is None:
-            at = self._position()
-            bounds = tuple(self.spark.read.parquet(self.staged).agg(F.min(at), F.max(at)).first())
-        self.bounds = bounds
+            bounds = tuple(self.df.agg(F.min(at), F.max(at)).first())
+        low, high = self.bounds = bounds
+        width = max((high - low) // self.slices + 1, 1)
+        number = F.greatest(F.lit(0), F.least(F.lit(self.slices - 1), F.floor((at - F.lit(low)) / F.lit(width))))
+        if self.slices > 1:
+            # Rows without a position are in no slice.
+            number = F.when(at.isNotNull(), number)
+        self.df.withColumn(SLICE, number.cast("int")).write.partitionBy(SLICE).parquet(self.staged)
         return bounds
 
     def arrive(self, number: int) -> None:
-        low, high = self.bounds
-        width = max((high - low) // self.slices + 1, 1)
-        at, rows = self._position(), self.spark.read.parquet(self.staged)
-        if number > 0:
-            rows = rows.where(at >= low + number * width)
-        if number < self.slices - 1:
-            rows = rows.where(at < low + (number + 1) * width)
-        rows.write.mode("append").parquet(self.incoming)
+        move(self.spark, f"{self.staged}/{SLICE}={number}", self.incoming, f"slice{number}-")
 
     def stream(self) -> DataFrame:
         return file_stream(self.spark, self.incoming, self.schema)
@@ -323,7 +327,7 @@ def stream_order_wide_late_repaired(shop: ShopTables, work: str) -> DataFrame:
     schema = joined().schema
     run_through(sources, lambda: sales.start_join(joined(), f"{work}/out", f"{work}/check", ONCE))
     streamed = shop.spark.read.schema(schema).parquet(f"{work}/out")
-    return plain(streamed.unionByName(late.missed(images, lines, streamed)), *WIDE)
+    return plain(streamed.unionByName(stored_table(late.missed(images, lines, streamed), f"{work}/missed")), *WIDE)
 
 
 def stream_order_split_late_repaired(shop: ShopTables, work: str) -> DataFrame:
@@ -339,7 +343,8 @@ def stream_order_split_late_repaired(shop: ShopTables, work: str) -> DataFrame:
         lambda: sales.start_split(file_stream(shop.spark, f"{work}/joined", schema), [out], f"{work}/check2", ONCE),
     )
     stored = read(shop.spark, f"{work}/out").drop("batch_id")
-    return _by_order(plain(stored.unionByName(late.repair(late.missed(images, lines, stored), stored))))
+    missed = stored_table(late.missed(images, lines, stored), f"{work}/missed")  # the repair reads it four times
+    return _by_order(plain(stored.unionByName(late.repair(missed, stored))))
 
 
 def _brand_lines(shop: ShopTables) -> DataFrame:

@@ -27,6 +27,14 @@ def versions(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(target)))
 
 
+def move(spark: SparkSession, folder: str, into: str, prefix: str) -> None:
+    """The Parquet files of a folder into another one that is there, under names with a prefix."""
+    fs, target = _open(spark, into)
+    for name in names(spark, folder):
+        if name.endswith(".parquet") and not fs.rename(_open(spark, f"{folder}/{name}")[1], _open(spark, f"{into}/{prefix}{name}")[1]):
+            raise OSError(f"{folder}/{name} could not be moved into {into}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _open(spark, path)
     fs.delete(target, True)
