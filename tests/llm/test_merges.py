@@ -1,5 +1,7 @@
 import base64
+import random
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
@@ -57,6 +59,31 @@ def test_a_merge_that_makes_a_lower_rank(tmp_path):
     assert [known.lowest_first(w + b"q") for w in words] == [own.encode_ordinary(w.decode() + "q") for w in words]
 
 
+def test_runs_and_random_ranks_like_lowest_first(tmp_path):
+    """Pairs that overlap in a run, and ranks of which parts come after what they make."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        made = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(40)})
+        rng.shuffle(made)
+        (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([*(bytes([b]) for b in range(256)), *made])))
+        known = merges.Ranks(str(tmp_path / "ranks"))
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30))) for _ in range(60)] + [b"a" * k for k in range(1, 20)]
+        assert known.replay(words) == [known.lowest_first(w) for w in words]
+
+
+def test_new_words_of_many_slices_are_replayed_together(prose, library, monkeypatch):
+    texts = [prose(k, 40) for k in range(30)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}) for k, t in enumerate(texts)]
+    for waiting, calls in ((merges.WAITING, 1), (41, 30)):
+        monkeypatch.setattr(merges, "WAITING", waiting)
+        task, replayed = merges.Task(FILE, PATTERN), []
+        replay = task.ranks.replay
+        with monkeypatch.context() as patch:
+            patch.setattr(task.ranks, "replay", lambda words, replay=replay, replayed=replayed: replayed.append(len(words)) or replay(words))
+            got = [(i.to_pylist(), ids.tolist()) for i, ids, _ in task.encode(iter(batches))]
+        assert got == [([k], library.encode_ordinary(t)) for k, t in enumerate(texts)] and len(replayed) == calls
+
+
 def test_unknown_ids_and_empty_table(spark, documents):
     rows = spark.createDataFrame([(1, [10 ** 9, -1, 0]), (2, []), (None, None)], "doc_id long, ids array<int>")
     got = {r.doc_id: bytes(r.decoded) for r in merges.decode(rows, FILE).collect()}

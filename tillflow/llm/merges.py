@@ -7,7 +7,8 @@ replayed as a whole: an inverted index maps each rank to all positions of pairs
 it, the ranks are applied in ascending order, and only the neighbours that a merge
 touches enter the index anew.  The dictionary that comes out has ``top`` words of
 ``LONGEST`` letters at most, a bound that does not grow with the data, so it is
-broadcast.  Words outside it are replayed in the same way, in the task that meets them.
+broadcast.  Words outside it are replayed in the same way, in the task that meets them;
+texts wait there as numbers until many new words can be replayed together.
 
 Ranks in ascending order are what a word alone would get, unless a merge makes a pair of
 a lower rank than its own.  A word in which that happens is merged once more by
@@ -25,9 +26,9 @@ import base64
 import functools
 import heapq
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import chain, pairwise
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ TOP, LONGEST = 200_000, 64
 # Letters of the texts that are in work at a time; a longer text is in work alone.
 LETTERS = 2_000_000
 # Words replayed together, and words kept in a task beside the dictionary.
-TOGETHER, KEPT = 20_000, 250_000
+TOGETHER, KEPT = 100_000, 250_000
+# Texts of so many words wait in a task, as numbers, for the replay of their new words.
+WAITING = 4_000_000
 
 
 @functools.cache
@@ -56,12 +59,10 @@ def splitter(pattern: str) -> tuple[regex.Pattern, re.Pattern | None]:
     return whole, None if r"\p" in plain else re.compile(plain)
 
 
-def words_of(texts: list[str], pattern: str) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts in a row, and how many each text has."""
+def split_words(texts: list[str], pattern: str) -> list[list[str]]:
+    """The words of each text."""
     whole, plain = splitter(pattern)
-    split = [(plain if plain and t.isascii() else whole).findall(t) for t in texts]
-    words = pa.array(chain.from_iterable(split), pa.string())
-    return words, np.fromiter(map(len, split), np.int64, len(split))
+    return [(plain if plain and t.isascii() else whole).findall(t) for t in texts]
 
 
 def slices(batch: pa.RecordBatch, letters: int = LETTERS) -> Iterator[pa.RecordBatch]:
@@ -93,6 +94,12 @@ class Ranks:
         self.single = [self.rank[bytes([b])] for b in range(256)]
         self.spelling = pa.array(self.names, pa.binary())
         self.whole = pa.array([t.decode() for t in self.rank if _is_text(t)], pa.string())
+        # Every two tokens that make a third: the numbers of both as one key, and the rank.
+        self.pair = {
+            one << 32 | two: number for token, number in self.rank.items() for cut in range(1, len(token))
+            if (one := self.rank.get(token[:cut])) is not None and (two := self.rank.get(token[cut:])) is not None}
+        # The same for two bytes, -1 where they make none.
+        self.of_bytes = np.array([self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32).reshape(256, 256)
 
     def lowest_first(self, word: bytes) -> list[int]:
         """The ids of one word, always merging the pair of the lowest rank, of equal ones the first."""
@@ -122,44 +129,66 @@ class Ranks:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, none of them empty: every merge, in the order of ranks, at all its positions."""
-        names, rank = self.names, self.rank
-        symbol = [self.single[b] for b in b"".join(words)]
-        size = len(symbol)
-        bounds = [0, *np.cumsum(np.fromiter(map(len, words), np.int64, len(words))).tolist()]
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        for start in bounds[:-1]:
-            before[start] = -1
-        for end in bounds[1:]:
-            after[end - 1] = -1
-        index: dict[int, list[int]] = {}
-        for at, to in enumerate(after):
-            if to >= 0 and (r := rank.get(names[symbol[at]] + names[symbol[to]])) is not None:
-                index.setdefault(r, []).append(at)
-        active = list(index)
-        heapq.heapify(active)
-        odd: set[int] = set()
+        data = np.frombuffer(b"".join(words), np.uint8)
+        bounds = np.insert(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), 0, 0)
+        symbol = np.array(self.single, np.int32)[data]
+        after, before = np.arange(1, len(data) + 1, dtype=np.int32), np.arange(-1, len(data) - 1, dtype=np.int32)
+        after[bounds[1:] - 1] = before[bounds[:-1]] = -1
+        # The rank that each position makes with the next one, -1 without; by it positions whose pair has gone meanwhile are passed over.
+        makes = np.full(len(data), -1, np.int32)
+        makes[:-1] = self.of_bytes[data[:-1], data[1:]]
+        makes[after < 0] = -1
+        places = np.flatnonzero(makes >= 0)
+        places = places[np.argsort(makes[places], kind="stable")]
+        active, starts = (x.tolist() for x in np.unique(makes[places], return_index=True))
+        index = {r: places[a:b].tolist() for r, (a, b) in zip(active, pairwise([*starts, len(places)]), strict=True)}
+        odd: list[int] = []
+
+        def enter(positions: np.ndarray, keys: np.ndarray, now: int) -> np.ndarray:
+            """The ranks of pairs at positions; those of a rank enter the index."""
+            found = [pair(k, -1) for k in keys.tolist()]
+            for r, at in zip(found, positions.tolist(), strict=True):
+                if r >= 0:
+                    if r < now:
+                        odd.append(at)
+                    if r in index:
+                        index[r].append(at)
+                    else:
+                        index[r] = [at]
+                        heapq.heappush(active, r)
+            return np.array(found, np.int32)
+
+        pair = self.pair.get
         while active:
             now = heapq.heappop(active)
-            made = names[now]
-            for at in sorted(index.pop(now)):
-                # Positions whose pair has gone meanwhile are passed over.
-                if symbol[at] < 0 or (to := after[at]) < 0 or names[symbol[at]] + names[symbol[to]] != made:
-                    continue
-                symbol[at], symbol[to] = now, -1
-                right = after[at] = after[to]
-                if right >= 0:
-                    before[right] = at
-                for near, pair in ((at, right >= 0 and made + names[symbol[right]]), (back := before[at], back >= 0 and names[symbol[back]] + made)):
-                    if pair and (r := rank.get(pair)) is not None:
-                        if r < now:
-                            odd.add(bisect_right(bounds, at) - 1)
-                        if r not in index:
-                            index[r] = []
-                            heapq.heappush(active, r)
-                        index[r].append(near)
-        return [
-            self.lowest_first(word) if k in odd else [s for s in symbol[start:end] if s >= 0]
-            for k, (word, start, end) in enumerate(zip(words, bounds, bounds[1:], strict=False))]
+            at = np.array(sorted(index.pop(now)), np.int64)
+            at = at[makes[at] == now]
+            to = after[at]
+            # Where a pair begins with the end of the one before it, every other pair of the run is merged.
+            joined = to[:-1] == at[1:]
+            if joined.any():
+                count = np.arange(len(at))
+                first = np.maximum.accumulate(np.where(np.insert(joined, 0, False), 0, count))
+                at, to = at[(count - first) % 2 == 0], to[(count - first) % 2 == 0]
+            right = after[to]
+            makes[to] = symbol[to] = -1
+            has = right >= 0
+            inner, right = at[has], right[has]
+            after[at] = -1
+            after[inner] = right
+            before[right] = inner
+            # With the symbol on the right as it still is: merges go from left to right.
+            makes[at] = -1
+            makes[inner] = enter(inner, symbol[right] | np.int64(now << 32), now)
+            symbol[at] = now
+            back = before[at]
+            back = back[back >= 0]
+            makes[back] = enter(back, symbol[back].astype(np.int64) << 32 | now, now)
+        left = symbol >= 0
+        upto = np.insert(np.cumsum(left), 0, 0)[bounds].tolist()
+        ids = symbol[left].tolist()
+        again = {*(np.searchsorted(bounds, odd, "right") - 1).tolist()}
+        return [self.lowest_first(word) if k in again else ids[a:b] for k, (word, (a, b)) in enumerate(zip(words, pairwise(upto), strict=True))]
 
 
 def _is_text(token: bytes) -> bool:
@@ -182,67 +211,98 @@ def corpus_words(texts: DataFrame, path: str, pattern: str) -> DataFrame:
         whole = ranks(path).whole
         for batch in batches:
             for part in slices(batch):
-                words, _ = words_of(part.column("text").to_pylist(), pattern)
-                counts = words.value_counts()
+                split = split_words(part.column("text").to_pylist(), pattern)
+                counts = pa.array(chain.from_iterable(split), pa.string()).value_counts()
                 counts = counts.filter(pc.invert(pc.is_in(counts.field("values"), whole)))
                 yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["word", "n"])
 
     return small_batches(texts).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(counts: DataFrame, path: str, top: int) -> dict[str, list[int]]:
-    """The ids of the most frequent words, ``top`` at most, of at most ``LONGEST`` letters."""
+def frequent_words(counts: DataFrame, path: str, top: int) -> pa.Table:
+    """``word, ids`` of the most frequent words, ``top`` at most, of at most ``LONGEST`` letters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ranks(path)
-        for batch in batches:
-            words = batch.column("word")
-            for at in range(0, len(words), TOGETHER):
-                part = words.slice(at, TOGETHER)
-                ids = known.replay([w.encode() for w in part.to_pylist()])
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+        words = chain.from_iterable(batch.column("word").to_pylist() for batch in batches)
+        while part := list(islice(words, TOGETHER)):
+            ids = known.replay([w.encode() for w in part])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     chosen = most_frequent(counts.filter(F.char_length("word") <= LONGEST), "n", top).select("word")
-    rows = land(chosen.repartition("word").mapInArrow(run, "word string, ids array<int>"), "dictionary").toArrow()
-    return dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+    return land(chosen.repartition("word").mapInArrow(run, "word string, ids array<int>"), "dictionary").toArrow()
 
 
-class Task:
-    """Encodes texts of one partition, with the dictionary and the other words met so far."""
+class Places(dict):
+    """The number of each word; a word not met before gets the next one."""
 
-    def __init__(self, path: str, pattern: str, frequent: dict[str, list[int]]):
-        self.ranks, self.pattern, self.frequent = ranks(path), pattern, frequent
-        self.other: dict[str, list[int]] = {}
+    def __init__(self, known: Iterable[tuple[str, int]]):
+        super().__init__(known)
+        self.fresh: list[str] = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and where each text's ids end, with a leading 0."""
-        words, counts = words_of(texts, self.pattern)
-        places = words.dictionary_encode()
-        if len(self.other) > KEPT:
-            self.other.clear()
-        distinct = places.dictionary.to_pylist()
-        rank, frequent, other = self.ranks.rank, self.frequent, self.other
-        ids: list[list[int] | None] = []
-        fresh: list[str] = []
-        for word in distinct:
-            found = frequent.get(word) or other.get(word)
-            if found is None:
-                number = rank.get(word.encode())
-                if number is None:
-                    fresh.append(word)
-                else:
-                    found = other[word] = [number]
-            ids.append(found)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+class Task:
+    """Encodes texts of one partition, with the tokens, the dictionary and the other words met so far."""
+
+    def __init__(self, path: str, pattern: str, frequent: pa.Table | None = None):
+        self.ranks, self.pattern = ranks(path), pattern
+        whole = self.ranks.whole.to_pylist()
+        lists = [] if frequent is None else frequent.column("ids").chunks
+        self.known = [*whole, *([] if frequent is None else frequent.column("word").to_pylist())]
+        self.known_ids = np.concatenate([np.array([self.ranks.rank[w.encode()] for w in whole], np.int32), *(c.flatten().to_numpy() for c in lists)])
+        sizes = np.concatenate([np.ones(len(whole), np.int64), *(pc.list_value_length(c).to_numpy() for c in lists)])
+        self.known_ends = np.insert(np.cumsum(sizes), 0, 0)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the other words met; tokens and dictionary stay."""
+        self.place = Places(zip(self.known, range(len(self.known)), strict=True))
+        self.tokens, self.ends = array("i", self.known_ids.tobytes()), array("q", self.known_ends.tobytes())
+
+    def learn(self) -> None:
+        """Replay the words that were new and keep their ids."""
+        fresh = self.place.fresh
         for at in range(0, len(fresh), TOGETHER):
-            part = fresh[at:at + TOGETHER]
-            other.update(zip(part, self.ranks.replay([w.encode() for w in part]), strict=True))
-        ids = [other[word] if found is None else found for word, found in zip(distinct, ids, strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        tokens = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        order = places.indices.to_numpy()
-        each = sizes[order]
+            for ids in self.ranks.replay([w.encode() for w in fresh[at:at + TOGETHER]]):
+                self.tokens.extend(ids)
+                self.ends.append(len(self.tokens))
+        fresh.clear()
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all texts in a row, and how many each text has."""
+        split = split_words(texts, self.pattern)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int32, counts.sum()), counts
+
+    def ids(self, order: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's ids end, with a leading 0."""
+        ends = np.frombuffer(self.ends, np.int64)
+        starts = ends[order]
+        each = ends[order + 1] - starts
         upto = np.insert(np.cumsum(each), 0, 0)
-        return tokens[np.repeat(starts[order] - upto[:-1], each) + np.arange(upto[-1])], upto[np.insert(np.cumsum(counts), 0, 0)]
+        ids = np.frombuffer(self.tokens, np.int32)[np.repeat(starts - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, upto[np.insert(np.cumsum(counts), 0, 0)]
+
+    def encode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Identifiers, ids and ends of slices of batches; new words of several slices are replayed together."""
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        for part in chain(chain.from_iterable(map(slices, batches)), [None]):
+            if part is not None:
+                # A copy of the identifiers, which does not keep the texts of the batch in memory.
+                doc_id = part.column("doc_id").take(pa.array(np.arange(part.num_rows)))
+                waiting.append((doc_id, *self.numbers(part.column("text").to_pylist())))
+                if len(self.place.fresh) < TOGETHER and sum(len(order) for _, order, _ in waiting) < WAITING:
+                    continue
+            self.learn()
+            for doc_id, order, counts in waiting:
+                yield doc_id, *self.ids(order, counts)
+            waiting.clear()
+            if len(self.place) - len(self.known) > KEPT:
+                self.forget()
 
     def spell(self, ids: np.ndarray) -> bytes:
         names = self.ranks.names
@@ -263,19 +323,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = Task(path, pattern, shared.value)
-        for batch in batches:
-            for part in slices(batch):
-                ids, ends = task.encode(part.column("text").to_pylist())
-                columns = {"doc_id": part.column("doc_id")}
-                if files:
-                    columns["n_tokens"] = pa.array(np.diff(ends))
-                    data = ids.astype("<u4").tobytes()
-                    columns["packed"] = pa.array([data[4 * a:4 * b] for a, b in pairwise(ends.tolist())], pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), task.ranks.spelling.take(pa.array(ids)))
-                    columns["decoded"] = pc.binary_join(lists, b"")
-                else:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+        for doc_id, ids, ends in task.encode(batches):
+            columns = {"doc_id": doc_id}
+            if files:
+                columns["n_tokens"] = pa.array(np.diff(ends))
+                data = ids.astype("<u4").tobytes()
+                columns["packed"] = pa.array([data[4 * a:4 * b] for a, b in pairwise(ends.tolist())], pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), task.ranks.spelling.take(pa.array(ids)))
+                columns["decoded"] = pc.binary_join(lists, b"")
+            else:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
     kind = inputs.schema["doc_id"].dataType.simpleString()
     rest = "n_tokens long, packed binary, decoded binary" if files else "ids array<int>"
@@ -285,7 +343,7 @@ def encode(
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes of the ids in a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = Task(path, "", {})
+        task = Task(path, "")
         for batch in batches:
             spelled = [task.spell(np.array(ids or [], np.int64)) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.binary())], [*batch.schema.names, "decoded"])
