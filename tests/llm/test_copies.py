@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from tillflow.llm import copies, simhash
 from tillflow.llm.queries import read
+from tillflow.llm.tables import land
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -103,6 +104,18 @@ def test_large_groups_in_chunks_like_plain_jaccard(documents, prose, monkeypatch
     assert {(r.doc_id, r.component_id) for r in copies.near_copies(documents(pairs).repartition(3)).collect()} == {*want.items()}
 
 
+def test_simhash_proposes_pairs(documents, prose):
+    """Pairs of near fingerprints come from the SimHash operator, from fingerprints of the sets."""
+    pairs = [(k, prose(k, 200)) for k in range(20)] + [(100 + k, altered(prose, k, 200, 1 + k % 4)) for k in range(20)]
+    rows = land(copies.marks(copies.located(documents(pairs).coalesce(1)), "doc_id", "text", 5).coalesce(1), "marks")
+    fps = {r.doc_id: r.fp & ((1 << 64) - 1) for r in rows.collect()}
+    sets = {i: copies.shingle_set(t, 5) for i, t in pairs}
+    assert fps == {i: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s.tolist()) > len(s)) for i, s in sets.items()}
+    node = {bytes(r.node): r.doc_id for r in rows.collect()}
+    got = {tuple(sorted((node[bytes(r.u)], node[bytes(r.v)]))) for r in copies.proposed(rows).collect()}
+    assert got == {(k, 100 + k) for k in range(20) if (fps[k] ^ fps[100 + k]).bit_count() <= copies.NEAR} and got
+
+
 def test_the_sketch_keeps_pairs_of_the_bound():
     rng = np.random.default_rng(3)
     kept, far = 0, 0

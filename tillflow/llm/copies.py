@@ -1,7 +1,10 @@
 """Near copies by exact Jaccard similarity of shingle sets.
 
 Two texts link if their sets of word shingles have a Jaccard similarity of
-``SHARE`` or more, 0.8.  MinHash bands propose candidates: 32 bands of 5 minima
+``SHARE`` or more, 0.8.  Pairs are proposed by SimHash first: the links of the
+fingerprints of the sets at ``NEAR`` differing bits, and of nodes with equal fingerprints.
+Fingerprints that near find the closest pairs only, and those at 0.8 differ in some ten bits,
+so MinHash bands propose the rest, for nodes that SimHash has not joined: 32 bands of 5 minima
 leave out a pair of similarity 0.8 three times in a million, and closer pairs
 less often.  Two bits of each of the 160 minima are a sketch of 48 bytes that goes with the
 node into its buckets, and pairs are screened there: a pair whose sketches differ in
@@ -36,13 +39,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillflow.llm import simhash
 from tillflow.llm.components import components
-from tillflow.llm.simhash import MIX, SEED, forest, shingle_hashes
+from tillflow.llm.simhash import MIX, SEED, forest, set_fingerprint, shingle_hashes
 from tillflow.llm.tables import FILE, ROW, land, located, passing, small_batches, text_of
 
 # The least similarity of a link, as a fraction.
 SHARE = (4, 5)
 BANDS, MINIMA = 32, 5
+# Differing bits of fingerprints that propose a pair, and the partitions of the bits, as of ``op9``: buckets of more bits make a large group of near copies a square.
+NEAR, PARTS = 4, 4
 # Hashes permuted at a time.
 BLOCK = 512
 # Further rounds of one against the others, while open pairs are more than so many for each row of a bucket.
@@ -105,25 +111,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def marks(rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id`` and the locator of each located row, its ``node``, the size ``n`` of its set, its bands' ``keys`` and its sketch."""
+    """``doc_id`` and the locator of each located row, its ``node``, the size ``n`` of its set, its bands' ``keys``, its fingerprint ``fp`` and its sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, sketches = [], [], [], np.zeros((batch.num_rows, len(SKETCH)), np.uint64)
+            nodes, sizes, keys, prints, sketches = [], [], [], [], np.zeros((batch.num_rows, len(SKETCH)), np.uint64)
             for at, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_set(text, shingle)
                 low = lowest(hashes)
                 nodes.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
                 sizes.append(len(hashes))
                 keys.append(band_keys(low))
+                prints.append(set_fingerprint(hashes))
                 sketches[at] = sketch(low)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("doc_id", FILE, ROW)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(keys),
-                 *map(pa.array, sketches.T.copy().view(np.int64))], ["doc_id", FILE, ROW, "node", "n", "keys", *SKETCH])
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), *map(pa.array, sketches.T.copy().view(np.int64))],
+                ["doc_id", FILE, ROW, "node", "n", "keys", "fp", *SKETCH])
 
     inputs = rows.select(F.col(id_col).alias("doc_id"), FILE, ROW, text_of(text_col).alias("text"))
     kind = inputs.schema["doc_id"].dataType.simpleString()
     numbers = ", ".join(f"{c} long" for c in SKETCH)
-    return small_batches(inputs).mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, node binary, n long, keys array<long>, {numbers}")
+    return small_batches(inputs).mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} long, node binary, n long, keys array<long>, fp long, {numbers}")
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -136,16 +144,15 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return small_batches(texts).mapInArrow(run, "node binary, hashes array<long>")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
+def buckets(nodes: DataFrame) -> DataFrame:
     """``key, node, n`` and the sketch: each node in its bands' buckets, of which those with one node only are left out.
 
     Only the keys are exchanged for all nodes; sketches join those that share a bucket.
     """
-    nodes = land(rows.dropDuplicates(["node"]).select("node", "n", "keys", *SKETCH), "nodes")
     every = nodes.select(F.explode("keys").alias("key"), "node")
     mark = F.xxhash64("node")
     shared = land(every.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("key"), "shared-keys")
-    return every.join(_small(shared), "key", "left_semi").join(nodes.drop("keys"), "node")
+    return every.join(_small(shared), "key", "left_semi").join(nodes.drop("keys", "fp"), "node")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -167,6 +174,20 @@ def _pairs(rows: DataFrame) -> DataFrame:
         F.greatest("node", "first.node").alias("u"), F.least("node", "first.node").alias("v")).distinct()
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes with the same fingerprint or linked ones, by the SimHash operator.
+
+    One node stands for a fingerprint; the others of it are paired with that one.
+    """
+    first = F.min(F.struct("node", "n", *SKETCH)).alias("first")
+    heads = land(nodes.groupBy("fp").agg(first), "heads-of-fingerprints")
+    links = simhash.linked(heads.select("fp", F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("n")), NEAR, None, PARTS)
+    far = links.join(heads.select(F.col("fp").alias("u"), F.col("first").alias("one")), "u").select("v", "one.*")
+    same = nodes.join(heads, "fp").filter("node <> first.node")
+    columns = ["node", "n", *SKETCH, "first"]
+    return _pairs(same.select(*columns).union(far.join(heads.withColumnRenamed("fp", "v"), "v").select(*columns)))
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
     """``node, hashes`` of the nodes; ``firsts`` says where a text of each is."""
     wanted = land(firsts.join(nodes, "node").select("node", F.xxhash64(f"first.{FILE}").alias("place"), f"first.{ROW}"), "wanted")
@@ -292,17 +313,24 @@ def crossing(rows: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], Data
     return small_batches(dealt.repartition(*cell).sortWithinPartitions(*cell)).mapInArrow(run, "u binary, v binary")
 
 
-def linked(table: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, root`` for the nodes that have a link; the components of all candidates whose ``sets`` are similar enough."""
-    rows = table.withColumn("root", F.col("node"))
-    found: list[DataFrame] = []
-    before = None
-    for turn in range(1 << 30):
-        found.append(land(verified(land(stars(rows, turn), "stars"), sets), "star-links"))
+def linked(table: DataFrame, pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, root`` for the nodes that have a link; the components of all candidates whose ``sets`` are similar enough.
+
+    Candidates are the given pairs first, then nodes of a bucket that those have not joined.
+    """
+    found = [land(verified(land(pairs, "proposed"), sets), "proposed-links")]
+
+    def joined() -> tuple[DataFrame, DataFrame]:
         roots = land(components(reduce(DataFrame.union, found)), "components")
         labels = roots.select("node", F.col("root").alias("label"))
-        rows = land(table.join(labels, "node", "left").select(
+        return roots, land(table.join(labels, "node", "left").select(
             "key", "node", "n", *SKETCH, F.coalesce("label", "node").alias("root")), "labelled")
+
+    roots, rows = joined()
+    before = None
+    for turn in range(1 << 30):
+        found.append(land(verified(land(stars(rows, turn), "stars"), sets), "star-links"))
+        roots, rows = joined()
         parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("count"))
         sums = parts.groupBy("key").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"), F.count(F.lit(1)).alias("k"))
         still = land(sums.filter("k > 1"), "open-buckets")
@@ -325,9 +353,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = land(marks(docs, id_col, text_col, shingle), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("first")
     firsts = land(rows.groupBy("node").agg(first), "firsts")
-    table = land(buckets(rows), "buckets")
+    nodes = land(rows.dropDuplicates(["node"]).select("node", "n", "keys", "fp", *SKETCH), "nodes")
+    table = land(buckets(nodes), "buckets")
     texts = docs.select(FILE, ROW, text_of(text_col).alias("text"))
-    roots = linked(table, lambda nodes: sets_of(nodes, texts, firsts, shingle))
+    roots = linked(table, proposed(nodes), lambda nodes: sets_of(nodes, texts, firsts, shingle))
     classes = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = land(classes.groupBy("root").agg(F.min("first").alias("head")), "heads")
     named = land(classes.select("node", "root").join(heads, "root").select("node", "head"), "named")

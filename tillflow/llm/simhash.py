@@ -10,7 +10,8 @@ every candidate pair is verified on all 64 bits.
 
 ``total`` adds a second fingerprint and the number of shingles to the test of a pair.
 Bits only estimate similarity, and equal fingerprints need not be near copies:
-where a similarity is asked for, as in the pipeline, ``copies`` decides on the sets.
+where a similarity is asked for, as in the pipeline, ``copies`` takes the links as
+proposals and decides on the sets.
 
 Equal fingerprints are one node, so exact copies make no pairs.  A bucket emits
 only a spanning forest of its links, which keeps every link's two ends in one
@@ -79,6 +80,14 @@ def fingerprint(text: str | None, shingle: int, second: bool = False) -> tuple[i
     return fp, other, n
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, from their hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += bits_of(hashes[at:at + BLOCK]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def bits_of(hashes: np.ndarray) -> np.ndarray:
     """A row of 64 zeros and ones for each number, lowest bit first."""
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -311,6 +320,13 @@ def links(table: DataFrame, distance: int, total: int | None) -> DataFrame:
     return spread.mapInArrow(run, "u long, v long")
 
 
+def linked(fps: DataFrame, distance: int, total: int | None, parts: int, bucket_rows: int = 1 << 14) -> DataFrame:
+    """Links ``(u, v)`` of distinct fingerprints ``fp, other, n``, a forest of them for each stretch of buckets."""
+    groups = group_bits(together(fps), parts)
+    thresholds = allocate([candidates(c, distance) for c in value_counts(fps.select("fp"), groups)], distance)
+    return land(links(dealt(probes(fps, groups, thresholds), bucket_rows), distance, total), "links")
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
     distance: int = 12, total: int | None = 24, parts: int = 6, bucket_rows: int = 1 << 14,
@@ -323,10 +339,7 @@ def near_components(
     """
     rows = land(fingerprints(located(docs), id_col, text_col, shingle, total is not None), "fingerprints")
     fps = land(rows.groupBy("fp").agg(F.min(F.struct("other", "n")).alias("m")).select("fp", "m.other", "m.n"), "distinct-fingerprints")
-    groups = group_bits(together(fps), parts)
-    thresholds = allocate([candidates(c, distance) for c in value_counts(fps.select("fp"), groups)], distance)
-    found = land(links(dealt(probes(fps, groups, thresholds), bucket_rows), distance, total), "links")
-    roots = land(components(found), "components")
+    roots = land(components(linked(fps, distance, total, parts, bucket_rows)), "components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", FILE, ROW)).alias("first")
     firsts = land(rows.groupBy("fp").agg(first), "firsts")
     root = F.coalesce("root", "fp").alias("root")
