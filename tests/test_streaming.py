@@ -5,14 +5,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tillflow.checks import replays
 from tillflow.checks.replays import Arrivals, forget_commit
 from tillflow.operators.parsing import sorted_rows, typed_rows
 from tillflow.plans import reports
 from tillflow.session import scratch_dir, state_partitions
 from tillflow.sinks.tables import write_batch
 from tillflow.sources.files import file_stream
+from tillflow.sources.shop import TABLES, ShopTables
 from tillflow.streaming import changes, devices, late, progress, sales
-from tillflow.streaming.running import ARRIVED, ONCE, late_rows, salt_count, start_sorted
+from tillflow.streaming.running import ARRIVED, ONCE, late_rows, salt_count, start_sorted, state_of
 
 
 def feed(df, path):
@@ -341,6 +343,67 @@ def test_arrivals_move_what_was_written_once(spark, tmp_path):
     assert left == ["_slice=__HIVE_DEFAULT_PARTITION__"]
 
 
+def test_a_query_that_stops_plays_no_changes_back(spark, tmp_path, rows):
+    """Its state files are committed, no look-up counts the rows, and the session's settings stay what they were."""
+    o, l, out, c = (str(tmp_path / n) for n in ("o", "l", "out", "c"))
+    keys = [f"spark.sql.streaming.stateStore.rocksdb.{name}" for name in ("changelogCheckpointing.enabled", "trackTotalNumberOfRows")]
+    before = [spark.conf.get(key, None) for key in keys]
+    for step, count in ((0, False), (1, False), (2, True)):
+        feed(spark.createDataFrame([(step, 1, 1, at(step), at(step), 10, 10)], ORDERS), o)
+        feed(spark.createDataFrame([(100 + step, step, 10, 1, 1, at(step)), (200 + step, 2 - step, 10, 1, 1, at(step))], LINES), l)
+        joined = sales.join_streams(file_stream(spark, o, ORDERS), file_stream(spark, l, LINES))
+        query = run(sales.start_join(joined, out, c, ONCE, count_state=count))
+        counted = sum(int(state.numRowsTotal) for state in query.recentProgress[0].stateOperators)
+        assert (counted > 0) == count and [spark.conf.get(key, None) for key in keys] == before
+    assert not list((tmp_path / "c" / "state").rglob("*.changelog")) and list((tmp_path / "c" / "state").rglob("*.zip"))
+    assert rows(spark.read.parquet(out), "order_id", "order_detail_id") == [(0, 100), (0, 202), (1, 101), (1, 201), (2, 102), (2, 200)]
+    assert state_of({"processingTime": "5 seconds"}) == {}  # short batches go on committing their changes
+
+
+def odd_shop(spark, folder):
+    """Orders without date, buyer or lines, a buyer that comes twice, and an order that does."""
+    day = dt.datetime(1994, 5, 1)
+    tables = {
+        "customer": [(1, "a", 1, 0.0, "x"), (2, "b", 2, 0.0, "x"), (2, "b", 3, 0.0, "x"), (None, "c", 1, 0.0, "x")],
+        "orders": [(1, 1, "O", 10.0, day, "1"), (1, 1, "O", 10.0, day, "1"), (2, 2, "P", 5.0, day, "1"), (3, 2, None, 5.0, day, "1"),
+                   (4, 1, "F", 5.0, None, "1"), (5, None, "F", 5.0, day, "1"), (6, 1, "F", 5.0, dt.datetime(1996, 1, 1), "1"), (None, 1, "F", 5.0, day, "1")],
+        "lineitem": [(key, 1, 1, n, 2.0, 3.0, 0.0, 0.0, "N", "O", day) for key in (1, 2, 4, 6, None) for n in (1, 2, None)],
+    }
+    for name, data in tables.items():
+        spark.createDataFrame(data, TABLES[name]).write.parquet(f"{folder}/{name}.parquet")
+    return ShopTables(spark, str(folder))
+
+
+def test_order_times_are_those_of_the_headers_without_the_lines(spark, tmp_path, rows):
+    shop = odd_shop(spark, tmp_path)
+    times = shop.order_times()
+    assert rows(times) == rows(shop.order_info(), "id", "create_time", "operate_time")
+    assert not [f for f in times.inputFiles() if "lineitem" in f] and [f for f in shop.order_info().inputFiles() if "lineitem" in f]
+
+
+def test_images_come_from_one_pass_over_the_orders(spark, tmp_path, rows):
+    shop = odd_shop(spark, tmp_path / "shop")
+    orders, lines = replays._paid_later(shop, str(tmp_path / "work"))
+    headers, arrival = shop.order_info(), F.year("create_time") - 1992
+    both = headers.withColumn("operate_time", F.lit(None).cast("timestamp")).withColumn("arrival", arrival).unionByName(
+        headers.where("operate_time IS NOT NULL").withColumn("arrival", arrival + 1))
+    assert rows(orders.df) == rows(both) and orders.cut() == both.agg(F.min("arrival"), F.max("arrival")).first()[:]
+    assert "Union" not in orders.df._jdf.queryExecution().optimizedPlan().toString()
+    assert lines.df.count() == shop.order_detail().join(headers.select(F.col("id").alias("order_id")), "order_id").count()
+
+
+def test_the_repair_reads_what_has_come_in(spark, tmp_path, monkeypatch):
+    sources = [Arrivals(spark.range(9).withColumn("k", F.col("id")), str(tmp_path / n), by="k", slices=1) for n in "ab"]
+    for source in sources:
+        source.cut()
+        source.arrive(0)
+    read = []
+    monkeypatch.setattr(replays.late, "missed", lambda *given: read.extend(f for df in given[:2] for f in df.inputFiles()) or given[0])
+    got = replays._missed(sources, spark.range(1), str(tmp_path))
+    assert read and all("/incoming/" in f for f in read) and got.count() == 9
+    assert not (tmp_path / "a" / "incoming").exists() and not (tmp_path / "b" / "incoming").exists()
+
+
 def test_orders_are_not_kept_for_every_state_partition(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
