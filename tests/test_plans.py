@@ -11,7 +11,7 @@ from tillflow.checks.queries import BATCH
 from tillflow.operators import dau, orders, wide
 from tillflow.plans import reports
 from tillflow.sources.files import table
-from tillflow.sources.shop import ShopTables
+from tillflow.sources.shop import TABLES, ShopTables
 
 
 def plan(df):
@@ -140,6 +140,17 @@ def test_wide_rows_are_not_exchanged_for_the_split(spark, tmp_path):
     assert "hashpartitioning(order_id" in text and "hashpartitioning(order_detail_id" not in text
 
 
+def test_headers_lie_by_order_when_lines_are_joined(spark, tmp_path):
+    """Buyers are joined before the totals, so the headers are not exchanged by order once more."""
+    for name in ("customer", "orders", "lineitem"):
+        spark.createDataFrame([], TABLES[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    shop = ShopTables(spark, str(tmp_path))
+    with shuffled(spark):
+        text = plan(wide.join_once(shop.order_info(), shop.order_detail()))
+    # Orders by buyer and by order, buyers, totals, lines by their id and by order.
+    assert len(re.findall(r"Exchange hashpartitioning\(", text)) == 6
+
+
 def test_left_over_goes_to_the_line_of_its_own_order(spark):
     """Line ids that two orders share, and a line that was sent twice."""
     rows = spark.createDataFrame(
